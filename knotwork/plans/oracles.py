@@ -357,3 +357,266 @@ ORACLES: dict[str, str] = {
            FROM entities WHERE description = '' OR id NOT IN (SELECT entity_id FROM observations)"""
     ),
 }
+
+# --- traversal ------------------------------------------------------------------------------
+
+STEPS = """
+steps AS (
+  SELECT source_id from_id, target_id to_id, relationship_type, 'outgoing' direction FROM relationships WHERE source_id <> target_id
+  UNION ALL SELECT target_id, source_id, relationship_type, 'incoming' FROM relationships WHERE source_id <> target_id
+)
+"""
+
+
+def reach(hops: int, seeds: str, steps: str = "steps") -> str:
+    """Levels by recursion over distinct (query, node, depth) rows."""
+    return f"""
+links AS (SELECT DISTINCT from_id, to_id FROM {steps}),
+walk(query_id, id, depth) AS (
+  SELECT query_id, id, 0 FROM ({seeds})
+  UNION SELECT w.query_id, l.to_id, w.depth + 1 FROM walk w JOIN links l ON l.from_id = w.id WHERE w.depth < {hops}
+),
+reached AS (SELECT query_id, id, min(depth) depth FROM walk GROUP BY query_id, id)
+"""
+
+
+REGIONS = "SELECT 'regions' query_id, id FROM entities WHERE entity_type = 'region'"
+OWN = "SELECT id query_id, id FROM entities WHERE entity_type = '{0}'"
+
+PARENTS = """
+parents AS (
+  SELECT c.query_id, c.id, c.depth, p.id parent_id, s.relationship_type, s.direction
+  FROM reached c JOIN steps s ON s.to_id = c.id
+  JOIN reached p ON p.query_id = c.query_id AND p.id = s.from_id AND p.depth = c.depth - 1
+)
+"""
+
+ORACLES |= {
+    "bfs_depths": q("SELECT id, depth FROM reached", STEPS, reach(4, REGIONS), recursive=True),
+    "bfs_outgoing": q(
+        "SELECT query_id, id, depth FROM reached",
+        """some_steps AS (SELECT target_id from_id, source_id to_id FROM relationships
+           WHERE relationship_type IN ('in_nation', 'placed', 'supplies'))""",
+        reach(3, OWN.format("nation"), "some_steps"),
+        recursive=True,
+    ),
+    "bfs_budget": q(
+        """SELECT query_id, least(count(*), 200)::bigint visited, count(*) > 200 truncated FROM reached GROUP BY query_id""",
+        STEPS, reach(2, OWN.format("supplier")), recursive=True,
+    ),
+    "find_connections": q(
+        "SELECT r.query_id, r.id, e.name, r.depth, r.path FROM routes r JOIN entities e USING (id) WHERE r.depth > 0",
+        STEPS, reach(3, OWN.format("region")), PARENTS,
+        """chosen AS (SELECT * FROM parents QUALIFY row_number() OVER (
+             PARTITION BY query_id, id ORDER BY parent_id, relationship_type, direction) = 1),
+           routes(query_id, id, depth, path) AS (
+             SELECT query_id, id, 0, id FROM reached WHERE depth = 0
+             UNION ALL SELECT c.query_id, c.id, c.depth, r.path||' '||c.relationship_type||'/'||c.direction||'/'||c.id
+             FROM routes r JOIN chosen c ON c.query_id = r.query_id AND c.parent_id = r.id)""",
+        recursive=True,
+    ),
+    "find_paths": q(
+        """SELECT source_id||'>'||target_id request_id, length, rank, path FROM (
+             SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY order_key)::int rank FROM routes WHERE depth = 0)
+           WHERE rank <= 10""",
+        STEPS,
+        """pairs AS (SELECT DISTINCT 'nation:'||c_nationkey source_id, 'nation:'||s_nationkey target_id FROM lineitem
+             JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+             WHERE c_nationkey <> s_nationkey)""",
+        reach(5, "SELECT DISTINCT source_id query_id, source_id id FROM pairs"),
+        """routes(source_id, target_id, length, depth, id, path, order_key) AS (
+             SELECT source_id, target_id, r.depth, r.depth, target_id, NULL::varchar, []::struct(a varchar, b varchar, c varchar)[]
+             FROM pairs JOIN reached r ON r.query_id = source_id AND r.id = target_id
+             UNION ALL
+             SELECT w.source_id, w.target_id, w.length, w.depth - 1, s.from_id,
+               CASE WHEN w.depth = 1 THEN s.from_id||' ' ELSE '' END||s.relationship_type||'/'||s.direction||'/'||s.to_id
+                 ||coalesce(' '||w.path, ''),
+               list_append(w.order_key, {'a': s.from_id, 'b': s.relationship_type, 'c': s.direction})
+             FROM routes w JOIN steps s ON s.to_id = w.id
+             JOIN reached r ON r.query_id = w.source_id AND r.id = s.from_id AND r.depth = w.depth - 1
+             WHERE w.depth > 0)""",
+        recursive=True,
+    ),
+    "subgraph_nodes": q(
+        "SELECT id, e.name, depth, false truncated FROM reached JOIN entities e USING (id)",
+        STEPS, reach(2, REGIONS), recursive=True,
+    ),
+    "subgraph_edges": q(
+        "SELECT r.id FROM relationships r JOIN reached s ON s.id = r.source_id JOIN reached t ON t.id = r.target_id",
+        STEPS, reach(2, REGIONS), recursive=True,
+    ),
+    "subgraph_capped": q(
+        """SELECT k.id, (SELECT count(*) > 200 FROM reached) truncated,
+             count(r.id) kept_edges FROM kept k LEFT JOIN (SELECT * FROM relationships WHERE target_id IN (SELECT id FROM kept)) r
+             ON r.source_id = k.id GROUP BY k.id""",
+        STEPS, reach(2, REGIONS), "kept AS (SELECT id FROM reached ORDER BY depth, id LIMIT 200)",
+        recursive=True,
+    ),
+}
+
+# --- text, vectors, search ------------------------------------------------------------------
+
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+BENCHMARK_QUERIES = "SELECT 'item:'||item_id query_id, text FROM benchmark"
+PART_QUERIES = "SELECT DISTINCT p_name||' '||p_type query_id, p_name||' '||p_type AS text FROM part"
+OBSERVATION_TEXTS = "SELECT id, content AS text FROM observations"
+ENTITY_TEXTS = "SELECT id, name||' '||description||' '||entity_type AS text FROM entities"
+ENTITY_VECTOR_TEXTS = "SELECT id, name||' ('||entity_type||') '||description AS text FROM entities"
+
+
+def bm25(name: str, docs: str, queries: str, k: int, keep: str = "true", scope: str = "true") -> str:
+    """Ranked hits of ``queries(query_id, text)`` over ``docs(id, text)`` as a table ``name``."""
+    return f"""
+{name}_words AS (SELECT id, unnest({WORDS.format('text')}) term FROM ({docs})),
+{name}_len AS (SELECT id, count(*) len FROM {name}_words GROUP BY id),
+{name}_all AS (SELECT (SELECT count(*) FROM ({docs})) n, (SELECT sum(len) FROM {name}_len)::double / (SELECT count(*) FROM ({docs})) mean),
+{name}_tf AS (SELECT id, term, count(*)::double f FROM {name}_words GROUP BY id, term),
+{name}_df AS (SELECT term, count(*) df FROM {name}_tf GROUP BY term),
+{name}_q AS (SELECT query_id, unnest(list_distinct({WORDS.format('text')})) term FROM ({queries})),
+{name}_scores AS (
+  SELECT q.query_id, t.id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2
+    / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) score
+  FROM {name}_q q JOIN {name}_tf t USING (term) JOIN {name}_df USING (term) JOIN {name}_len l ON l.id = t.id, {name}_all
+  WHERE {keep} AND {scope} GROUP BY q.query_id, t.id
+),
+{name} AS (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank
+  FROM {name}_scores QUALIFY rank <= {k}
+)
+"""
+
+
+def hash_vectors(name: str, texts: str, key: str = "id") -> str:
+    """Word counts in 64 places, by the leading six bits of each word's md5."""
+    place = "(strpos('0123456789abcdef', substr(md5(w), 1, 1)) - 1) * 4 + (strpos('0123456789abcdef', substr(md5(w), 2, 1)) - 1) // 4"
+    return f"""
+{name}_n AS (SELECT {key}, {place} b, count(*) n FROM (SELECT {key}, unnest({WORDS.format('text')}) w FROM ({texts})) GROUP BY 1, 2),
+{name} AS (SELECT {key}, list_transform(range(64), lambda i: coalesce(map_extract_value(m, i), 0)::double) v
+  FROM (SELECT {key}, map(list(b::bigint), list(n)) m FROM {name}_n GROUP BY 1))
+"""
+
+
+def knn(name: str, queries: str, vectors: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank FROM (
+    SELECT q.query_id, v.id, round(list_cosine_similarity(q.v, v.v), 6) score FROM ({queries}) q, ({vectors}) v)
+  QUALIFY rank <= {k}
+)
+"""
+
+
+GIVEN_VECTORS = "SELECT 'doc:'||vec_id id, embedding::double[] v FROM embeddings"
+
+
+def fuse(name: str, vec: str | None, txt: str) -> str:
+    parts = [f"SELECT query_id, id, 0.5 / (60 + rank) s FROM {t}" for t in (vec, txt) if t]
+    return f"{name} AS (SELECT query_id, id, sum(s) score FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2)"
+
+
+ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id)::int rank"
+
+ORACLES |= {
+    "bm25_topk": q("SELECT * FROM txt", bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30)),
+    "bm25_hot_terms": q("SELECT * FROM txt", bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30)),
+    "vector_topk": """
+        SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank FROM (
+          SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
+            round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score FROM embeddings a, embeddings b)
+        QUALIFY rank <= 10""",
+    "vector_topk_l2": """
+        SELECT query_id, id, -far AS score, row_number() OVER (PARTITION BY query_id ORDER BY far, id)::int rank FROM (
+          SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
+            round(list_distance(a.embedding::double[], b.embedding::double[]), 6) far FROM embeddings a, embeddings b)
+        QUALIFY rank <= 5""",
+    "search_observations": q(
+        f"""SELECT query_id, f.id, e.name entity_name, e.entity_type, round(score, 6) relevance_score, rank
+            FROM (SELECT *, {ORDER} FROM fused WHERE id IN (SELECT id FROM observations)) f
+            JOIN observations o USING (id) JOIN entities e ON e.id = o.entity_id WHERE rank <= 10""",
+        bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30),
+        hash_vectors("qv", BENCHMARK_QUERIES, "query_id"),
+        knn("vec", "SELECT * FROM qv", GIVEN_VECTORS, 30), fuse("fused", "vec", "txt"),
+    ),
+    "search_observations_scoped": q(
+        f"""SELECT query_id, id, round(score, 6) relevance_score, rank FROM (SELECT *, {ORDER} FROM fused) WHERE rank <= 3""",
+        bm25(
+            "txt", OBSERVATION_TEXTS, "SELECT 'turn:'||conv_id||':'||turn query_id, text FROM conversations", 9,
+            scope="starts_with(t.id, 'turn:') AND split_part(t.id, ':', 2) = split_part(q.query_id, ':', 2)",
+        ),
+        fuse("fused", None, "txt"),
+    ),
+    "search_entities": q(
+        f"""SELECT query_id, b.id, e.name, round(score, 6) relevance_score, rank, coalesce(r.n, 0) > 20 relationships_truncated,
+              least(coalesce(r.n, 0), 20)::int edges_shown
+            FROM (SELECT *, {ORDER} FROM boosted) b JOIN entities e USING (id) LEFT JOIN rel_n r ON r.id = b.id WHERE rank <= 10""",
+        AUDIT,
+        bm25("txt", ENTITY_TEXTS, PART_QUERIES, 30),
+        hash_vectors("qv", PART_QUERIES, "query_id"), hash_vectors("ev", ENTITY_VECTOR_TEXTS),
+        knn("vec", "SELECT * FROM qv", "SELECT * FROM ev", 30), fuse("fused", "vec", "txt"),
+        bm25("otxt", OBSERVATION_TEXTS, PART_QUERIES, 30),
+        knn("ovec", "SELECT * FROM qv", GIVEN_VECTORS, 30), fuse("ofused", "ovec", "otxt"),
+        """boosted AS (SELECT query_id, id, sum(s) score FROM (
+             SELECT query_id, id, score s FROM fused
+             UNION ALL SELECT query_id, o.entity_id, 0.5 * least(sum(score), 1.0 / 61) FROM ofused JOIN observations o USING (id) GROUP BY 1, 2)
+           GROUP BY 1, 2)""",
+    ),
+    "search_entities_typed": q(
+        f"""SELECT query_id, id, round(score, 6) relevance_score, rank FROM (
+              SELECT *, {ORDER} FROM fused WHERE score >= 0.012) WHERE rank <= 5""",
+        bm25("txt", ENTITY_TEXTS, PART_QUERIES, 15, keep="split_part(t.id, ':', 1) IN ('supplier', 'part')"),
+        hash_vectors("qv", PART_QUERIES, "query_id"), hash_vectors("ev", ENTITY_VECTOR_TEXTS),
+        knn("vec", "SELECT * FROM qv", "SELECT * FROM ev WHERE split_part(id, ':', 1) IN ('supplier', 'part')", 15),
+        fuse("fused", "vec", "txt"),
+    ),
+    "suggest_connections": q(
+        f"""SELECT entity_id, suggested_id, relevance_score, rank, linked already_connected,
+              (count(*) OVER (PARTITION BY entity_id) - sum(linked::int) OVER (PARTITION BY entity_id))::bigint unconnected_count
+            FROM (SELECT query_id entity_id, id suggested_id, round(score, 6) relevance_score,
+                    row_number() OVER (PARTITION BY query_id ORDER BY rank)::int rank,
+                    EXISTS (SELECT 1 FROM pairs WHERE a = least(query_id, id) AND b = greatest(query_id, id)) linked
+                  FROM (SELECT *, {ORDER} FROM fused) WHERE rank <= 11 AND id <> query_id) WHERE rank <= 10""",
+        AUDIT, PAIRS,
+        bm25("txt", ENTITY_TEXTS, "SELECT f.id query_id, e.name||' '||e.entity_type||' '||e.description AS text FROM flags f JOIN entities e USING (id) WHERE disconnected", 33),
+        hash_vectors("ev", ENTITY_VECTOR_TEXTS),
+        knn("vec", "SELECT ev.id query_id, v FROM ev JOIN flags f ON f.id = ev.id WHERE disconnected", "SELECT * FROM ev", 33),
+        fuse("fused", "vec", "txt"),
+    ),
+    "merge_results": q(
+        """SELECT query_id, name, entity_type, rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list, r, name)::int rank FROM (
+               SELECT * FROM both_lists QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY list, r) = 1))
+           WHERE rank <= 20""",
+        ENDS,
+        """both_lists AS (
+             SELECT entity_type query_id, name, entity_type, 0 list, row_number() OVER (PARTITION BY entity_type ORDER BY degree DESC, id) r
+             FROM degree_of QUALIFY r <= 15
+             UNION ALL SELECT entity_type, name, entity_type, 1, row_number() OVER (PARTITION BY entity_type ORDER BY updated_at DESC, id) r
+             FROM entities QUALIFY r <= 15)""",
+    ),
+    "embed_texts": q(
+        f"""SELECT id, sha256(text) content_hash, 64 dim, len({WORDS.format('text')})::double words FROM (
+              SELECT id, name||' ('||entity_type||')'||CASE WHEN description = '' THEN '' ELSE ' '||description END AS text FROM entities)"""
+    ),
+    "embedding_cache_next": """
+        SELECT sha256(text) content_hash, 'hash' model_name, CASE WHEN bool_or(lang IN ('fr', 'de'))
+          THEN epoch(timestamp '2024-02-01')::bigint ELSE epoch(timestamp '2024-01-01')::bigint END used
+        FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1""",
+    "prune_cache": """
+        SELECT sha256(text) content_hash, lang model_name, max(doc_id) last_used FROM documents GROUP BY 1, 2
+        ORDER BY last_used DESC, content_hash, model_name LIMIT 500""",
+    "embedding_report": q(
+        """SELECT 'observations' "table", 'stored' kind, 'given-'||label model_name, len(embedding)::int dim, count(*) n FROM embeddings GROUP BY 3, 4
+           UNION ALL SELECT 'observations', 'orphan', NULL, NULL, count(*) FROM embeddings WHERE 'doc:'||vec_id NOT IN (SELECT id FROM observations)
+           UNION ALL SELECT 'observations', 'missing', NULL, NULL, count(*) FROM observations WHERE id NOT IN (SELECT 'doc:'||vec_id FROM embeddings)
+           UNION ALL SELECT 'entities', 'orphan', NULL, NULL, 0
+           UNION ALL SELECT 'entities', 'missing', NULL, NULL, count(*) FROM entities"""
+    ),
+    "upsert_vectors": """
+        SELECT 'doc:'||vec_id id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS state
+        FROM embeddings LEFT JOIN labels l ON l.doc_id = vec_id WHERE coalesce(l.toxic, 0) = 0""",
+    "mention_links": q(
+        r"""SELECT observation_id, 'term:'||w entity_id, count(*) mentions FROM (
+              SELECT id observation_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) w FROM observations)
+            WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM benchmark) AND length(w) >= 6 GROUP BY 1, 2"""
+    ),
+}

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import scalars as S
-from knotwork.model import Graph
+from knotwork.model import EMBEDDING_CACHE, Graph
 from knotwork.operators import relations as R
 from knotwork.operators import resolve as N
 from knotwork.operators import stats as A
+from knotwork.operators import search as H
+from knotwork.operators import text as X
+from knotwork.operators import traverse as T
+from knotwork.operators import vector as V
 from knotwork.sources import fixtures, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,3 +400,252 @@ def screen_batch(g):
         "observations", F.when(F.col("one").isNotNull(), F.array("one"))
     )
     return R.screen_batch(batch)
+
+
+# --- traversal ------------------------------------------------------------------------------
+
+
+def _seeds(g: Graph, *types: str) -> DataFrame:
+    ids = ids_of(g, *types)
+    return ids.select(F.col("id").alias("query_id"), "id")
+
+
+@on_graph
+def bfs_depths(g):
+    """All regions together, four hops both ways, without a node budget."""
+    seeds = ids_of(g, "region").select(F.lit("regions").alias("query_id"), "id")
+    reached, _ = T.bfs(g, seeds, 4, node_budget=None)
+    return reached.select("id", "depth")
+
+
+@on_graph
+def bfs_outgoing(g):
+    """Every nation on its own, against the arrows, over chosen edge types."""
+    reached, _ = T.bfs(
+        g, _seeds(g, "nation"), 3, "incoming", ["In_Nation", "placed", "supplies"], None
+    )
+    return reached
+
+
+@on_graph
+def bfs_budget(g):
+    """Every supplier with a budget of 200 nodes: how many nodes per level, and which were cut."""
+    reached, status = T.bfs(g, _seeds(g, "supplier"), 2, node_budget=200)
+    sizes = reached.groupBy("query_id").agg(F.count(F.lit(1)).alias("visited"))
+    return sizes.join(status, "query_id")
+
+
+@on_graph
+def find_connections(g):
+    out = T.find_connections(g, _seeds(g, "region"), 3, node_budget=None)
+    steps = F.transform("path", lambda s: F.concat_ws("/", s["relationship_type"], s["direction"], s["entity_id"]))
+    return out.select("query_id", "id", "name", "depth", F.array_join(steps, " ").alias("path"))
+
+
+def _trade_pairs(t) -> DataFrame:
+    """Nations of buyer and seller, from all order lines."""
+    lines = (
+        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    pairs = lines.select(
+        key("nation:", "c_nationkey").alias("source_id"), key("nation:", "s_nationkey").alias("target_id")
+    ).distinct()
+    return pairs.withColumn("request_id", F.concat_ws(">", "source_id", "target_id"))
+
+
+@on_tables
+def find_paths(g, t):
+    out = T.find_paths(g, _trade_pairs(t), 5, 10)
+    steps = F.transform("path", lambda s: F.concat_ws("/", s["relationship_type"], s["direction"], s["entity_id"]))
+    return out.select("request_id", "length", "rank", F.array_join(steps, " ").alias("path"))
+
+
+@on_graph
+def subgraph_nodes(g):
+    nodes, _ = T.get_subgraph(g, ids_of(g, "region"), 2, None)
+    return nodes.select("id", "name", "depth", "truncated")
+
+
+@on_graph
+def subgraph_edges(g):
+    _, edges = T.get_subgraph(g, ids_of(g, "region"), 2, None)
+    return edges.select("id")
+
+
+@on_graph
+def subgraph_capped(g):
+    nodes, edges = T.get_subgraph(g, ids_of(g, "region"), 2, None, cap=200)
+    ends = nodes.select("id", "truncated")
+    degree = edges.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("kept_edges"))
+    return ends.join(degree, "id", "left").withColumn("kept_edges", F.coalesce("kept_edges", F.lit(0)))
+
+
+# --- text, vectors, search ------------------------------------------------------------------
+
+
+def _benchmark_queries(t) -> DataFrame:
+    return t("benchmark").select(key("item:", "item_id").alias("query_id"), "text")
+
+
+def _encoded(df: DataFrame) -> DataFrame:
+    """``df`` with an ``embedding`` of its ``text`` from the deterministic word-hash encoder."""
+    ids = df.select(F.col("query_id" if "query_id" in df.columns else "id").alias("id"), "text")
+    none = df.sparkSession.createDataFrame([], EMBEDDING_CACHE)
+    made, _ = V.embed_texts(ids, V.hashed_words(64, unit_length=False), none, "hash", "2024-01-01")
+    vectors = made.select(F.col("id").alias(df.columns[0]), "embedding")
+    return df.join(vectors, df.columns[0])
+
+
+def _with_entity_vectors(g: Graph) -> Graph:
+    made = _encoded(fixtures.entity_texts(g))
+    rows = made.select(F.lit("main").alias("graph_id"), "id", "embedding", F.lit("hash").alias("model_name"))
+    return g.replace(entity_embeddings=rows)
+
+
+@on_tables
+def bm25_topk(g, t):
+    index = X.build_text_index(X.observation_documents(g))
+    return X.bm25_topk(_benchmark_queries(t), index, 30)
+
+
+@on_tables
+def bm25_hot_terms(g, t):
+    """The same search with the limit for frequent terms low enough to take the bounded route."""
+    index = X.build_text_index(X.observation_documents(g))
+    return X.bm25_topk(_benchmark_queries(t), index, 30, hot_df=100)
+
+
+@on_tables
+def vector_topk(g, t):
+    vectors = g.observation_embeddings.select("id", "embedding")
+    return V.vector_topk(vectors.withColumnRenamed("id", "query_id"), vectors, 10)
+
+
+@on_tables
+def vector_topk_l2(g, t):
+    vectors = g.observation_embeddings.select("id", "embedding")
+    return V.vector_topk(vectors.withColumnRenamed("id", "query_id"), vectors, 5, "l2")
+
+
+@on_tables
+def search_observations(g, t):
+    out = H.search_observations(g, _encoded(_benchmark_queries(t)), 10)
+    return out.select("query_id", "id", "entity_name", "entity_type", "relevance_score", "rank")
+
+
+@on_tables
+def search_observations_scoped(g, t):
+    """Every turn of a conversation as a query over the turns of that conversation."""
+    queries = t("conversations").select(
+        F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("query_id"), "text",
+        key("conversation:", "conv_id").alias("owner"),
+    )
+    out = H.search_observations(g, queries, 3)
+    return out.select("query_id", "id", "relevance_score", "rank")
+
+
+def _part_queries(t) -> DataFrame:
+    text = F.concat_ws(" ", "p_name", "p_type").alias("query_id")
+    return t("part").select(text).distinct().withColumn("text", F.col("query_id"))
+
+
+@on_tables
+def search_entities(g, t):
+    out = H.search_entities(_with_entity_vectors(g), _encoded(_part_queries(t)), 10)
+    return out.select(
+        "query_id", "id", "name", "relevance_score", "rank", "relationships_truncated",
+        F.coalesce(F.size("relationships"), F.lit(0)).alias("edges_shown"),
+    )
+
+
+@on_tables
+def search_entities_typed(g, t):
+    """Type filter inside both channels, minimum score, no boost."""
+    out = H.search_entities(
+        _with_entity_vectors(g), _encoded(_part_queries(t)), 5, [" Supplier", "part"],
+        boost=False, min_score=0.012, attach=False,
+    )
+    return out.select("query_id", "id", "relevance_score", "rank")
+
+
+@on_graph
+def suggest_connections(g):
+    """Suggestions for every entity the audit finds disconnected."""
+    lonely = A.audit_entities(g).filter("disconnected").select("id")
+    texts = fixtures.entity_texts(g).join(lonely, "id", "left_semi")
+    return H.suggest_connections(_with_entity_vectors(g), _encoded(texts).select("id", "embedding"), 10).select(
+        "entity_id", "suggested_id", "relevance_score", "rank", "already_connected", "unconnected_count"
+    )
+
+
+@on_graph
+def merge_results(g):
+    """Names of each type by degree, then by recency, as one list."""
+    ranked = lambda df, *order: df.select(
+        F.col("entity_type").alias("query_id"), "name", "entity_type",
+        F.row_number().over(Window.partitionBy("entity_type").orderBy(*order)).alias("rank"),
+    ).filter("rank <= 15")
+    by_degree = ranked(A.degrees(g), F.desc("degree"), F.col("id").asc())
+    by_time = ranked(g.entities, *R.recent_first())
+    return H.merge_results(by_degree, by_time)
+
+
+@on_tables
+def embed_texts(g, t):
+    """All entity texts, those of suppliers already in the cache."""
+    texts = fixtures.entity_texts(g)
+    encoder = V.hashed_words(64, unit_length=False)
+    none = g.spark.createDataFrame([], EMBEDDING_CACHE)
+    known = texts.join(ids_of(g, "supplier"), "id", "left_semi")
+    _, cache = V.embed_texts(known, encoder, none, "hash", "2024-01-01")
+    vectors, _ = V.embed_texts(texts, encoder, cache, "hash", "2024-02-01")
+    words = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return vectors.select("id", "content_hash", F.size("embedding").alias("dim"), words.alias("words"))
+
+
+@on_tables
+def embedding_cache_next(g, t):
+    """Cache after embedding all documents, when documents of two languages were in it before."""
+    docs = t("documents").select(key("doc:", "doc_id").alias("id"), "text", "lang")
+    encoder = V.hashed_words(64)
+    none = g.spark.createDataFrame([], EMBEDDING_CACHE)
+    _, cache = V.embed_texts(docs.filter("lang in ('en', 'fr')"), encoder, none, "hash", "2024-01-01")
+    _, cache = V.embed_texts(docs.filter("lang in ('fr', 'de')"), encoder, cache, "hash", "2024-02-01")
+    return cache.select("content_hash", "model_name", F.unix_timestamp("last_used").alias("used"))
+
+
+@on_tables
+def prune_cache(g, t):
+    cache = t("documents").groupBy(F.sha2("text", 256).alias("content_hash"), F.col("lang").alias("model_name")).agg(
+        F.max("doc_id").alias("last_used")
+    )
+    return V.prune_cache(cache, 500)
+
+
+@on_graph
+def embedding_report(g):
+    return V.embedding_report(g)
+
+
+@on_tables
+def upsert_vectors(g, t):
+    """Vectors of labelled documents replaced, those of toxic documents dropped."""
+    old = g.observation_embeddings.select("id", "embedding", F.lit("old").alias("state"))
+    labels = t("labels").select(key("doc:", "doc_id").alias("id"), "toxic")
+    new = old.join(labels, "id", "left_semi").withColumn("state", F.lit("new"))
+    return V.delete_vectors(V.upsert_vectors(old, new), labels.filter("toxic = 1")).select("id", "state")
+
+
+@on_tables
+def mention_links(g, t):
+    """Links from all observations to the graph's names and the long plain words of the benchmark."""
+    words = t("benchmark").select(F.explode(S.tokens(F.col("text"))).alias("name")).distinct()
+    terms = words.filter(F.col("name").rlike("^[a-z0-9_]{6,}$")).select(
+        F.lit("text").alias("graph_id"), F.concat(F.lit("term:"), "name").alias("id"), "name",
+        F.lit("term").alias("entity_type"), F.lit("").alias("description"), F.lit("{}").alias("properties"),
+        F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    links = X.link_mentions(g.replace(entities=g.entities.unionByName(terms)))
+    return links.groupBy("observation_id", "entity_id").agg(F.count(F.lit(1)).alias("mentions"))
