@@ -163,7 +163,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
+    queries = cut(queries.withColumn("query_id", F.col("query_id").cast("string")))
     n_queries = queries.count()
     query_blocks = max(1, -(-n_queries // BLOCK_ROWS))
     if "owner" in queries.columns:

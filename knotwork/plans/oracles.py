@@ -620,3 +620,167 @@ ORACLES |= {
             WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM benchmark) AND length(w) >= 6 GROUP BY 1, 2"""
     ),
 }
+
+# --- mutations ------------------------------------------------------------------------------
+
+PART_GROUPS = """
+part_groups AS (
+  SELECT p_name, lower(p_name) folded, min(p_partkey) first_key, max_by(p_size, p_partkey)::double size,
+    list_reduce(list(p_brand||' '||p_type ORDER BY p_partkey),
+      lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a||chr(10)||x END) description
+  FROM part GROUP BY p_name
+)
+"""
+
+EDGE_BATCH = """
+batch AS (
+  SELECT 'order:'||l_orderkey source_id, 'part:'||l_partkey target_id,
+    CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'contains' END relationship_type,
+    l_quantity / 45 weight, l_linenumber line, l_orderkey * 100 + l_linenumber * 10 seq
+  FROM lineitem
+),
+good AS (SELECT * FROM batch WHERE weight <= 1),
+incoming AS (SELECT source_id, target_id, relationship_type, max(weight) weight, max_by(line, seq)::double line, count(*) n
+  FROM good GROUP BY 1, 2, 3)
+"""
+
+ENTITY_PATCHES = """
+renames AS (
+  SELECT s_suppkey, 'Supplier of '||s_nationkey new_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1 AS ok
+  FROM supplier
+)
+"""
+
+MERGES = """
+merges AS (
+  SELECT 'c'||c_custkey request_id, c_custkey seq, 'customer:'||c_custkey s, 'customer:'||min(c_custkey) OVER w t, c_mktsegment description
+  FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment)
+  UNION ALL SELECT 's'||s_suppkey, s_suppkey, 'supplier:'||s_suppkey, 'supplier:'||max(s_suppkey) OVER w, ''
+  FROM supplier WINDOW w AS (PARTITION BY s_nationkey)
+),
+m AS (SELECT * FROM merges WHERE s <> t),
+mapped AS (
+  SELECT r.id, coalesce(ms.t, r.source_id) source_id, coalesce(mt.t, r.target_id) target_id, relationship_type, weight,
+    coalesce(ms.request_id, mt.request_id) request_id, coalesce(ms.seq, mt.seq) seq
+  FROM relationships r LEFT JOIN m ms ON ms.s = r.source_id LEFT JOIN m mt ON mt.s = r.target_id
+),
+placed_edges AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id, target_id, relationship_type ORDER BY seq NULLS FIRST, request_id, id) rn,
+    max(weight) OVER (PARTITION BY source_id, target_id, relationship_type) top,
+    count(request_id) OVER (PARTITION BY source_id, target_id, relationship_type) moved
+  FROM mapped
+)
+"""
+
+ORACLES |= {
+    "upsert_entities": q(
+        """SELECT e.id, e.name, e.entity_type, CASE WHEN s_suppkey IS NULL THEN e.description ELSE 'nation '||s_nationkey END description,
+             (properties->>'size')::double size, (properties->>'acctbal')::double acctbal, s_nationkey::double nation, s_suppkey IS NOT NULL changed
+           FROM entities e LEFT JOIN supplier ON e.id = 'supplier:'||s_suppkey
+           UNION ALL SELECT sha256('main'||chr(1)||folded||chr(1)||'part'), p_name, 'part', description, size, NULL, NULL, true FROM part_groups""",
+        PART_GROUPS,
+    ),
+    "upsert_entities_status": q(
+        """SELECT 'p'||p_partkey request_id, sha256('main'||chr(1)||folded||chr(1)||'part') id,
+             CASE WHEN p_partkey = first_key THEN 'created' ELSE 'merged' END status FROM part JOIN part_groups USING (p_name)
+           UNION ALL SELECT 's'||s_suppkey, 'supplier:'||s_suppkey, 'merged' FROM supplier
+           UNION ALL SELECT 'r'||r_regionkey, NULL, 'rejected' FROM region""",
+        PART_GROUPS,
+    ),
+    "upsert_relationships": q(
+        """SELECT coalesce(r.source_id, i.source_id) source_id, coalesce(r.target_id, i.target_id) target_id,
+             coalesce(r.relationship_type, i.relationship_type) relationship_type,
+             round(greatest(r.weight, i.weight), 6) weight, line, i.n IS NOT NULL changed
+           FROM relationships r FULL JOIN incoming i ON i.source_id = r.source_id AND i.target_id = r.target_id
+             AND i.relationship_type = r.relationship_type""",
+        EDGE_BATCH,
+    ),
+    "upsert_relationships_status": q(
+        """SELECT * FROM (
+             SELECT 'rejected' status, count(*) n FROM batch WHERE weight > 1
+             UNION ALL SELECT 'created', count(*) FROM incoming WHERE relationship_type = 'returned'
+             UNION ALL SELECT 'updated', (SELECT count(*) FROM good) - (SELECT count(*) FROM incoming WHERE relationship_type = 'returned'))
+           WHERE n > 0""",
+        EDGE_BATCH,
+    ),
+    "add_observations": q(
+        """SELECT entity_id AS key, count(*) n FROM (SELECT entity_id FROM observations UNION ALL
+             SELECT 'source:'||source FROM labels JOIN documents USING (doc_id)) GROUP BY 1
+           UNION ALL SELECT 'added', count(*) FROM labels JOIN documents USING (doc_id)
+           UNION ALL SELECT 'not_found', count(*) FROM pages"""
+    ),
+    "update_entities": q(
+        """SELECT e.id, coalesce(r.new_name, e.name) AS name, CASE WHEN r.ok THEN 'vendor' ELSE e.entity_type END entity_type,
+             CASE WHEN c_custkey IS NULL THEN e.description ELSE 'nation '||c_nationkey END description,
+             CASE WHEN r.ok THEN 1.0 END::double renamed, coalesce(r.ok, false) OR c_custkey IS NOT NULL changed
+           FROM entities e LEFT JOIN renames r ON r.ok AND e.id = 'supplier:'||s_suppkey
+           LEFT JOIN customer ON e.id = 'customer:'||c_custkey""",
+        ENTITY_PATCHES,
+    ),
+    "update_entities_status": q(
+        """SELECT 's'||s_suppkey request_id, 'supplier:'||s_suppkey entity_id, CASE WHEN ok THEN 'updated' ELSE 'conflict' END status FROM renames
+           UNION ALL SELECT 'c'||c_custkey, 'customer:'||c_custkey, 'updated' FROM customer
+           UNION ALL SELECT 'n'||n_nationkey, 'nation:'||n_nationkey, 'conflict' FROM nation
+           UNION ALL SELECT 'p'||page_id, NULL, 'not_found' FROM pages""",
+        ENTITY_PATCHES,
+    ),
+    "update_relationships": q(
+        """SELECT r.id, CASE WHEN p.o_orderstatus = 'F' THEN 'fulfilled' ELSE r.relationship_type END relationship_type,
+             round(coalesce(p.w, r.weight), 6) weight, p.w IS NOT NULL changed
+           FROM relationships r LEFT JOIN (SELECT *, o_totalprice / 400000 w FROM orders WHERE o_totalprice / 400000 <= 1) p
+             ON r.relationship_type = 'placed' AND r.target_id = 'order:'||o_orderkey"""
+    ),
+    "update_observations": q(
+        """SELECT o.id, md5(CASE WHEN c.role = 'user' THEN c.role||': '||c.text ELSE o.content END) digest
+           FROM observations o LEFT JOIN conversations c ON o.id = 'turn:'||conv_id||':'||turn
+           UNION ALL SELECT 'request '||conv_id||':'||turn, CASE WHEN role = 'user' THEN 'updated' ELSE 'not_found' END FROM conversations"""
+    ),
+    "delete_entities": q(
+        """SELECT 'entities' AS key, count(*) n FROM kept
+           UNION ALL SELECT 'relationships', count(*) FROM kept_r
+           UNION ALL SELECT 'observations', count(*) FROM observations WHERE entity_id IN (SELECT id FROM kept)
+           UNION ALL SELECT relationship_type, count(*) FROM kept_r GROUP BY 1
+           UNION ALL SELECT 'deleted', (SELECT count(*) FROM entities) - (SELECT count(*) FROM kept)
+           UNION ALL SELECT 'not_found', (SELECT count(*) FROM customer WHERE c_acctbal < 0) + (SELECT count(*) FROM pages)""",
+        """kept AS (SELECT * FROM entities WHERE entity_type <> 'user'
+             AND id NOT IN (SELECT 'customer:'||c_custkey FROM customer WHERE c_acctbal < 0)),
+           kept_r AS (SELECT * FROM relationships WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept))""",
+    ),
+    "delete_relationships": q(
+        """SELECT id, 0::bigint deleted FROM relationships WHERE (source_id, target_id, relationship_type) NOT IN (SELECT s, t, k FROM gone)
+           UNION ALL SELECT request_id, 1 FROM gone""",
+        """gone AS (
+             SELECT DISTINCT 'order:'||l_orderkey s, 'part:'||l_partkey t, 'contains' k, 'o-'||l_orderkey||'-'||l_partkey request_id
+             FROM lineitem WHERE l_returnflag = 'R'
+             UNION ALL SELECT DISTINCT 'supplier:'||l_suppkey, 'part:'||l_partkey, 'supplies', 's-'||l_suppkey||'-'||l_partkey
+             FROM lineitem WHERE l_discount > 0.09)""",
+    ),
+    "delete_observations": q(
+        """SELECT id AS key, 'left' state FROM observations WHERE id NOT IN (
+             SELECT 'event:'||event_id FROM events WHERE event_type = 'error' AND value > 10)
+           UNION ALL SELECT 'e'||event_id, CASE WHEN value > 10 THEN 'deleted' ELSE 'not_found' END FROM events WHERE event_type = 'error'"""
+    ),
+    "merge_entities": q(
+        """SELECT id, source_id, target_id, relationship_type, round(top, 6) weight, moved > 0 changed FROM placed_edges WHERE rn = 1""",
+        MERGES,
+    ),
+    "merge_entities_nodes": q(
+        """SELECT e.id, e.description, 0::bigint redirected, 0::bigint removed FROM entities e WHERE e.id NOT IN (SELECT s FROM m)
+           UNION ALL SELECT m.request_id, 'merged', coalesce(sum((rn = 1)::int), 0)::bigint, coalesce(sum((rn > 1)::int), 0)::bigint
+           FROM m LEFT JOIN placed_edges p USING (request_id) GROUP BY m.request_id""",
+        MERGES,
+    ),
+    "compact_observations": """
+        SELECT 'c'||conv_id request_id, CASE WHEN bad THEN 'rejected' ELSE 'compacted' END status, before,
+          CASE WHEN bad THEN 0 ELSE before - kept END deleted, CASE WHEN bad THEN 0 ELSE kept END kept,
+          (NOT bad)::bigint added, CASE WHEN bad THEN before ELSE kept + 1 END AS "after",
+          CASE WHEN bad THEN before ELSE kept + 1 END AS "left"
+        FROM (SELECT conv_id, count(*) before, count(*) FILTER (role = 'user') kept, bool_or(contains(text, 'e e')) bad
+              FROM conversations GROUP BY 1)""",
+    "import_graph": q(
+        """SELECT 'entities' "table", (SELECT count(*) FROM entities) - 1 imported, 0::bigint skipped
+           UNION ALL SELECT 'relationships', count(*) FILTER (target_id <> 'nation:0' AND source_id <> 'nation:0'),
+             count(*) FILTER (target_id = 'nation:0' OR source_id = 'nation:0') FROM relationships
+           UNION ALL SELECT 'observations', (SELECT count(*) FROM observations), 0"""
+    ),
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import scalars as S
 from knotwork.model import EMBEDDING_CACHE, Graph
+from knotwork.operators import mutate as M
 from knotwork.operators import relations as R
 from knotwork.operators import resolve as N
 from knotwork.operators import stats as A
@@ -16,6 +17,8 @@ from knotwork.operators import search as H
 from knotwork.operators import text as X
 from knotwork.operators import traverse as T
 from knotwork.operators import vector as V
+from knotwork.session import cut
+from knotwork.sources import documents as D
 from knotwork.sources import fixtures, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,13 +498,13 @@ def _encoded(df: DataFrame) -> DataFrame:
     none = df.sparkSession.createDataFrame([], EMBEDDING_CACHE)
     made, _ = V.embed_texts(ids, V.hashed_words(64, unit_length=False), none, "hash", "2024-01-01")
     vectors = made.select(F.col("id").alias(df.columns[0]), "embedding")
-    return df.join(vectors, df.columns[0])
+    return cut(df.join(vectors, df.columns[0]))
 
 
 def _with_entity_vectors(g: Graph) -> Graph:
     made = _encoded(fixtures.entity_texts(g))
     rows = made.select(F.lit("main").alias("graph_id"), "id", "embedding", F.lit("hash").alias("model_name"))
-    return g.replace(entity_embeddings=rows)
+    return g.replace(entity_embeddings=cut(rows))
 
 
 @on_tables
@@ -649,3 +652,263 @@ def mention_links(g, t):
     )
     links = X.link_mentions(g.replace(entities=g.entities.unionByName(terms)))
     return links.groupBy("observation_id", "entity_id").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+# --- mutations ------------------------------------------------------------------------------
+
+NOW = "2030-01-01 00:00:00"
+
+
+def changed():
+    return (F.col("updated_at") == F.lit(NOW).cast("timestamp")).alias("changed")
+
+
+def number(column: str, name: str):
+    value = F.try_variant_get(S.props_map(F.col(column))[name], "$", "double")
+    return value.alias(name)
+
+
+def _entity_batch(t) -> DataFrame:
+    """Parts under their repeated plain names, and suppliers again in lower case."""
+    props = lambda c, name: F.to_json(F.struct(F.col(c).alias(name)))
+    parts = t("part").select(
+        key("p", "p_partkey").alias("request_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"),
+        F.lit("Part ").alias("entity_type"), F.concat_ws(" ", "p_brand", "p_type").alias("description"),
+        props("p_size", "size").alias("properties"),
+    )
+    suppliers = t("supplier").select(
+        key("s", "s_suppkey"), F.col("s_suppkey"), F.lower("s_name"), F.lit("supplier"),
+        key("nation ", "s_nationkey"), props("s_nationkey", "nation"),
+    )
+    blank = t("region").select(
+        key("r", "r_regionkey"), F.col("r_regionkey").cast("long"), F.lit(" "), F.lit("region"), F.lit(""), F.lit("{}")
+    )
+    return parts.unionAll(suppliers).unionAll(blank)
+
+
+@on_tables
+def upsert_entities(g, t):
+    after, _ = M.upsert_entities(g, _entity_batch(t), NOW)
+    return after.entities.select(
+        "id", "name", "entity_type", "description", number("properties", "size"),
+        number("properties", "acctbal"), number("properties", "nation"), changed(),
+    )
+
+
+@on_tables
+def upsert_entities_status(g, t):
+    _, status = M.upsert_entities(g, _entity_batch(t), NOW)
+    return status.select("request_id", "id", "status")
+
+
+def _edge_batch(t) -> DataFrame:
+    named = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    seq = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
+    return named.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("request_id"), seq.alias("seq"),
+        key("Order#", "l_orderkey").alias("source"),
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")).alias("target"),
+        F.when(F.col("l_returnflag") == "R", "Returned").otherwise("Contains").alias("relationship_type"),
+        (F.col("l_quantity") / 45).alias("weight"),
+        F.to_json(F.struct(F.col("l_linenumber").alias("line"))).alias("properties"),
+    )
+
+
+@on_tables
+def upsert_relationships(g, t):
+    after, _ = M.upsert_relationships(g, _edge_batch(t), NOW)
+    return after.relationships.select(
+        "source_id", "target_id", "relationship_type", F.round("weight", 6).alias("weight"),
+        number("properties", "line"), changed(),
+    )
+
+
+@on_tables
+def upsert_relationships_status(g, t):
+    _, status = M.upsert_relationships(g, _edge_batch(t), NOW)
+    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_tables
+def add_observations(g, t):
+    """Every page as a fact on the source it names, and labels on the sources of their documents."""
+    labels = t("labels").join(t("documents"), "doc_id").select(
+        key("l", "doc_id").alias("request_id"), F.col("doc_id").alias("seq"), F.upper("source").alias("entity_name"),
+        F.concat_ws(" ", F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("content"),
+    )
+    pages = t("pages").select(key("p", "page_id"), F.col("page_id"), F.col("url"), F.col("html"))
+    after, status = M.add_observations(g, labels.unionAll(pages), NOW, "text")
+    owners = after.observations.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("entity_id").alias("key"), "n"
+    )
+    return owners.unionAll(status.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _entity_patches(t) -> DataFrame:
+    """Suppliers renamed by nation, which clashes within a nation; customers described; misses."""
+    none = F.lit(None).cast("string")
+    suppliers = t("supplier").select(
+        key("s", "s_suppkey").alias("request_id"), F.col("s_suppkey").alias("seq"), F.upper("s_name").alias("name"),
+        key("Supplier of ", "s_nationkey").alias("new_name"), none.alias("description"),
+        F.lit('{"renamed": 1}').alias("properties"), F.lit(" Vendor").alias("entity_type"),
+    )
+    customers = t("customer").select(
+        key("c", "c_custkey"), F.col("c_custkey"), F.col("c_name"), none, key("nation ", "c_nationkey"), none, none
+    )
+    taken = t("nation").select(
+        key("n", "n_nationkey"), F.col("n_nationkey").cast("long"), F.col("n_name"), F.lit("asia"), none, none, none
+    )
+    misses = t("pages").select(key("p", "page_id"), F.col("page_id"), F.col("url"), none, none, none, none)
+    return suppliers.unionAll(customers).unionAll(taken).unionAll(misses)
+
+
+@on_tables
+def update_entities(g, t):
+    after, _ = M.update_entities(g, _entity_patches(t), NOW)
+    return after.entities.select(
+        "id", "name", "entity_type", "description", number("properties", "renamed"), changed()
+    )
+
+
+@on_tables
+def update_entities_status(g, t):
+    _, status = M.update_entities(g, _entity_patches(t), NOW)
+    return status.select("request_id", "entity_id", "status")
+
+
+@on_tables
+def update_relationships(g, t):
+    """Order edges weighted by price, too high ones rejected; finished orders get another type."""
+    patches = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        key("o", "o_orderkey").alias("request_id"), F.col("o_orderkey").alias("seq"), F.col("c_name").alias("source"),
+        key("Order#", "o_orderkey").alias("target"), F.lit("PLACED").alias("relationship_type"),
+        (F.col("o_totalprice") / 400000).alias("new_weight"),
+        F.when(F.col("o_orderstatus") == "F", "Fulfilled").alias("new_type"),
+    )
+    after, _ = M.update_relationships(g, patches, NOW)
+    return after.relationships.select("id", "relationship_type", F.round("weight", 6).alias("weight"), changed())
+
+
+@on_tables
+def update_observations(g, t):
+    """Turns get their role in front; requests in the name of the next conversation fail."""
+    owner = F.when(F.col("role") == "user", F.col("conv_id")).otherwise(F.col("conv_id") + 1)
+    patches = t("conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("turn").alias("seq"),
+        F.concat(F.lit("conversation "), owner.cast("string")).alias("entity_name"),
+        F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("observation_id"),
+        F.concat_ws(": ", "role", "text").alias("content"),
+    )
+    after, status = M.update_observations(g, patches)
+    texts = after.observations.select("id", F.md5("content").alias("digest"))
+    return texts.unionAll(status.select(F.concat(F.lit("request "), "request_id"), "status"))
+
+
+@on_tables
+def delete_entities(g, t):
+    """Indebted customers go, asked for twice, with all they own; unknown names are skipped."""
+    debt = t("customer").filter("c_acctbal < 0")
+    names = debt.select(
+        key("c", "c_custkey").alias("request_id"), F.col("c_custkey").alias("seq"), F.upper("c_name").alias("name")
+    )
+    again = debt.select(key("d", "c_custkey"), F.col("c_custkey") + 1_000_000_000, F.col("c_name"))
+    users = t("events").select("user_id").distinct().select(
+        key("u", "user_id"), F.col("user_id"), key("User ", "user_id")
+    )
+    misses = t("pages").select(key("p", "page_id"), F.col("page_id"), F.col("url"))
+    after, status = M.delete_entities(g, names.unionAll(again).unionAll(users).unionAll(misses))
+    left = A.graph_counts(after).select(F.col("table").alias("key"), "n")
+    kinds = A.type_distribution(after.relationships, "relationship_type").toDF("key", "n")
+    return left.unionAll(kinds).unionAll(status.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
+
+@on_tables
+def delete_relationships(g, t):
+    """Returned lines leave their orders; every edge between air suppliers and their parts goes."""
+    named = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    part = F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string"))
+    typed = named.filter("l_returnflag = 'R'").select(
+        F.concat_ws("-", F.lit("o"), "l_orderkey", "l_partkey").alias("request_id"), F.lit(1).alias("seq"),
+        key("Order#", "l_orderkey").alias("source"), part.alias("target"), F.lit("Contains").alias("relationship_type"),
+    ).distinct()
+    every = named.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).filter("l_discount > 0.09").select(
+        F.concat_ws("-", F.lit("s"), "l_suppkey", "l_partkey"), F.lit(1), F.col("s_name"), part,
+        F.lit(None).cast("string"),
+    ).distinct()
+    after, status = M.delete_relationships(g, typed.unionAll(every))
+    rows = after.relationships.select("id", F.lit(0).cast("long").alias("deleted"))
+    return rows.unionAll(status.select("request_id", "deleted"))
+
+
+@on_tables
+def delete_observations(g, t):
+    """Error events go; asked for under another user they stay."""
+    owner = F.when(F.col("value") > 10, F.col("user_id")).otherwise(F.col("user_id") + 1)
+    asked = t("events").filter("event_type = 'error'").select(
+        key("e", "event_id").alias("request_id"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("User "), owner.cast("string")).alias("entity_name"),
+        key("event:", "event_id").alias("observation_id"),
+    )
+    after, status = M.delete_observations(g, asked)
+    rows = after.observations.select(F.col("id").alias("key"), F.lit("left").alias("state"))
+    return rows.unionAll(status.select("request_id", "status"))
+
+
+def _merge_pairs(t) -> DataFrame:
+    """Customers of one nation and segment merged into the first, suppliers of one nation into the last."""
+    first = t("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("k"))
+    customers = t("customer").join(first, ["c_nationkey", "c_mktsegment"]).filter("c_custkey <> k").select(
+        key("c", "c_custkey").alias("request_id"), F.col("c_custkey").alias("seq"),
+        key("customer:", "c_custkey").alias("source_id"), key("customer:", "k").alias("target_id"),
+    )
+    last = t("supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("k"))
+    suppliers = t("supplier").join(last, "s_nationkey").filter("s_suppkey <> k").select(
+        key("s", "s_suppkey"), F.col("s_suppkey"), key("supplier:", "s_suppkey"), key("supplier:", "k")
+    )
+    return customers.unionAll(suppliers)
+
+
+@on_tables
+def merge_entities(g, t):
+    after, _ = M.merge_entities(g, _merge_pairs(t), NOW)
+    return after.relationships.select(
+        "id", "source_id", "target_id", "relationship_type", F.round("weight", 6).alias("weight"), changed()
+    )
+
+
+@on_tables
+def merge_entities_nodes(g, t):
+    after, status = M.merge_entities(g, _merge_pairs(t), NOW)
+    rows = after.entities.select("id", "description", F.lit(0).cast("long").alias("redirected"), F.lit(0).cast("long").alias("removed"))
+    return rows.unionAll(
+        status.select("request_id", "status", "redirected_relationships", "removed_duplicate_relationships")
+    )
+
+
+@on_tables
+def compact_observations(g, t):
+    """Conversations keep what the user said and get a summary; every third speaker list is wrong."""
+    turn_id = F.concat_ws(":", F.lit("turn"), "conv_id", "turn")
+    requests = t("conversations").groupBy("conv_id").agg(
+        F.collect_list(F.when(F.col("role") == "user", turn_id)).alias("keep_ids"),
+        F.max(F.col("text").contains("e e")).alias("bad"),
+    ).select(
+        key("c", "conv_id").alias("request_id"), F.col("conv_id").alias("seq"), key("Conversation ", "conv_id").alias("entity_name"),
+        F.when(F.col("bad"), F.array_append("keep_ids", F.lit("turn:none"))).otherwise(F.col("keep_ids")).alias("keep_ids"),
+        F.array(F.lit(" "), key("summary of ", "conv_id")).alias("new_observations"),
+    )
+    after, status = M.compact_observations(g, requests, NOW, "text")
+    left = after.observations.groupBy("entity_id").agg(F.count(F.lit(1)).alias("left"))
+    return status.join(left, "entity_id").drop("entity_id")
+
+
+@on_graph
+def import_graph(g):
+    """Tables fed back through the import rules into an empty graph, one nation withheld."""
+    rows = {
+        "entities": g.entities.filter("name <> 'NATION_0'").withColumn("seq", F.col("id")),
+        "relationships": g.relationships.withColumn("seq", F.col("id")),
+        "observations": g.observations.withColumn("seq", F.col("id")),
+    }
+    _, counts = D.import_rows(Graph.of(g.spark), rows, NOW, keep_ids=True)
+    return counts
