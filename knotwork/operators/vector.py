@@ -18,7 +18,8 @@ from knotwork.session import cut
 #: Rows of vectors or queries that meet in one task group.
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
-PLACES = 6
+PLACES = 9
+SHOWN_PLACES = 6
 SLACK = 4e-6
 
 
@@ -76,6 +77,10 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _shown(best: DataFrame) -> DataFrame:
+    return best.withColumn("score", F.round("score", SHOWN_PLACES))
+
+
 def _scan(pairs: DataFrame, vectors: DataFrame, cells: DataFrame, query_blocks: int, k: int, metric: str) -> DataFrame:
     """Score ``pairs(query_id, embedding, cell)`` against ``vectors(id, embedding, cell)``.
 
@@ -169,7 +174,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     if "owner" in queries.columns:
         cells = vectors.groupBy(F.col("owner").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
         pairs = queries.withColumnRenamed("owner", "cell")
-        return _best(_scan(pairs, vectors.withColumnRenamed("owner", "cell"), cells, query_blocks, k, metric), k)
+        own = vectors.withColumnRenamed("owner", "cell")
+        return _shown(_best(_scan(pairs, own, cells, query_blocks, k, metric), k))
 
     total = vectors.count()
     wanted = min(MAX_PIVOTS, max(1, int(total**0.5)))
@@ -204,7 +210,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     )
     others = bounded.mapInPandas(_choose(pivots, radius, size, k, metric, False), pair_schema)
     more = _scan(others, placed, cells, query_blocks, k, metric)
-    return _best(found.unionByName(more), k)
+    return _shown(_best(found.unionByName(more), k))
 
 
 # --- embedding texts ------------------------------------------------------------------------

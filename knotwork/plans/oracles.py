@@ -475,12 +475,12 @@ def bm25(name: str, docs: str, queries: str, k: int, keep: str = "true", scope:
 {name}_q AS (SELECT query_id, unnest(list_distinct({WORDS.format('text')})) term FROM ({queries})),
 {name}_scores AS (
   SELECT q.query_id, t.id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2
-    / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) score
+    / (f + 1.2 * (0.25 + 0.75 * len / mean))), 9) score
   FROM {name}_q q JOIN {name}_tf t USING (term) JOIN {name}_df USING (term) JOIN {name}_len l ON l.id = t.id, {name}_all
   WHERE {keep} AND {scope} GROUP BY q.query_id, t.id
 ),
 {name} AS (
-  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank
+  SELECT query_id, id, round(score, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY {name}_scores.score DESC, id)::int rank
   FROM {name}_scores QUALIFY rank <= {k}
 )
 """
@@ -500,7 +500,7 @@ def knn(name: str, queries: str, vectors: str, k: int) -> str:
     return f"""
 {name} AS (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank FROM (
-    SELECT q.query_id, v.id, round(list_cosine_similarity(q.v, v.v), 6) score FROM ({queries}) q, ({vectors}) v)
+    SELECT q.query_id, v.id, round(list_cosine_similarity(q.v, v.v), 9) score FROM ({queries}) q, ({vectors}) v)
   QUALIFY rank <= {k}
 )
 """
@@ -520,14 +520,14 @@ ORACLES |= {
     "bm25_topk": q("SELECT * FROM txt", bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30)),
     "bm25_hot_terms": q("SELECT * FROM txt", bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30)),
     "vector_topk": """
-        SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int rank FROM (
+        SELECT query_id, id, round(near, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id)::int rank FROM (
           SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
-            round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score FROM embeddings a, embeddings b)
+            round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) near FROM embeddings a, embeddings b)
         QUALIFY rank <= 10""",
     "vector_topk_l2": """
-        SELECT query_id, id, -far AS score, row_number() OVER (PARTITION BY query_id ORDER BY far, id)::int rank FROM (
+        SELECT query_id, id, round(-far, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY far, id)::int rank FROM (
           SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
-            round(list_distance(a.embedding::double[], b.embedding::double[]), 6) far FROM embeddings a, embeddings b)
+            round(list_distance(a.embedding::double[], b.embedding::double[]), 9) far FROM embeddings a, embeddings b)
         QUALIFY rank <= 5""",
     "search_observations": q(
         f"""SELECT query_id, f.id, e.name entity_name, e.entity_type, round(score, 6) relevance_score, rank
@@ -726,7 +726,7 @@ ORACLES |= {
     ),
     "update_relationships": q(
         """SELECT r.id, CASE WHEN p.o_orderstatus = 'F' THEN 'fulfilled' ELSE r.relationship_type END relationship_type,
-             round(coalesce(p.w, r.weight), 6) weight, p.w IS NOT NULL changed
+             coalesce(p.w, r.weight) weight, p.w IS NOT NULL changed
            FROM relationships r LEFT JOIN (SELECT *, o_totalprice / 400000 w FROM orders WHERE o_totalprice / 400000 <= 1) p
              ON r.relationship_type = 'placed' AND r.target_id = 'order:'||o_orderkey"""
     ),

@@ -786,7 +786,7 @@ def update_relationships(g, t):
         F.when(F.col("o_orderstatus") == "F", "Fulfilled").alias("new_type"),
     )
     after, _ = M.update_relationships(g, patches, NOW)
-    return after.relationships.select("id", "relationship_type", F.round("weight", 6).alias("weight"), changed())
+    return after.relationships.select("id", "relationship_type", "weight", changed())
 
 
 @on_tables
