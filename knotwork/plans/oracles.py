@@ -400,6 +400,10 @@ ORACLES |= {
         reach(3, OWN.format("nation"), "some_steps"),
         recursive=True,
     ),
+    "bfs_hubs": q(
+        "SELECT query_id, id, depth FROM reached",
+        ENDS, STEPS, reach(2, "SELECT id query_id, id FROM degree_of ORDER BY degree DESC, name, id LIMIT 10"), recursive=True,
+    ),
     "bfs_budget": q(
         """SELECT query_id, least(count(*), 200)::bigint visited, count(*) > 200 truncated FROM reached GROUP BY query_id""",
         STEPS, reach(2, OWN.format("supplier")), recursive=True,

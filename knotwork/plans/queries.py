@@ -430,6 +430,14 @@ def bfs_outgoing(g):
     return reached
 
 
+@on_graph
+def bfs_hubs(g):
+    """Two hops around each of the ten best connected entities, kept apart."""
+    hubs = cut(A.most_connected(g, 10).select(F.col("id").alias("query_id"), "id"))
+    reached, _ = T.bfs(g, hubs, 2, node_budget=None)
+    return reached
+
+
 @on_graph
 def bfs_budget(g):
     """Every supplier with a budget of 200 nodes: how many nodes per level, and which were cut."""

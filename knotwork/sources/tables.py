@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from knotwork.model import TABLES, Graph
 
 #: Rule for graph names (fixed values).
-GRAPH_ID_PATTERN = "^[A-Za-z0-9_-]+$"
+GRAPH_ID_PATTERN = r"^[A-Za-z0-9_-]+\z"
 GRAPH_ID_MAX = 64
 GRAPH_ID_RESERVED = "graph"
 
