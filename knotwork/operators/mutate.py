@@ -24,11 +24,14 @@ from knotwork.functions.scalars import (
 from knotwork.model import ENTITY, OBSERVATION, RELATIONSHIP, Graph
 from knotwork.operators.relations import validate_entities, validate_observations, validate_relationships
 from knotwork.operators.resolve import resolve_names
-from knotwork.session import broadcast_if_small, cut
+from knotwork.session import broadcast_if_small, cut, sized
 
 EDGE_KEY = ["source_id", "target_id", "relationship_type"]
 MERGE_ROW_BYTES = 400
 
+#: Rows carrying texts and properties are counted as this large when a broadcast is weighed.
+TEXT_ROW_BYTES = 2048
+
 
 def _stamp(now) -> Column:
     return F.lit(now).cast("timestamp")
@@ -57,7 +60,7 @@ def _fold_props(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFra
 
 
 def _overlay(old: Column, new: Column) -> Column:
-    return F.when(new.isNull(), old).otherwise(overlay_props(old, new))
+    return F.when(new.isNull(), old).when(old == "{}", new).otherwise(overlay_props(old, new))
 
 
 def _resolve_column(g: Graph, requests: DataFrame, name: str, out: str, type_column: str | None = None) -> DataFrame:
@@ -78,6 +81,17 @@ def _resolve_column(g: Graph, requests: DataFrame, name: str, out: str, type_col
     return requests.join(right, requests[name] == right["_name"], "left").drop("_name")
 
 
+def _left_and_new(table: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """A full outer join that leaves the table in place when ``incoming`` is small enough to broadcast.
+
+    Rows of the table take up their incoming part; incoming keys the table lacks follow as new rows.
+    """
+    kept = table.join(incoming, key, "left")
+    present = table.join(incoming.select(*key), key, "left_semi").select(*key).distinct()
+    fresh = incoming.join(present, key, "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
 # --- upserts --------------------------------------------------------------------------------
 
 
@@ -99,11 +113,11 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
         F.min_by("head", "seq").alias("head"),
         F.min("seq").alias("first_seq"),
     )
-    incoming = incoming.join(_fold_props(good, key), key, "left")
+    incoming = sized(incoming.join(_fold_props(good, key), key, "left"), TEXT_ROW_BYTES)
     here = g.entities.filter(F.col("graph_id") == graph_id)
     elsewhere = g.entities.filter(F.col("graph_id") != graph_id)
     old = here.withColumn("folded", nocase(F.col("name")))
-    both = old.join(incoming, key, "full_outer")
+    both = _left_and_new(old, incoming, key)
     is_old, touched = F.col("id").isNotNull(), F.col("first_seq").isNotNull()
     fresh_id = F.coalesce("head.id", new_id(F.lit(graph_id), F.col("folded"), F.col("entity_type")))
     base = F.when(is_old, F.coalesce("description", F.lit(""))).otherwise(F.col("texts")[0]["description"])
@@ -121,11 +135,9 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
         F.when(is_old, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    known = incoming.select(*key, "first_seq", "head").join(
-        old.select(*key, F.col("id").alias("old_id")), key, "left"
-    ).select(
-        *key, "first_seq", F.col("old_id").isNotNull().alias("existed"),
-        F.coalesce("old_id", fresh_id).alias("id"),
+    matched = cut(old.join(incoming.select(*key), key, "left_semi").select(*key, F.col("id").alias("old_id")))
+    known = incoming.select(*key, "first_seq", "head").join(matched, key, "left").select(
+        *key, "first_seq", F.col("old_id").isNotNull().alias("existed"), F.coalesce("old_id", fresh_id).alias("id")
     )
     outcome = F.when(~F.col("existed") & (F.col("seq") == F.col("first_seq")), "created").otherwise("merged")
     status = good.drop("id").join(known, key).select(
@@ -175,8 +187,8 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
     incoming = good.groupBy(*EDGE_KEY).agg(
         F.max("weight").alias("new_weight"), F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("given_id")
     )
-    incoming = incoming.join(_fold_props(good, EDGE_KEY), EDGE_KEY, "left")
-    both = g.relationships.join(incoming, EDGE_KEY, "full_outer")
+    incoming = sized(incoming.join(_fold_props(good, EDGE_KEY), EDGE_KEY, "left"), TEXT_ROW_BYTES)
+    both = _left_and_new(g.relationships, incoming, EDGE_KEY)
     is_old, touched, stamp = F.col("id").isNotNull(), F.col("first_seq").isNotNull(), _stamp(now)
     edges = both.select(
         F.coalesce("graph_id", F.lit(graph_id)).alias("graph_id"),
@@ -188,8 +200,9 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
         F.when(is_old, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*RELATIONSHIP.names)
+    matched = g.relationships.join(incoming.select(*EDGE_KEY), EDGE_KEY, "left_semi")
     known = incoming.select(*EDGE_KEY, "first_seq").join(
-        g.relationships.select(*EDGE_KEY, F.lit(True).alias("existed")), EDGE_KEY, "left"
+        matched.select(*EDGE_KEY, F.lit(True).alias("existed")), EDGE_KEY, "left"
     )
     created = F.col("existed").isNull() & (F.col("seq") == F.col("first_seq"))
     status = _done(good.join(known, EDGE_KEY), F.when(created, "created").otherwise("updated"))
@@ -197,8 +210,8 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
     return g.replace(relationships=edges), status
 
 
-def add_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame]:
-    """Append ``batch(request_id, seq, entity_name | entity_id, content[, source, id])``.
+def new_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[DataFrame, DataFrame]:
+    """Rows that ``batch(request_id, seq, entity_name | entity_id, content[, source, id])`` adds.
 
     Nothing is deduplicated, but ids follow from owner, text, request and sequence, and a row whose
     id is already stored is not added again: a replayed batch changes nothing.
@@ -219,8 +232,16 @@ def add_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     rows = good.withColumns(
         {"id": F.coalesce("id", key), "graph_id": F.lit(graph_id), "created_at": _stamp(now)}
     )
-    fresh = rows.join(g.observations.select("id"), "id", "left_anti").select(*OBSERVATION.names)
+    ids = sized(rows.select("id").distinct())
+    present = g.observations.select("id").join(ids, "id", "left_semi")
+    fresh = rows.join(present, "id", "left_anti").select(*OBSERVATION.names)
     status = _done(rows, F.lit("added")).unionByName(_failed(bad)).unionByName(_failed(missing, "not_found"))
+    return fresh, status
+
+
+def add_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame]:
+    """Append observations to named entities; see :func:`new_observations`."""
+    fresh, status = new_observations(g, batch, now, graph_id)
     return g.replace(observations=g.observations.unionByName(fresh)), status
 
 
@@ -268,6 +289,7 @@ def update_entities(g: Graph, patches: DataFrame, now) -> tuple[Graph, DataFrame
     change = applied.groupBy("entity_id").agg(
         _last("new_name"), _last("description").alias("new_description"), _last("new_type")
     ).join(_fold_props(applied, ["entity_id"]), "entity_id", "left").withColumnRenamed("entity_id", "id")
+    change = sized(change, TEXT_ROW_BYTES)
     stamp = _stamp(now)
     entities = g.entities.join(change.withColumn("hit", F.lit(True)), "id", "left").select(
         "graph_id", "id",
@@ -319,6 +341,7 @@ def update_relationships(g: Graph, patches: DataFrame, now) -> tuple[Graph, Data
     change = applied.groupBy("edge_id").agg(_last("new_weight"), _last("new_type")).join(
         _fold_props(applied, ["edge_id"]), "edge_id", "left"
     ).withColumnRenamed("edge_id", "id")
+    change = sized(change, TEXT_ROW_BYTES)
     stamp = _stamp(now)
     edges = g.relationships.join(change.withColumn("hit", F.lit(True)), "id", "left").select(
         "graph_id", "id", "source_id", "target_id",
@@ -338,9 +361,10 @@ def _own_requests(g: Graph, requests: DataFrame) -> DataFrame:
     """Requests on observations with their owner resolved; ``old_content`` is NULL if not owned."""
     if "entity_id" not in requests.columns:
         requests = _resolve_column(g, requests, "entity_name", "entity_id")
+    asked = sized(requests.select("observation_id", "entity_id").distinct())
     facts = g.observations.select(
         F.col("id").alias("observation_id"), "entity_id", F.col("content").alias("old_content")
-    )
+    ).join(asked, ["observation_id", "entity_id"], "left_semi")
     return requests.join(facts, ["observation_id", "entity_id"], "left")
 
 
@@ -359,6 +383,7 @@ def update_observations(g: Graph, patches: DataFrame) -> tuple[Graph, DataFrame]
     change = found.filter("status = 'updated'").groupBy(F.col("observation_id").alias("id")).agg(
         F.max_by("content", "seq").alias("new_content")
     )
+    change = sized(change, TEXT_ROW_BYTES)
     rows = g.observations.join(change, "id", "left").withColumn("content", F.coalesce("new_content", "content"))
     out = found.select(
         "request_id", "seq", "observation_id", "status", "old_content", F.col("content").alias("new_content")
@@ -379,7 +404,7 @@ def delete_entities(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
     Of several requests for one entity the first deletes it; the others find nothing.
     """
     found = resolve_names(g.entities, requests)
-    hit = found.filter("entity_id is not null").groupBy("entity_id").agg(F.min("seq").alias("first_seq"))
+    hit = sized(found.filter("entity_id is not null").groupBy("entity_id").agg(F.min("seq").alias("first_seq")))
     ids = hit.select(F.col("entity_id").alias("id"))
     facts = g.observations.join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").select("id")
     after = Graph(
@@ -409,11 +434,14 @@ def delete_relationships(g: Graph, requests: DataFrame) -> tuple[Graph, DataFram
     typed = found.filter("relationship_type is not null")
     every = found.filter("relationship_type is null")
     pair = ["source_id", "target_id"]
-    left = g.relationships.join(typed.select(*EDGE_KEY), EDGE_KEY, "left_anti").join(
-        every.select(*pair), pair, "left_anti"
+    typed_keys = sized(typed.select(*EDGE_KEY).distinct())
+    pair_keys = sized(every.select(*pair).distinct())
+    left = g.relationships.join(typed_keys, EDGE_KEY, "left_anti").join(
+        pair_keys, pair, "left_anti"
     ).select(*RELATIONSHIP.names)
-    one = g.relationships.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("n"))
-    all_types = g.relationships.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+    count = F.count(F.lit(1)).alias("n")
+    one = g.relationships.join(typed_keys, EDGE_KEY, "left_semi").groupBy(*EDGE_KEY).agg(count)
+    all_types = g.relationships.join(pair_keys, pair, "left_semi").groupBy(*pair).agg(count)
     counted = typed.join(one, EDGE_KEY, "left").select("request_id", "seq", "n").unionByName(
         every.join(all_types, pair, "left").select("request_id", "seq", "n")
     ).unionByName(missing.select("request_id", "seq", F.lit(None).cast("long").alias("n")))
@@ -424,7 +452,7 @@ def delete_relationships(g: Graph, requests: DataFrame) -> tuple[Graph, DataFram
 def delete_observations(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
     """Delete ``requests(request_id, seq, entity_name | entity_id, observation_id)`` owned by that entity."""
     found = _own_requests(g, requests)
-    ids = found.filter("old_content is not null").select(F.col("observation_id").alias("id")).distinct()
+    ids = sized(found.filter("old_content is not null").select(F.col("observation_id").alias("id")).distinct())
     after = g.replace(
         observations=_without(g.observations, ids),
         observation_embeddings=_without(g.observation_embeddings, ids),
@@ -444,7 +472,8 @@ def compact_observations(g: Graph, requests: DataFrame, now, graph_id: str = "ma
     """
     if "entity_id" not in requests.columns:
         requests = _resolve_column(g, requests, "entity_name", "entity_id")
-    owned_n = g.observations.groupBy("entity_id").agg(F.count(F.lit(1)).alias("before"))
+    asked = sized(requests.select("entity_id").distinct())
+    owned_n = g.observations.join(asked, "entity_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("before"))
     keeps = requests.select(
         "request_id", "entity_id", F.explode(F.array_distinct("keep_ids")).alias("id")
     )
@@ -457,7 +486,7 @@ def compact_observations(g: Graph, requests: DataFrame, now, graph_id: str = "ma
     status = F.when(F.col("entity_id").isNull(), "not_found").when(F.col("unknown") > 0, "rejected").otherwise("compacted")
     joined = cut(joined.withColumn("status", status))
     good = joined.filter("status = 'compacted'")
-    scope = good.select("entity_id")
+    scope = sized(good.select("entity_id"))
     kept_ids = keeps.join(good.select("request_id"), "request_id", "left_semi").select("id")
     others = g.observations.join(scope, "entity_id", "left_anti")
     kept = g.observations.join(scope, "entity_id", "left_semi").join(kept_ids, "id", "left_semi")
@@ -493,7 +522,7 @@ def _merge_wave(g: Graph, wave: DataFrame, size: int, now) -> tuple[Graph, DataF
     """Apply merges ``wave(request_id, ord, source, target)`` of which none feeds another."""
     stamp = _stamp(now)
     small = broadcast_if_small(wave, size, MERGE_ROW_BYTES)
-    sources = wave.select(F.col("source").alias("id"))
+    sources = broadcast_if_small(wave.select(F.col("source").alias("id")), size, MERGE_ROW_BYTES)
 
     texts = (
         g.entities.select(F.col("id").alias("source"), F.coalesce("description", F.lit("")).alias("d"))
@@ -533,7 +562,7 @@ def _merge_wave(g: Graph, wave: DataFrame, size: int, now) -> tuple[Graph, DataF
     looped = touched.filter("source_id = target_id")
     repointed = touched.filter("source_id <> target_id")
     stay = mapped.filter("ord is null")
-    keys = repointed.select(*EDGE_KEY).distinct()
+    keys = sized(repointed.select(*EDGE_KEY).distinct())
     clear = stay.join(keys, EDGE_KEY, "left_anti").select(*RELATIONSHIP.names)
     rank = F.struct(F.col("ord").isNotNull().alias("late"), F.col("ord"), F.col("id"))
     group = stay.join(keys, EDGE_KEY, "left_semi").select(*stay.columns).unionByName(repointed).withColumn("rank", rank)

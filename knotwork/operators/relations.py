@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import blank, nocase, norm_type, strip
 from knotwork.model import Graph
+from knotwork.session import sized
 
 
 def recent_first() -> list[Column]:
@@ -71,7 +72,7 @@ def touching(
     if direction not in ("both", "outgoing", "incoming"):
         raise ValueError(f"unknown direction {direction!r}")
     edges = of_types(edges, types, "relationship_type")
-    wanted = ids.select(F.col("id").alias("entity_id")).distinct()
+    wanted = sized(ids.select(F.col("id").alias("entity_id")).distinct())
     out = edges.withColumn("entity_id", F.col("source_id")).join(wanted, "entity_id")
     out = out.withColumn("direction", F.lit("outgoing"))
     loops_out = edges if direction == "incoming" else edges.filter("source_id <> target_id")
@@ -108,7 +109,7 @@ def list_relationships(
 def induced_edges(g: Graph, ids: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Edges whose two ends are both in ``ids(id)``."""
     edges = g.relationships if edges is None else edges
-    wanted = ids.select("id").distinct()
+    wanted = sized(ids.select("id").distinct())
     return edges.join(wanted.toDF("source_id"), "source_id", "left_semi").join(
         wanted.toDF("target_id"), "target_id", "left_semi"
     )
@@ -152,7 +153,7 @@ def screen_batch(batch: DataFrame) -> DataFrame:
 
 def lookup(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``ids(id)``."""
-    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+    return df.join(sized(ids.select(F.col("id").alias(column)).distinct()), column, "left_semi")
 
 
 def lookup_edges(g: Graph, keys: DataFrame) -> DataFrame:

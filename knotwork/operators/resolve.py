@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.scalars import nocase, tokens
+from knotwork.functions.scalars import nocase
 from knotwork.model import Graph
+from knotwork.operators.text import bm25_topk, build_text_index
+from knotwork.session import broadcast_if_small, cut
+
+NAME_ROW_BYTES = 160
+
+#: Length of the substrings that stand for a text when names containing it are looked for.
+GRAM = 3
 
 
 def resolve_names(entities: DataFrame, requests: DataFrame) -> DataFrame:
     """Resolve ``requests(request_id, name[, entity_type])`` to one entity each.
 
     Preference: exact name and type, exact name, name in any case; within a tier the newest, then
-    the lowest id. ``match_count`` is the number of entities sharing the name in any case. Entities
-    are reduced to one row per spelling before the join and requests to distinct names, so neither
-    a much-used name nor a much-asked one piles up in a task.
+    the lowest id. ``match_count`` is the number of entities sharing the name in any case. Requests
+    are reduced to distinct names, which filter the entities before anything is shuffled, and entities
+    to one row per spelling, so neither a much-used name nor a much-asked one piles up in a task.
     """
     if "entity_type" not in requests.columns:
         requests = requests.withColumn("entity_type", F.lit(None).cast("string"))
-    wanted = requests.select(
-        F.col("name").alias("want"), F.col("entity_type").alias("want_type")
-    ).distinct()
+    wanted = cut(
+        requests.select(F.col("name").alias("want"), F.col("entity_type").alias("want_type")).distinct()
+    )
+    rows = wanted.count()
+    wanted = wanted.withColumn("folded", nocase(F.col("want")))
+    asked = broadcast_if_small(wanted.select("folded").distinct(), rows, NAME_ROW_BYTES)
     newest = F.struct(-F.unix_micros("updated_at"), F.col("id"))
-    spellings = entities.groupBy(
-        nocase(F.col("name")).alias("folded"), "name", "entity_type"
-    ).agg(F.min(newest).alias("best"), F.count(F.lit(1)).alias("n"))
+    spellings = (
+        entities.select(nocase(F.col("name")).alias("folded"), "name", "entity_type", "updated_at", "id")
+        .join(asked, "folded", "left_semi")
+        .groupBy("folded", "name", "entity_type")
+        .agg(F.min(newest).alias("best"), F.count(F.lit(1)).alias("n"))
+    )
     tier = (
         F.when((F.col("name") == F.col("want")) & (F.col("entity_type") == F.col("want_type")), 0)
         .when(F.col("name") == F.col("want"), 1)
         .otherwise(2)
     )
     chosen = (
-        wanted.withColumn("folded", nocase(F.col("want")))
-        .join(spellings, "folded")
+        wanted.join(spellings, "folded")
         .groupBy("want", "want_type")
         .agg(
             F.min(F.struct(tier.alias("tier"), "best", "name", "entity_type")).alias("pick"),
@@ -63,35 +75,66 @@ def resolve_names(entities: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def suggest_names(g: Graph, misses: DataFrame, k: int = 5) -> DataFrame:
-    """Up to ``k`` entity names for each unresolved ``misses(request_id, name)``.
+def _grams(c: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths, with the length."""
+    of = lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)
+    )
+    return F.array_distinct(F.filter(F.flatten(F.array(*map(of, sizes))), lambda x: x != ""))
+
 
-    Names sharing most words with the request come first, then by name. Requests without a shared
-    word fall back to a substring match. Words are matched against distinct names only.
+def _containing(names: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """First ``k`` of ``names(name)`` containing ``wanted(want)``, case ignored, without comparing all pairs.
+
+    A name that contains the text contains its substrings of three characters. A longer text is looked
+    up under its rarest one and then checked; for a shorter one the first names of that very substring
+    are the answer, so they are cut to ``k`` before the join.
     """
-    wanted = misses.select("name").distinct().withColumnRenamed("name", "want")
-    names = g.entities.select("name").distinct()
-    words = names.select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
-    asked = wanted.select("want", F.explode(F.array_distinct(tokens(F.col("want")))).alias("word"))
-    shared = asked.join(words, "word").groupBy("want", "name").agg(
-        F.count(F.lit(1)).alias("shared_words")
+    grams = names.select("name", F.explode(_grams(F.lower("name"), [1, 2, GRAM])).alias("gram"))
+    short = wanted.filter(F.length("want") <= GRAM).select("want", F.lower("want").alias("gram"))
+    by_gram = Window.partitionBy("gram").orderBy("name")
+    heads = (
+        grams.join(short.select("gram").distinct(), "gram", "left_semi")
+        .withColumn("rank", F.row_number().over(by_gram))
+        .filter(F.col("rank") <= k)
+        .drop("rank")
     )
-    unmatched = wanted.join(shared.select("want").distinct(), "want", "left_anti")
-    inside = (
-        names.join(F.broadcast(unmatched), F.lower("name").contains(F.lower("want")))
-        .select("want", "name")
-        .withColumn("shared_words", F.lit(0).cast("long"))
+    long = wanted.filter(F.length("want") > GRAM).select(
+        "want", F.explode(_grams(F.lower("want"), [GRAM])).alias("gram")
     )
-    order = Window.partitionBy("want").orderBy(F.col("shared_words").desc(), "name")
-    best = (
-        shared.unionByName(inside)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .withColumnRenamed("name", "suggestion")
+    counts = grams.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return misses.select("request_id", "name").join(
-        best.withColumnRenamed("want", "name"), "name"
+    # A text with a substring that no name has is contained in none.
+    rarest = (
+        long.join(counts, "gram", "left")
+        .groupBy("want")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("pick"))
+        .filter("pick.n > 0")
+        .select("want", "pick.gram")
     )
+    checked = rarest.join(grams, "gram").filter(F.lower("name").contains(F.lower("want")))
+    found = short.join(heads, "gram").select("want", "name").unionAll(checked.select("want", "name"))
+    in_order = Window.partitionBy("want").orderBy("name")
+    return found.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
+
+
+def suggest_names(g: Graph, misses: DataFrame, k: int = 5) -> DataFrame:
+    """Up to ``k`` entity names for each unresolved ``misses(request_id, name)``.
+
+    Names found by full-text search on the request come first; a request without a hit falls back to
+    the names that contain it. Only distinct names are searched.
+    """
+    wanted = cut(misses.select("name").distinct().withColumnRenamed("name", "want"))
+    names = cut(g.entities.select("name").distinct())
+    index = build_text_index(names.select(F.col("name").alias("id"), F.col("name").alias("text")))
+    asked = wanted.select(F.col("want").alias("query_id"), F.col("want").alias("text"))
+    hits = cut(bm25_topk(asked, index, k).select(F.col("query_id").alias("want"), F.col("id").alias("name"), "rank"))
+    unmatched = cut(wanted.join(hits.select("want").distinct(), "want", "left_anti"))
+    best = hits.unionByName(_containing(names, unmatched, k))
+    return misses.select("request_id", "name").join(
+        best.select(F.col("want"), F.col("name").alias("suggestion"), "rank"), F.col("name") == F.col("want")
+    ).drop("want")
 
 
 def ambiguous_names(g: Graph) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.model import Graph
-from knotwork.session import cut
+from knotwork.session import cut, sized
 
 #: Rows of vectors or queries that meet in one task group.
 BLOCK_ROWS = 2048
@@ -85,20 +85,19 @@ def _scan(pairs: DataFrame, vectors: DataFrame, cells: DataFrame, query_blocks:
     """Score ``pairs(query_id, embedding, cell)`` against ``vectors(id, embedding, cell)``.
 
     A cell's vectors are split into blocks and so are the queries, hence no task group grows with
-    the size of a cell or the number of queries asking for it.
+    the size of a cell or the number of queries asking for it. Cells nobody visits are not moved.
     """
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    sized = cells.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    all_blocks = F.lit(query_blocks)
-    v = (
-        vectors.join(sized, "cell")
-        .withColumn("block", part("id", F.col("blocks")))
-        .select("cell", "block", "id", "embedding", numbers(all_blocks).alias("query_block"))
+    pairs = cut(pairs.withColumn("query_block", part("query_id", F.lit(query_blocks))))
+    sizes = cells.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    visits = sized(pairs.select("cell", "query_block").distinct().join(sizes, "cell"))
+    v = vectors.join(visits, "cell").select(
+        "cell", part("id", F.col("blocks")).alias("block"),
+        F.col("query_block").alias("query_block"), "id", "embedding",
     )
-    q = pairs.join(sized, "cell").select(
-        "cell", numbers(F.col("blocks")).alias("block"), part("query_id", all_blocks).alias("query_block"),
-        "query_id", "embedding",
+    q = pairs.join(visits, ["cell", "query_block"]).select(
+        "cell", numbers(F.col("blocks")).alias("block"), "query_block", "query_id", "embedding"
     )
     key = ["cell", "block", "query_block"]
     return (

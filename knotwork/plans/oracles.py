@@ -312,16 +312,6 @@ ORACLES: dict[str, str] = {
             ) c ON c.request_id = a.request_id AND c.rn = 1""",
         NAMES_ASKED,
     ),
-    "suggest_names": q(
-        """SELECT m.request_id, s.suggestion, s.rank FROM (SELECT 'n'||p_partkey request_id, p_name||' ring' AS name FROM part) m
-           JOIN (SELECT want, name suggestion, row_number() OVER (PARTITION BY want ORDER BY n DESC, name)::int rank
-                 FROM (SELECT want, name, count(*) n FROM asked_words JOIN name_words USING (word) GROUP BY 1, 2)) s
-           ON s.want = m.name WHERE s.rank <= 5""",
-        r"""asked_words AS (SELECT want, unnest(list_distinct(regexp_extract_all(lower(want), '[\p{L}\p{N}_]+'))) word
-             FROM (SELECT DISTINCT p_name||' ring' want FROM part)),
-            name_words AS (SELECT name, unnest(list_distinct(regexp_extract_all(lower(name), '[\p{L}\p{N}_]+'))) word
-             FROM (SELECT DISTINCT name FROM entities))""",
-    ),
     "entity_profiles": q(
         """SELECT e.id entity_id, coalesce(r.n, 0) relationship_count, coalesce(o.n, 0) observation_count,
              coalesce(r.n, 0) > 50 relationships_truncated, coalesce(o.n, 0) > 50 observations_truncated,
@@ -788,3 +778,22 @@ ORACLES |= {
            UNION ALL SELECT 'observations', (SELECT count(*) FROM observations), 0"""
     ),
 }
+
+NAME_TEXTS = "SELECT DISTINCT name id, name AS text FROM entities"
+MISSED_NAMES = """
+  SELECT 'n'||p_partkey request_id, p_name||' ring' AS name FROM part
+  UNION ALL SELECT 'u'||page_id, substr(url, length(url) - 2) FROM pages
+  UNION ALL SELECT 'd'||doc_id, 'omer#'||doc_id FROM documents
+"""
+
+ORACLES |= {
+    "suggest_names": q(
+        """SELECT m.request_id, s.id suggestion, s.rank FROM misses m JOIN txt s ON s.query_id = m.name
+           UNION ALL SELECT m.request_id, i.name, i.rank FROM misses m JOIN inside i ON i.want = m.name""",
+        f"misses AS ({MISSED_NAMES})",
+        bm25("txt", NAME_TEXTS, "SELECT DISTINCT name query_id, name AS text FROM misses", 5),
+        """inside AS (SELECT want, name, row_number() OVER (PARTITION BY want ORDER BY name)::int rank FROM (
+             SELECT DISTINCT m.name want, e.name FROM misses m JOIN entities e ON contains(lower(e.name), lower(m.name))
+             WHERE m.name NOT IN (SELECT query_id FROM txt)) QUALIFY rank <= 5)""",
+    ),
+}

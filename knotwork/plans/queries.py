@@ -319,9 +319,11 @@ def resolve_names(g, t):
 
 @on_tables
 def suggest_names(g, t):
-    misses = t("part").select(
-        key("n", "p_partkey").alias("request_id"),
-        F.concat(F.col("p_name"), F.lit(" ring")).alias("name"),
+    """Part names with a word too many, tails of page addresses, and broken customer names."""
+    misses = (
+        t("part").select(key("n", "p_partkey").alias("request_id"), F.concat("p_name", F.lit(" ring")).alias("name"))
+        .unionAll(t("pages").select(key("u", "page_id"), F.expr("substring(url, length(url) - 2)")))
+        .unionAll(t("documents").select(key("d", "doc_id"), key("omer#", "doc_id")))
     )
     return N.suggest_names(g, misses).select("request_id", "suggestion", "rank")
 

@@ -35,6 +35,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, row_bytes: int = 256) -> DataFrame:
+    """Write a request-side frame, count it, and hint a broadcast when it fits the bound.
+
+    A small batch then meets a large table without the table being shuffled; a large batch is left to
+    a shuffled join.
+    """
+    written = cut(df)
+    return broadcast_if_small(written, written.count(), row_bytes)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast for a counted side that fits the bound; else leave the join to AQE."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,31 +65,47 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
-def save_graph(g: Graph, store: str, version: str) -> None:
+def save_graph(
+    g: Graph, store: str, version: str, changed: set[str] | None = None, appended: dict[str, DataFrame] | None = None
+) -> None:
     """Write a snapshot into a new folder, then point the manifest at it.
 
     Readers follow the manifest, so they see all tables of one version or all of another, and a job
-    may read the previous snapshot while it writes the next.
+    may read the previous snapshot while it writes the next. With ``changed`` only those tables are
+    written, and ``appended`` rows go beside the folders a table has already; every other table keeps
+    the folders of the previous version.
     """
+    before = read_manifest(g.spark, store)
+    folders = dict(before["tables"]) if before else {}
+    appended = appended or {}
     for name, df in g.tables().items():
-        df.write.mode("overwrite").partitionBy("graph_id").parquet(f"{store}/{version}/{name}")
-    write_text(g.spark, f"{store}/manifest.json", json.dumps({"version": version}))
+        whole = changed is None or name in changed or name not in folders
+        rows = df if whole and name not in appended else appended.get(name)
+        if rows is None:
+            continue
+        folder = f"{version}/{name}"
+        rows.write.mode("overwrite").partitionBy("graph_id").parquet(f"{store}/{folder}")
+        folders[name] = folders.get(name, []) + [folder] if name in appended else [folder]
+    write_text(g.spark, f"{store}/manifest.json", json.dumps({"version": version, "tables": folders}))
 
 
-def current_version(spark: SparkSession, store: str) -> str | None:
+def read_manifest(spark: SparkSession, store: str) -> dict | None:
     text = read_text(spark, f"{store}/manifest.json")
-    return json.loads(text)["version"] if text else None
+    return json.loads(text) if text else None
 
 
 def load_graph(spark: SparkSession, store: str, graph_id: str | None = None) -> Graph:
     """The snapshot the manifest names; an empty graph when there is none yet."""
-    version = current_version(spark, store)
-    if version is None:
+    manifest = read_manifest(spark, store)
+    if manifest is None:
         return Graph.of(spark)
-    g = Graph(
-        **{
-            name: spark.read.schema(schema).parquet(f"{store}/{version}/{name}").select(*schema.names)
-            for name, schema in TABLES.items()
-        }
-    )
+
+    def read(name: str, schema) -> DataFrame:
+        parts = [
+            spark.read.schema(schema).parquet(f"{store}/{folder}").select(*schema.names)
+            for folder in manifest["tables"][name]
+        ]
+        return functools.reduce(DataFrame.unionAll, parts)
+
+    g = Graph(**{name: read(name, schema) for name, schema in TABLES.items()})
     return g if graph_id is None else select_graph(g, graph_id)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from knotwork.operators.mutate import add_observations, upsert_entities, upsert_relationships
+from knotwork.model import Graph
+from knotwork.operators.mutate import new_observations, upsert_entities, upsert_relationships
 from knotwork.session import cut
-from knotwork.sources.tables import current_version, load_graph, save_graph
+from knotwork.sources.tables import load_graph, read_manifest, save_graph
 
 #: One record of any kind; ``kind`` is entity, relationship or observation.
 RECORD = T.StructType(
@@ -30,22 +33,48 @@ RECORD = T.StructType(
 )
 
 
-def apply_records(g, records: DataFrame, now, graph_id: str = "main"):
-    """Entities first, then edges and observations by entity name; returns graph and statuses."""
-    of = lambda kind: records.filter(F.col("kind") == kind)
-    entities = of("entity").select("request_id", "seq", "name", "entity_type", "description", "properties")
-    edges = of("relationship").select(
-        "request_id", "seq", "source", "target", "relationship_type", "weight", "properties"
-    )
-    facts = of("observation").select(
-        "request_id", "seq", F.col("name").alias("entity_name"), "content", "source"
+#: Table each kind of record goes to.
+TABLE_OF = {"entity": "entities", "relationship": "relationships", "observation": "observations"}
+
+
+def apply_records(g: Graph, records: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame, DataFrame]:
+    """Entities first, then edges and observations by entity name.
+
+    Returns the graph with its entities and edges, the added observations by themselves, and the
+    statuses. Tables the records do not concern are passed on as they are.
+    """
+    kinds = {r.kind for r in records.select("kind").distinct().filter(F.col("kind").isin(*TABLE_OF)).collect()}
+    of = lambda kind, *columns: records.filter(F.col("kind") == kind).select(
+        "request_id", "seq", *columns
     )
-    g, s1 = upsert_entities(g, entities, now, graph_id)
-    g = g.replace(entities=cut(g.entities))
-    g, s2 = upsert_relationships(g, edges, now, graph_id)
-    g, s3 = add_observations(g, facts, now, graph_id)
-    parts = [s.select("request_id", "seq", "status", "reason") for s in (s1, s2, s3)]
-    return g, parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fresh, statuses = g.observations.limit(0), []
+    if "entity" in kinds:
+        g, status = upsert_entities(g, of("entity", "name", "entity_type", "description", "properties"), now, graph_id)
+        g = g.replace(entities=cut(g.entities))
+        statuses.append(status)
+    if "relationship" in kinds:
+        edges = of("relationship", "source", "target", "relationship_type", "weight", "properties")
+        g, status = upsert_relationships(g, edges, now, graph_id)
+        statuses.append(status)
+    if "observation" in kinds:
+        facts = of("observation", F.col("name").alias("entity_name"), "content", "source")
+        fresh, status = new_observations(g, facts, now, graph_id)
+        statuses.append(status)
+    shown = [s.select("request_id", "seq", "status", "reason") for s in statuses]
+    none = records.select("request_id", "seq", F.lit("").alias("status"), F.lit("").alias("reason")).limit(0)
+    return g, fresh, functools.reduce(DataFrame.unionByName, shown, none)
+
+
+def _write_batch(records: DataFrame, store: str, version: str, now, graph_id: str) -> None:
+    """Write what one micro-batch changes: tables it has records for, of observations the added rows only."""
+    spark = records.sparkSession
+    before = load_graph(spark, store)
+    after, fresh, status = apply_records(before, records, now, graph_id)
+    touched = {
+        name for name in ("entities", "relationships") if getattr(after, name) is not getattr(before, name)
+    }
+    save_graph(after, store, version, touched, {"observations": fresh})
+    status.write.mode("overwrite").parquet(f"{store}/{version}/status")
 
 
 def ingest_stream(
@@ -59,14 +88,10 @@ def ingest_stream(
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = current_version(spark, store)
-        if done is not None and int(done.split("-")[1]) >= number:
+        done = read_manifest(batch.sparkSession, store)
+        if done is not None and int(done["version"].split("-")[1]) >= number:
             return
-        records = cut(batch)
-        after, status = apply_records(load_graph(spark, store), records, now(number), graph_id)
-        save_graph(after, store, f"batch-{number}")
-        status.write.mode("overwrite").parquet(f"{store}/batch-{number}/status")
+        _write_batch(cut(batch), store, f"batch-{number}", now(number), graph_id)
 
     return (
         stream.writeStream.foreachBatch(apply)
