@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import blank, nocase, norm_type, strip
 from knotwork.model import Graph
-from knotwork.session import sized
+from knotwork.session import cut, shuffle_partitions, sized
 
 
 def recent_first() -> list[Column]:
@@ -33,6 +33,30 @@ def total_of(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
+#: A sorted limit up to this size is kept as one heap per task; a larger one is cut by ranges.
+SORTED_LIMIT = 10_000
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows in a total order, also when ``n`` is far too large for one task.
+
+    Large limits sort by range, count the rows of each range and keep whole ranges; only the range
+    the limit falls into is cut.
+    """
+    if n <= SORTED_LIMIT:
+        return df.orderBy(*order).limit(n)
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    left = n
+    for row in sizes:  # one row per range
+        if row.n > left:
+            inside = ranged.filter(F.col("_range") == row["_range"]).orderBy(*order).limit(left)
+            return ranged.filter(F.col("_range") < row["_range"]).unionAll(inside).drop("_range")
+        left -= row.n
+    return ranged.drop("_range")
+
+
 def topk_with_flag(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Best ``k`` rows per group with ``rank``, the group's ``total`` and a ``truncated`` flag.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.model import Graph
+from knotwork.operators.relations import first_rows
 from knotwork.session import cut, sized
 
 #: Rows of vectors or queries that meet in one task group.
@@ -297,7 +298,8 @@ def delete_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
 
 def prune_cache(cache: DataFrame, n: int) -> DataFrame:
     """Keep the ``n`` most recently used entries, by the full (content_hash, model_name) key."""
-    return cache.orderBy(F.desc("last_used"), "content_hash", "model_name").limit(n)
+    order = [F.col("last_used").desc(), F.col("content_hash").asc(), F.col("model_name").asc()]
+    return first_rows(cache, order, n)
 
 
 def embedding_report(g: Graph) -> DataFrame:

@@ -107,3 +107,12 @@ def test_unknown_fields_are_rejected(spark):
     df = spark.createDataFrame([("a", 1)], "name string, nmae int")
     with pytest.raises(ValueError, match="nmae"):
         R.reject_unknown_columns(df, {"name"})
+
+
+def test_large_sorted_limit(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id")
+    order = [F.col("a").desc(), F.col("id").asc()]
+    want = rows(df.orderBy(*order).limit(333), "a", "id")
+    monkeypatch.setattr(R, "SORTED_LIMIT", 10)
+    assert rows(R.first_rows(df, order, 333), "a", "id") == want
+    assert R.first_rows(df, order, 5000).count() == 1000
