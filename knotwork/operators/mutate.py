@@ -22,10 +22,21 @@ from knotwork.functions.scalars import (
     strip,
 )
 from knotwork.model import ENTITY, OBSERVATION, RELATIONSHIP, Graph
-from knotwork.operators.relations import validate_entities, validate_observations, validate_relationships
+from knotwork.operators.relations import (
+    reject_unknown_columns,
+    screen_batch,
+    validate_entities,
+    validate_observations,
+    validate_relationships,
+)
 from knotwork.operators.resolve import resolve_names
 from knotwork.session import broadcast_if_small, cut, sized
 
+#: Fields a request may have.
+ENTITY_FIELDS = "request_id seq id name entity_type description properties observations"
+EDGE_FIELDS = "request_id seq id source target source_id target_id relationship_type weight properties"
+FACT_FIELDS = "request_id seq id entity_name entity_id content source"
+
 EDGE_KEY = ["source_id", "target_id", "relationship_type"]
 MERGE_ROW_BYTES = 400
 
@@ -102,6 +113,7 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     descriptions are appended unless already contained; later properties win. Status: created,
     merged or rejected, with the surviving id.
     """
+    reject_unknown_columns(batch, ENTITY_FIELDS)
     good, bad = validate_entities(batch)
     good = _with(good, id=F.lit(None).cast("string")).withColumn("folded", nocase(F.col("name")))
     key = ["folded", "entity_type"]
@@ -181,6 +193,7 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
     the higher weight is kept and later properties win.
     """
     ends = ("source_id", "target_id") if "source_id" in batch.columns else ("source", "target")
+    reject_unknown_columns(batch, EDGE_FIELDS)
     good, bad = validate_relationships(batch, ends)
     good, missing = _split_ends(g, good)
     good = _with(good, id=F.lit(None).cast("string"))
@@ -217,6 +230,7 @@ def new_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     id is already stored is not added again: a replayed batch changes nothing.
     """
     by_name = "entity_id" not in batch.columns
+    reject_unknown_columns(batch, FACT_FIELDS)
     good, bad = validate_observations(batch, "entity_name" if by_name else "entity_id")
     if by_name:
         good = _resolve_column(g, good, "entity_name", "entity_id")
@@ -245,6 +259,25 @@ def add_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     return g.replace(observations=g.observations.unionByName(fresh)), status
 
 
+def add_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame, DataFrame]:
+    """Upsert entities together with their ``observations`` (array of texts).
+
+    Observations go to the entity their row ended up as, by id. The third frame lists the added rows
+    that lack a description or observations.
+    """
+    after, status = upsert_entities(g, batch.drop("observations"), now, graph_id)
+    status = cut(status)
+    after = after.replace(entities=cut(after.entities))
+    texts = batch.select("request_id", F.posexplode("observations").alias("place", "content"))
+    owners = status.filter("id is not null").select("request_id", F.col("id").alias("entity_id"))
+    facts = texts.join(owners, "request_id").select(
+        "request_id", F.col("place").alias("seq"), "entity_id", "content"
+    )
+    after, _ = add_observations(after, facts, now, graph_id)
+    good, _ = validate_entities(batch)
+    return after, status, screen_batch(good)
+
+
 # --- updates --------------------------------------------------------------------------------
 
 

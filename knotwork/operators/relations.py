@@ -323,8 +323,9 @@ def _optional(df: DataFrame, **defaults) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def reject_unknown_columns(df: DataFrame, allowed: set[str]) -> None:
-    unknown = sorted(set(df.columns) - allowed)
+def reject_unknown_columns(df: DataFrame, allowed: str) -> None:
+    """Misspelt fields must not be dropped silently; the error names them."""
+    unknown = sorted(set(df.columns) - set(allowed.split()))
     if unknown:
         raise ValueError(f"unknown fields: {', '.join(unknown)}")
 

@@ -797,3 +797,34 @@ ORACLES |= {
              WHERE m.name NOT IN (SELECT query_id FROM txt)) QUALIFY rank <= 5)""",
     ),
 }
+
+ORACLES |= {
+    "owned_requests": """
+        SELECT 'user:'||user_id entity_id, count(*) n, 'owned' outcome FROM events GROUP BY user_id
+        UNION ALL SELECT 'user:'||(user_id + 1), count(*), 'missing' FROM events GROUP BY user_id""",
+    "rrf_fuse": q(
+        """SELECT query_id, id, round(sum(s), 9) score FROM (
+             SELECT query_id, id, 0.25 / (60 + rank) s FROM vec UNION ALL SELECT query_id, id, 0.75 / (60 + rank) FROM txt) GROUP BY 1, 2""",
+        bm25("txt", OBSERVATION_TEXTS, BENCHMARK_QUERIES, 30),
+        hash_vectors("qv", BENCHMARK_QUERIES, "query_id"), knn("vec", "SELECT * FROM qv", GIVEN_VECTORS, 30),
+    ),
+    "add_entities": q(
+        """SELECT entity_type AS key, count(*) n FROM (
+             SELECT entity_type, name FROM entities UNION SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en') GROUP BY 1
+           UNION ALL SELECT source, count(*) FROM (SELECT source FROM observations
+             UNION ALL SELECT '' FROM documents WHERE length(trim(text)) > 0) GROUP BY 1
+           UNION ALL SELECT 'hints', 0"""
+    ),
+    "load_graph": q(
+        """SELECT 'entities' "table", count(*) n FROM entities WHERE graph_id = 'main'
+           UNION ALL SELECT 'relationships', count(*) FROM relationships UNION ALL SELECT 'observations', 0"""
+    ),
+    "export_graph": q(
+        """SELECT "table", n, n ids FROM count_rows""", COUNT_ROWS
+    ),
+    "ingest_stream": """
+        SELECT 'User '||user_id AS name, observation_count, description FROM (
+          SELECT user_id, count(*) observation_count FROM events GROUP BY 1) JOIN (
+          SELECT user_id, list_reduce(list(event_type ORDER BY event_id),
+            lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a||chr(10)||x END) description FROM events GROUP BY 1) USING (user_id)""",
+}

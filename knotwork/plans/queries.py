@@ -17,9 +17,10 @@ from knotwork.operators import search as H
 from knotwork.operators import text as X
 from knotwork.operators import traverse as T
 from knotwork.operators import vector as V
-from knotwork.session import cut
+from knotwork.session import cut, scratch_path
 from knotwork.sources import documents as D
 from knotwork.sources import fixtures, tables
+from knotwork.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -922,3 +923,92 @@ def import_graph(g):
     }
     _, counts = D.import_rows(Graph.of(g.spark), rows, NOW, keep_ids=True)
     return counts
+
+
+@on_tables
+def owned_requests(g, t):
+    """Events asked for by their user and by the next user: which requests are in order."""
+    asked = t("events").select(
+        key("event:", "event_id").alias("observation_id"),
+        key("user:", "user_id").alias("entity_id"),
+    )
+    wrong = t("events").select(
+        key("event:", "event_id"), F.concat(F.lit("user:"), (F.col("user_id") + 1).cast("string"))
+    )
+    good, bad = R.owned(g, asked.unionAll(wrong))
+    count = F.count(F.lit(1)).alias("n")
+    return good.groupBy("entity_id").agg(count).withColumn("outcome", F.lit("owned")).unionAll(
+        bad.groupBy("entity_id").agg(count).withColumn("outcome", F.lit("missing"))
+    )
+
+
+@on_tables
+def rrf_fuse(g, t):
+    queries = _encoded(_benchmark_queries(t))
+    index = X.build_text_index(X.observation_documents(g))
+    txt = X.bm25_topk(queries.select("query_id", "text"), index, 30)
+    vec = V.vector_topk(queries.select("query_id", "embedding"), g.observation_embeddings.select("id", "embedding"), 30)
+    return H.rrf_fuse(vec, txt, 0.25).withColumn("score", F.round("score", 9))
+
+
+@on_tables
+def add_entities(g, t):
+    """Sources as documents describe them: an entity per language, its texts as observations."""
+    batch = t("documents").select(
+        key("d", "doc_id").alias("request_id"), F.col("doc_id").alias("seq"), F.upper("source").alias("name"),
+        F.when(F.col("lang") == "en", "source").otherwise(F.col("lang")).alias("entity_type"),
+        F.col("lang").alias("description"), F.array("text", F.lit(" ")).alias("observations"),
+    )
+    after, _, hints = M.add_entities(g, batch, NOW, "text")
+    kinds = after.entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    facts = after.observations.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.toDF("key", "n").unionAll(facts.toDF("key", "n")).unionAll(
+        hints.agg(F.lit("hints").alias("key"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+@on_graph
+def load_graph(g):
+    """A stored snapshot read back, one named graph of it."""
+    store = scratch_path(g.spark, "store")
+    tables.save_graph(g, store, "v1")
+    return A.graph_counts(tables.load_graph(g.spark, store, "main"))
+
+
+@on_graph
+def export_graph(g):
+    """Everything written as JSON lines and read back as text."""
+    path = scratch_path(g.spark, "export")
+    D.export_graph(g, path)
+    rows = D.read_export(g.spark, path)
+    count = F.count(F.lit(1)).alias("n")
+    frames = [df.agg(count, F.count_distinct("id").alias("ids")).withColumn("table", F.lit(n)) for n, df in rows.items()]
+    return frames[0].unionAll(frames[1]).unionAll(frames[2])
+
+
+def ingest_stream(spark, sf_dir):
+    """Events read as a stream: each makes its user known and hangs a fact on it."""
+    store, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "stream")
+    schema = fixtures.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    none = F.lit(None).cast("string")
+    record = lambda kind, **c: F.struct(*[
+        {"kind": F.lit(kind), "request_id": key(kind, "event_id"), "seq": F.col("event_id"), **c}.get(
+            f.name, none.cast(f.dataType)
+        ).alias(f.name)
+        for f in I.RECORD
+    ])
+    name = key("User ", "user_id")
+    records = events.select(
+        F.explode(F.array(
+            record("entity", name=name, entity_type=F.lit("user"), description=F.col("event_type")),
+            record("observation", name=F.upper(name), content=F.concat_ws(" ", "event_type", F.col("value").cast("string"))),
+        )).alias("r")
+    ).select("r.*")
+    I.ingest_stream(records, store, checkpoint, lambda number: NOW, "text").awaitTermination()
+    after = tables.load_graph(spark, store)
+    facts = A.observation_counts(after).withColumnRenamed("entity_id", "id")
+    return after.entities.join(facts, "id").select("name", "description", "observation_count")
+
+
+QUERIES["ingest_stream"] = ingest_stream

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,15 @@ def valid_graph_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def check_graph_id(graph_id: str) -> str:
+    """The name itself, or an error when it breaks the rule; for a name given by the caller."""
+    if not re.search(GRAPH_ID_PATTERN.replace(r"\z", r"\Z"), graph_id) or len(graph_id) > GRAPH_ID_MAX:
+        raise ValueError(f"invalid graph name {graph_id!r}")
+    if graph_id == GRAPH_ID_RESERVED:
+        raise ValueError(f"graph name {graph_id!r} is reserved")
+    return graph_id
+
+
 def select_graph(g: Graph, graph_id: str) -> Graph:
     """One named graph; on stored tables the filter prunes partitions."""
     return Graph(**{n: df.filter(F.col("graph_id") == graph_id) for n, df in g.tables().items()})

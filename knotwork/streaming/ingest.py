@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from knotwork.model import Graph
 from knotwork.operators.mutate import new_observations, upsert_entities, upsert_relationships
 from knotwork.session import cut
-from knotwork.sources.tables import load_graph, read_manifest, save_graph
+from knotwork.sources.tables import check_graph_id, load_graph, read_manifest, save_graph
 
 #: One record of any kind; ``kind`` is entity, relationship or observation.
 RECORD = T.StructType(
@@ -86,6 +86,7 @@ def ingest_stream(
     is replayed after a failure finds its own number in the manifest and does nothing, or starts from
     the snapshot before it; either way its rows count once. ``now`` maps a batch number to its time.
     """
+    check_graph_id(graph_id)
 
     def apply(batch: DataFrame, number: int) -> None:
         done = read_manifest(batch.sparkSession, store)

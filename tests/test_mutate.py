@@ -246,3 +246,17 @@ def test_merges_equal_one_at_a_time(spark, seed):
     assert dict(rows(after.observations, "id", "entity_id")) == owners
     got = {(r.source_id, r.target_id, r.relationship_type): (r.weight, json.loads(r.properties)) for r in after.relationships.collect()}
     assert got == {k: (w, p) for k, (_, w, p) in edges.items()}
+
+
+def test_add_entities_with_observations(spark):
+    g = people(spark, ["Ada"])
+    batch = spark.createDataFrame(
+        [("1", 1, "ADA", "person", "d", ["one", " "]), ("2", 2, "Ada", "robot", "", ["two"]), ("3", 3, "Cy", "robot", "x", [])],
+        "request_id string, seq long, name string, entity_type string, description string, observations array<string>",
+    )
+    after, status, hints = M.add_entities(g, batch, NOW)
+    ids = dict(rows(status, "request_id", "id"))
+    assert ids["1"] == "Ada" and rows(after.observations, "entity_id", "content") == sorted([("Ada", "one"), (ids["2"], "two")])
+    assert rows(hints, "name", "missing_description", "missing_observations") == [("Ada", True, False), ("Cy", False, True)]
+    with pytest.raises(ValueError, match="nmae"):
+        M.upsert_entities(g, batch.withColumnRenamed("name", "nmae"), NOW)

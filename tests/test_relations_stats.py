@@ -106,7 +106,7 @@ def test_scalars(spark):
 def test_unknown_fields_are_rejected(spark):
     df = spark.createDataFrame([("a", 1)], "name string, nmae int")
     with pytest.raises(ValueError, match="nmae"):
-        R.reject_unknown_columns(df, {"name"})
+        R.reject_unknown_columns(df, "name id")
 
 
 def test_large_sorted_limit(spark, monkeypatch):
