@@ -25,11 +25,17 @@ from knotwork.streaming import ingest as I
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The fixture graph; its tables hold plain timestamps, which are meant as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return fixtures.graph_from_tables(spark, sf_dir)
+
+
 def on_graph(fn: Callable[[Graph], DataFrame]):
     """Register a query that needs only the fixture graph."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(fixtures.graph_from_tables(spark, sf_dir))
+        return fn(_graph(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
     return fn
@@ -39,7 +45,7 @@ def on_tables(fn: Callable[[Graph, Callable[[str], DataFrame]], DataFrame]):
     """Register a query that also reads tables of the data folder."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = fixtures.graph_from_tables(spark, sf_dir)
+        g = _graph(spark, sf_dir)
         return fn(g, lambda name: fixtures.table(spark, sf_dir, name))
 
     QUERIES[fn.__name__] = run
