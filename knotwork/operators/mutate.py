@@ -18,6 +18,7 @@ from knotwork.functions.scalars import (
     nocase,
     norm_type,
     overlay_props,
+    props_json,
     props_map,
     strip,
 )
@@ -54,20 +55,27 @@ def _with(df: DataFrame, **defaults: Column) -> DataFrame:
 
 
 def _fold_props(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Overlay the ``properties`` of each key's rows in order.
+    """Overlay the ``properties`` of each key's rows in order, as ``new_properties``.
 
-    The last value of every single property is picked by an aggregate that combines map-side, so a
-    key with very many rows is never gathered; only its distinct property names are.
+    Where a key has several rows, the last value of every single property is picked by an aggregate
+    that combines map-side, so a key with very many rows is never gathered; only its distinct property
+    names are. Keys with one row, the usual case, keep what they have.
     """
-    value = F.to_json(F.col("v"))
+    filled = rows.filter(F.size(props_map(F.col("properties"))) > 0).select(*keys, order, "properties")
+    counted = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("properties").alias("properties"))
+    single = counted.filter("n = 1").select(
+        *keys, props_json(props_map(F.col("properties"))).alias("new_properties")
+    )
+    several = filled.join(sized(counted.filter("n > 1").select(*keys)), keys, "left_semi")
     last = (
-        rows.select(*keys, order, F.explode(props_map(F.col("properties"))).alias("k", "v"))
+        several.select(*keys, order, F.explode(props_map(F.col("properties"))).alias("k", "v"))
         .groupBy(*keys, "k")
-        .agg(F.max_by(value, order).alias("v"))
+        .agg(F.max_by(F.to_json(F.col("v")), order).alias("v"))
     )
     entries = F.array_sort(F.collect_list(F.struct("k", "v")))
     parsed = F.transform_values(F.map_from_entries(entries), lambda _, v: F.parse_json(v))
-    return last.groupBy(*keys).agg(F.to_json(parsed).alias("new_properties"))
+    folded = last.groupBy(*keys).agg(F.to_json(parsed).alias("new_properties"))
+    return single.unionByName(folded)
 
 
 def _overlay(old: Column, new: Column) -> Column:
@@ -115,7 +123,7 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     """
     reject_unknown_columns(batch, ENTITY_FIELDS)
     good, bad = validate_entities(batch)
-    good = _with(good, id=F.lit(None).cast("string")).withColumn("folded", nocase(F.col("name")))
+    good = cut(_with(good, id=F.lit(None).cast("string")).withColumn("folded", nocase(F.col("name"))))
     key = ["folded", "entity_type"]
     texts = good.groupBy(*key, "description").agg(
         F.min("seq").alias("seq"), F.min_by(F.struct("name", "id"), "seq").alias("head")
@@ -169,8 +177,12 @@ def _split_ends(g: Graph, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         with_t = with_s.join(ids.withColumnsRenamed({"id": "_t"}), F.col("target_id") == F.col("_t"), "left")
         found = with_t.withColumns({"source_id": F.col("_s"), "target_id": F.col("_t")}).drop("_s", "_t")
     else:
-        found = _resolve_column(g, requests, "source", "source_id")
-        found = _resolve_column(g, found, "target", "target_id")
+        names = requests.select(F.col("source").alias("name")).unionAll(requests.select("target")).distinct()
+        known = resolve_names(g.entities, names.withColumn("request_id", F.lit("")))
+        known = cut(known.select("name", "entity_id"))
+        found = requests.join(known.toDF("source", "source_id"), "source", "left").join(
+            known.toDF("target", "target_id"), "target", "left"
+        )
     reason = F.when(F.col("source_id").isNull(), "source not found").when(
         F.col("target_id").isNull(), "target not found"
     )
@@ -196,7 +208,7 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
     reject_unknown_columns(batch, EDGE_FIELDS)
     good, bad = validate_relationships(batch, ends)
     good, missing = _split_ends(g, good)
-    good = _with(good, id=F.lit(None).cast("string"))
+    good = cut(_with(good, id=F.lit(None).cast("string")))
     incoming = good.groupBy(*EDGE_KEY).agg(
         F.max("weight").alias("new_weight"), F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("given_id")
     )

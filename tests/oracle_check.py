@@ -23,6 +23,7 @@ def session(cores: int = 8):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
