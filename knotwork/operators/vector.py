@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from knotwork.model import Graph
 from knotwork.operators.relations import first_rows
-from knotwork.session import cut, sized
+from knotwork.session import collapse, cut, expand, sized
 
 #: Rows of vectors or queries that meet in one task group.
 BLOCK_ROWS = 2048
@@ -168,14 +168,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    queries = cut(queries.withColumn("query_id", F.col("query_id").cast("string")))
+    scope = [c for c in ("owner",) if c in queries.columns]
+    queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
+    queries, standing = collapse(queries, ["embedding", *scope])
     n_queries = queries.count()
     query_blocks = max(1, -(-n_queries // BLOCK_ROWS))
-    if "owner" in queries.columns:
+    if scope:
         cells = vectors.groupBy(F.col("owner").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
         pairs = queries.withColumnRenamed("owner", "cell")
         own = vectors.withColumnRenamed("owner", "cell")
-        return _shown(_best(_scan(pairs, own, cells, query_blocks, k, metric), k))
+        return expand(_shown(_best(_scan(pairs, own, cells, query_blocks, k, metric), k)), standing)
 
     total = vectors.count()
     wanted = min(MAX_PIVOTS, max(1, int(total**0.5)))
@@ -210,7 +212,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     )
     others = bounded.mapInPandas(_choose(pivots, radius, size, k, metric, False), pair_schema)
     more = _scan(others, placed, cells, query_blocks, k, metric)
-    return _shown(_best(found.unionByName(more), k))
+    return expand(_shown(_best(found.unionByName(more), k)), standing)
 
 
 # --- embedding texts ------------------------------------------------------------------------

@@ -70,3 +70,29 @@ def sized(df: DataFrame, row_bytes: int = 256) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast for a counted side that fits the bound; else leave the join to AQE."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def collapse(queries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """One query for each distinct value of ``columns``, and which query stands for which.
+
+    A batch may ask the same thing very often; it is worked out once. The second frame,
+    ``(query_id, answer_id)``, is None when all queries differ.
+    """
+    key = F.sha2(F.to_json(F.struct(*columns)), 256)
+    keyed = queries.select("query_id", *columns, key.alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("query_id").alias("answer_id"))
+    keyed = cut(keyed.join(first, "_key").drop("_key"))
+    own = keyed.filter("query_id = answer_id").select("query_id", *columns)
+    total, distinct = keyed.agg(
+        F.count(F.lit(1)), F.count(F.when(F.col("query_id") == F.col("answer_id"), 1))
+    ).first()
+    return own, None if total == distinct else keyed.select("query_id", "answer_id")
+
+
+def expand(answers: DataFrame, standing: DataFrame | None) -> DataFrame:
+    """Give every query the answer rows of the one that stands for it."""
+    if standing is None:
+        return answers
+    columns = answers.columns
+    named = answers.withColumnRenamed("query_id", "answer_id")
+    return standing.join(named, "answer_id").select(*columns)

@@ -40,6 +40,7 @@ def test_bm25_with_and_without_hot_terms(spark, seed):
     docs += [(f"copy{i:02d}", "the user") for i in range(30)]
     queries = [(f"q{i}", " ".join(rng.sample(common, rng.randrange(5)) + rng.sample(rare, rng.randrange(3)))) for i in range(20)]
     queries += [("hot", "the of user note"), ("one", "user"), ("none", "zzz"), ("empty", "  ")]
+    queries += [(f"again{i}", "the user w1") for i in range(8)] + [("same", queries[0][1])]
     df = spark.createDataFrame(docs, "id string, text string")
     index = X.build_text_index(df)
     asked = spark.createDataFrame(queries, "query_id string, text string")
