@@ -66,7 +66,7 @@ def degrees(g: Graph) -> DataFrame:
 
 
 def most_connected(g: Graph, k: int = 10) -> DataFrame:
-    """Top ``k`` by degree. Entity columns are only attached to the winners when edges suffice."""
+    """Top ``k`` by degree, then name; each task keeps ``k`` rows only."""
     return degrees(g).orderBy(F.desc("degree"), "name", "id").limit(k)
 
 

@@ -62,6 +62,16 @@ def test_scoped_bm25(spark):
         assert rows(out, "query_id", "id", "rank") == [("q", "a1", 2), ("q", "a2", 1), ("r", "b1", 1)]
 
 
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "red apple"), ("b", "green apple pie"), ("c", "car")], "id string, text string")
+    asked = spark.createDataFrame([("q", "green apple")], "query_id string, text string")
+    index = X.build_text_index(docs)
+    index.save(str(tmp_path / "index"))
+    back = X.load_text_index(spark, str(tmp_path / "index"))
+    want = rows(X.bm25_topk(asked, index, 5), "id", "score", "rank")
+    assert rows(X.bm25_topk(asked, back, 5), "id", "score", "rank") == want and len(want) == 2
+
+
 HOSTILE = ["AND OR NOT", '"quoted', "a* NEAR(b)", "nul\x00byte", "x" * 20_000, "", "   ", "';--", "col:val"]
 
 
@@ -145,6 +155,14 @@ def test_edges_attached_are_capped(spark):
     assert r.relationships[0].connected_entity == "leaf24"
 
 
+def test_observations_attached(spark):
+    g = graph(spark, [("e1", "Ada", "person")], facts=[(f"o{i}", "e1", f"fact {i}", i) for i in range(5)])
+    asked = spark.createDataFrame([("q", "ada")], "query_id string, text string")
+    (r,) = H.search_entities(g, asked, include_observations=True, observations_cap=3).collect()
+    assert [o.id for o in r.observations] == ["o4", "o3", "o2"]
+    assert r.observation_count == 5 and r.observations_truncated
+
+
 def test_search_found_by_observation_only(spark):
     g = graph(spark, [("e1", "Ada", "person"), ("e2", "Bob", "person")], facts=[("o1", "e2", "plays the zither")])
     asked = spark.createDataFrame([("q", "zither")], "query_id string, text string")

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from helpers import NOW, graph, people, rows
+from helpers import NOW, graph, rows
 from knotwork.model import Graph
 from knotwork.sources import documents as D
 from knotwork.sources import tables
