@@ -10,6 +10,8 @@ BLOCK = 1 << 20
 #: White space of the word pattern: space and the bytes 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: A gap between runs of letters and digits; bytes of other scripts count as letters.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -41,9 +43,9 @@ def blocks(column: pa.Array, size: int = BLOCK):
         lo = hi
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray):
-    """Start, end and text number of every run of bytes that are no white space."""
-    solid = ~SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+    """Start, end and text number of every run of bytes that are no gap (white space by default)."""
+    solid = ~gap[data]
     edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = solid[:-1]

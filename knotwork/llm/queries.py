@@ -1,12 +1,18 @@
 """The registered queries of this subpackage and the SQL for their results, where SQL can say it."""
 
+from knotwork.llm.bpe import op6
 from knotwork.llm.html_text import op10
 from knotwork.llm.quality import op4
 from knotwork.llm.sharding import op2
+from knotwork.llm.toxicity import op8
+from knotwork.llm.warc import op1
 
 QUERIES = {
+    "op1_warc": op1,
     "op2_sharding": op2,
     "op4_quality": op4,
+    "op6_bpe": op6,
+    "op8_toxicity": op8,
     "op10_html_text": op10,
 }
 
