@@ -1,9 +1,12 @@
 """The registered queries of this subpackage and the SQL for their results, where SQL can say it."""
 
 from knotwork.llm.bpe import op6
+from knotwork.llm.bloom_lm import op7
 from knotwork.llm.html_text import op10
+from knotwork.llm.near_dedup import op9
 from knotwork.llm.quality import op4
 from knotwork.llm.sharding import op2
+from knotwork.llm.suffix_dedup import op5
 from knotwork.llm.toxicity import op8
 from knotwork.llm.warc import op1
 
@@ -11,8 +14,11 @@ QUERIES = {
     "op1_warc": op1,
     "op2_sharding": op2,
     "op4_quality": op4,
+    "op5_suffix_dedup": op5,
     "op6_bpe": op6,
+    "op7_lm_scoring": op7,
     "op8_toxicity": op8,
+    "op9_near_dedup": op9,
     "op10_html_text": op10,
 }
 
