@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,7 +61,7 @@ class Automaton:
         self.pattern = regex.compile(_pattern_of(spec))
         self.gap = regex.compile(f"[{_SPACE}]")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], str, str, bytes]] = {}
 
     def leads(self, state: int, token: int) -> bool:
         """Whether the state after ``state`` has an arc ``token`` once all gadgets have run.
@@ -125,15 +126,15 @@ class Automaton:
                 at = places[-1]
         return out
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids of a pre-split word, the ids in decimal and the labels, each joined by spaces."""
+    def word(self, word: str) -> tuple[tuple[int, ...], str, str, bytes]:
+        """Ids of a pre-split word, the ids in decimal and the labels, each joined by spaces, and packed ids."""
         known = self.words.get(word)
         if known is None:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             spelt = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
             path = tuple(self.path(spelt))
-            known = self.words[word] = path, " ".join(map(str, path)), self.decode(path)
+            known = self.words[word] = path, " ".join(map(str, path)), self.decode(path), _packed(path)
         return known
 
     def decode(self, ids) -> str:
@@ -153,7 +154,7 @@ class Automaton:
             for hit in self.cut.finditer(part):
                 yield self._plain(part[start : hit.start()])
                 token = self.special[hit[0]]
-                yield [((token,), str(token), hit[0])]
+                yield [((token,), str(token), hit[0], _packed((token,)))]
                 start = hit.end()
             yield self._plain(part[start:])
 
@@ -170,6 +171,10 @@ class Automaton:
         return out
 
 
+def _packed(ids) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 def _pattern_of(spec: dict) -> str:
     """The splitting pattern of the file, with white space spelt out."""
     for step in spec["pre_tokenizer"]["pretokenizers"]:
@@ -209,8 +214,10 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 texts = batch.column(1).slice(lo, 64)
-                ids = [[i for part in machine.read(t.as_py() or "") for w in part for i in w[0]] for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array(ids, pa.list_(pa.int32()))], names=["_id", "ids"])
+                ids = [np.frombuffer(b"".join([w[3] for part in machine.read(t.as_py() or "") for w in part]), np.int32) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), lists], names=["_id", "ids"])
 
     return _on(docs, id_col, text_col).mapInArrow(run, f"_id {_kind(docs, id_col)}, ids array<int>").withColumnRenamed("_id", id_col)
 

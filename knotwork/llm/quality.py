@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from knotwork.llm.arrays import SPACE, blocks, find_words, mix, per_text, repeated, runs, span_hashes
+from knotwork.llm.common import table
 
 #: Word windows, and the largest share of word characters that may lie inside windows found twice or more.
 WINDOW_SHARES = {5: 0.30, 7: 0.26, 10: 0.20}
@@ -120,7 +121,18 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return pairs.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def op4(spark, sf_dir):
-    from knotwork.llm.common import table
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text passes, with all their columns; edge cases as in ``repetition``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            passed = [measure(data, offsets)["kept"] for _, _, data, offsets in blocks(batch.column(at))]
+            if passed:
+                yield batch.filter(pa.array(np.concatenate(passed)))
 
+    return docs.mapInArrow(run, docs.schema)
+
+
+def op4(spark, sf_dir):
     return repetition(table(spark, sf_dir, "documents"))

@@ -1,7 +1,9 @@
 """The registered queries of this subpackage and the SQL for their results, where SQL can say it."""
 
 from knotwork.llm.bpe import op6
+import corpus_pipeline
 from knotwork.llm.bloom_lm import op7
+from knotwork.llm.decontaminate import op3
 from knotwork.llm.html_text import op10
 from knotwork.llm.near_dedup import op9
 from knotwork.llm.quality import op4
@@ -13,6 +15,7 @@ from knotwork.llm.warc import op1
 QUERIES = {
     "op1_warc": op1,
     "op2_sharding": op2,
+    "op3_decontamination": op3,
     "op4_quality": op4,
     "op5_suffix_dedup": op5,
     "op6_bpe": op6,
@@ -20,6 +23,9 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_near_dedup": op9,
     "op10_html_text": op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
