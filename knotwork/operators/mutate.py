@@ -41,9 +41,6 @@ FACT_FIELDS = "request_id seq id entity_name entity_id content source"
 EDGE_KEY = ["source_id", "target_id", "relationship_type"]
 MERGE_ROW_BYTES = 400
 
-#: Rows carrying texts and properties are counted as this large when a broadcast is weighed.
-TEXT_ROW_BYTES = 2048
-
 
 def _stamp(now) -> Column:
     return F.lit(now).cast("timestamp")
@@ -82,6 +79,14 @@ def _overlay(old: Column, new: Column) -> Column:
     return F.when(new.isNull(), old).when(old == "{}", new).otherwise(overlay_props(old, new))
 
 
+def within(g: Graph, graph_id: str | None) -> Graph:
+    """What a request for one named graph may see of entities and edges; None is all graphs."""
+    if graph_id is None:
+        return g
+    own = F.col("graph_id") == graph_id
+    return g.replace(entities=g.entities.filter(own), relationships=g.relationships.filter(own))
+
+
 def _resolve_column(g: Graph, requests: DataFrame, name: str, out: str, type_column: str | None = None) -> DataFrame:
     """Add the id that the names in column ``name`` resolve to; distinct names are resolved once."""
     asked = requests.select(
@@ -133,7 +138,7 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
         F.min_by("head", "seq").alias("head"),
         F.min("seq").alias("first_seq"),
     )
-    incoming = sized(incoming.join(_fold_props(good, key), key, "left"), TEXT_ROW_BYTES)
+    incoming = sized(incoming.join(_fold_props(good, key), key, "left"))
     here = g.entities.filter(F.col("graph_id") == graph_id)
     elsewhere = g.entities.filter(F.col("graph_id") != graph_id)
     old = here.withColumn("folded", nocase(F.col("name")))
@@ -172,7 +177,8 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
 def _split_ends(g: Graph, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolve ``source`` and ``target`` names, or check given ids; rows with a missing end fail."""
     if "source_id" in requests.columns:
-        ids = g.entities.select("id")
+        ends = requests.select(F.col("source_id").alias("id")).unionAll(requests.select("target_id")).distinct()
+        ids = cut(g.entities.select("id").join(sized(ends), "id", "left_semi"))
         with_s = requests.join(ids.withColumnsRenamed({"id": "_s"}), F.col("source_id") == F.col("_s"), "left")
         with_t = with_s.join(ids.withColumnsRenamed({"id": "_t"}), F.col("target_id") == F.col("_t"), "left")
         found = with_t.withColumns({"source_id": F.col("_s"), "target_id": F.col("_t")}).drop("_s", "_t")
@@ -207,13 +213,14 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
     ends = ("source_id", "target_id") if "source_id" in batch.columns else ("source", "target")
     reject_unknown_columns(batch, EDGE_FIELDS)
     good, bad = validate_relationships(batch, ends)
-    good, missing = _split_ends(g, good)
+    here = within(g, graph_id)
+    good, missing = _split_ends(here, good)
     good = cut(_with(good, id=F.lit(None).cast("string")))
     incoming = good.groupBy(*EDGE_KEY).agg(
         F.max("weight").alias("new_weight"), F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("given_id")
     )
-    incoming = sized(incoming.join(_fold_props(good, EDGE_KEY), EDGE_KEY, "left"), TEXT_ROW_BYTES)
-    both = _left_and_new(g.relationships, incoming, EDGE_KEY)
+    incoming = sized(incoming.join(_fold_props(good, EDGE_KEY), EDGE_KEY, "left"))
+    both = _left_and_new(here.relationships, incoming, EDGE_KEY)
     is_old, touched, stamp = F.col("id").isNotNull(), F.col("first_seq").isNotNull(), _stamp(now)
     edges = both.select(
         F.coalesce("graph_id", F.lit(graph_id)).alias("graph_id"),
@@ -225,14 +232,15 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
         F.when(is_old, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*RELATIONSHIP.names)
-    matched = g.relationships.join(incoming.select(*EDGE_KEY), EDGE_KEY, "left_semi")
+    matched = here.relationships.join(incoming.select(*EDGE_KEY), EDGE_KEY, "left_semi")
     known = incoming.select(*EDGE_KEY, "first_seq").join(
         matched.select(*EDGE_KEY, F.lit(True).alias("existed")), EDGE_KEY, "left"
     )
     created = F.col("existed").isNull() & (F.col("seq") == F.col("first_seq"))
     status = _done(good.join(known, EDGE_KEY), F.when(created, "created").otherwise("updated"))
     status = status.unionByName(_failed(bad)).unionByName(_failed(missing, "not_found"))
-    return g.replace(relationships=edges), status
+    elsewhere = g.relationships.filter(F.col("graph_id") != graph_id)
+    return g.replace(relationships=elsewhere.unionByName(edges)), status
 
 
 def new_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[DataFrame, DataFrame]:
@@ -242,12 +250,14 @@ def new_observations(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     id is already stored is not added again: a replayed batch changes nothing.
     """
     by_name = "entity_id" not in batch.columns
+    here = within(g, graph_id)
     reject_unknown_columns(batch, FACT_FIELDS)
     good, bad = validate_observations(batch, "entity_name" if by_name else "entity_id")
     if by_name:
-        good = _resolve_column(g, good, "entity_name", "entity_id")
+        good = _resolve_column(here, good, "entity_name", "entity_id")
     else:
-        known = g.entities.select(F.col("id").alias("_e"))
+        asked = sized(good.select(F.col("entity_id").alias("id")).distinct())
+        known = here.entities.join(asked, "id", "left_semi").select(F.col("id").alias("_e"))
         good = good.join(known, F.col("entity_id") == F.col("_e"), "left").withColumn("entity_id", F.col("_e")).drop("_e")
     missing = good.filter("entity_id is null").withColumn("reason", F.lit("entity not found"))
     good = _with(good.filter("entity_id is not null"), id=F.lit(None).cast("string"))
@@ -298,23 +308,30 @@ def _last(column: str) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
 
 
-def update_entities(g: Graph, patches: DataFrame, now) -> tuple[Graph, DataFrame]:
+def update_entities(g: Graph, patches: DataFrame, now, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Apply ``patches(request_id, seq, name[, new_name, description, properties, entity_type])``.
 
     NULL leaves a field as it is. A rename to a name that another entity has, in any case, or that an
-    earlier request of the batch takes, is a conflict and its request changes nothing.
+    earlier request of the batch takes, is a conflict and its request changes nothing. With ``graph_id``
+    only that named graph is seen.
     """
+    here = within(g, graph_id)
     none = F.lit(None).cast("string")
     patches = _with(patches, new_name=none, description=none, properties=none, entity_type=none)
     patches = patches.withColumns(
         {"new_name": F.nullif(strip(F.col("new_name")), F.lit("")), "new_type": norm_type(F.col("entity_type"))}
     ).drop("entity_type")
-    found = _resolve_column(g, patches, "name", "entity_id")
-    current = g.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("old_name"))
+    found = cut(_resolve_column(here, patches, "name", "entity_id"))
+    asked = sized(found.select("entity_id").distinct())
+    current = here.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("old_name"))
+    current = current.join(asked, "entity_id", "left_semi")
     found = found.join(current, "entity_id", "left").withColumn(
         "new_name", F.when(F.col("new_name") != F.col("old_name"), F.col("new_name"))
     ).withColumn("folded", nocase(F.col("new_name")))
-    taken = g.entities.groupBy(nocase(F.col("name")).alias("folded")).agg(
+    found = cut(found)
+    wanted = sized(found.select("folded").filter("folded is not null").distinct())
+    names = here.entities.select("id", nocase(F.col("name")).alias("folded"))
+    taken = names.join(wanted, "folded", "left_semi").groupBy("folded").agg(
         F.min("id").alias("lowest"), F.max("id").alias("highest")
     )
     claims = found.filter("folded is not null and entity_id is not null").groupBy("folded").agg(
@@ -334,7 +351,7 @@ def update_entities(g: Graph, patches: DataFrame, now) -> tuple[Graph, DataFrame
     change = applied.groupBy("entity_id").agg(
         _last("new_name"), _last("description").alias("new_description"), _last("new_type")
     ).join(_fold_props(applied, ["entity_id"]), "entity_id", "left").withColumnRenamed("entity_id", "id")
-    change = sized(change, TEXT_ROW_BYTES)
+    change = sized(change)
     stamp = _stamp(now)
     entities = g.entities.join(change.withColumn("hit", F.lit(True)), "id", "left").select(
         "graph_id", "id",
@@ -348,11 +365,13 @@ def update_entities(g: Graph, patches: DataFrame, now) -> tuple[Graph, DataFrame
     return g.replace(entities=entities), checked.select("request_id", "seq", "entity_id", "status")
 
 
-def update_relationships(g: Graph, patches: DataFrame, now) -> tuple[Graph, DataFrame]:
+def update_relationships(g: Graph, patches: DataFrame, now, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Apply ``patches(request_id, seq, source, target, relationship_type[, new_weight, new_type, properties])``.
 
-    A weight outside [0, 1] is rejected; a new type whose edge exists already is a conflict.
+    A weight outside [0, 1] is rejected; a new type whose edge exists already is a conflict. With
+    ``graph_id`` only that named graph is seen.
     """
+    here = within(g, graph_id)
     none = F.lit(None)
     patches = _with(
         patches, new_weight=none.cast("double"), new_type=none.cast("string"), properties=none.cast("string")
@@ -362,8 +381,11 @@ def update_relationships(g: Graph, patches: DataFrame, now) -> tuple[Graph, Data
             "new_type": F.nullif(norm_type(F.col("new_type")), F.lit("")),
         }
     )
-    found, missing = _split_ends(g, patches)
-    keys = g.relationships.select(*EDGE_KEY, F.col("id").alias("edge_id"))
+    found, missing = _split_ends(here, patches)
+    found = cut(found)
+    between = sized(found.select("source_id", "target_id").distinct())
+    keys = here.relationships.select(*EDGE_KEY, F.col("id").alias("edge_id"))
+    keys = cut(keys.join(between, ["source_id", "target_id"], "left_semi"))
     found = found.join(keys, EDGE_KEY, "left").withColumn(
         "new_type", F.when(F.col("new_type") != F.col("relationship_type"), F.col("new_type"))
     )
@@ -386,7 +408,7 @@ def update_relationships(g: Graph, patches: DataFrame, now) -> tuple[Graph, Data
     change = applied.groupBy("edge_id").agg(_last("new_weight"), _last("new_type")).join(
         _fold_props(applied, ["edge_id"]), "edge_id", "left"
     ).withColumnRenamed("edge_id", "id")
-    change = sized(change, TEXT_ROW_BYTES)
+    change = sized(change)
     stamp = _stamp(now)
     edges = g.relationships.join(change.withColumn("hit", F.lit(True)), "id", "left").select(
         "graph_id", "id", "source_id", "target_id",
@@ -402,10 +424,10 @@ def update_relationships(g: Graph, patches: DataFrame, now) -> tuple[Graph, Data
     return g.replace(relationships=edges), outcome
 
 
-def _own_requests(g: Graph, requests: DataFrame) -> DataFrame:
+def _own_requests(g: Graph, requests: DataFrame, graph_id: str | None) -> DataFrame:
     """Requests on observations with their owner resolved; ``old_content`` is NULL if not owned."""
     if "entity_id" not in requests.columns:
-        requests = _resolve_column(g, requests, "entity_name", "entity_id")
+        requests = _resolve_column(within(g, graph_id), requests, "entity_name", "entity_id")
     asked = sized(requests.select("observation_id", "entity_id").distinct())
     facts = g.observations.select(
         F.col("id").alias("observation_id"), "entity_id", F.col("content").alias("old_content")
@@ -413,12 +435,12 @@ def _own_requests(g: Graph, requests: DataFrame) -> DataFrame:
     return requests.join(facts, ["observation_id", "entity_id"], "left")
 
 
-def update_observations(g: Graph, patches: DataFrame) -> tuple[Graph, DataFrame]:
+def update_observations(g: Graph, patches: DataFrame, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Replace texts by ``patches(request_id, seq, entity_name | entity_id, observation_id, content)``.
 
     Only the owner's observations can be changed. The status carries the old and the new text.
     """
-    found = _own_requests(g, patches.withColumn("content", strip(F.col("content"))))
+    found = _own_requests(g, patches.withColumn("content", strip(F.col("content"))), graph_id)
     status = (
         F.when(F.col("old_content").isNull(), "not_found")
         .when(F.coalesce("content", F.lit("")) == "", "rejected")
@@ -428,7 +450,7 @@ def update_observations(g: Graph, patches: DataFrame) -> tuple[Graph, DataFrame]
     change = found.filter("status = 'updated'").groupBy(F.col("observation_id").alias("id")).agg(
         F.max_by("content", "seq").alias("new_content")
     )
-    change = sized(change, TEXT_ROW_BYTES)
+    change = sized(change)
     rows = g.observations.join(change, "id", "left").withColumn("content", F.coalesce("new_content", "content"))
     out = found.select(
         "request_id", "seq", "observation_id", "status", "old_content", F.col("content").alias("new_content")
@@ -443,12 +465,14 @@ def _without(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return df.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*df.columns)
 
 
-def delete_entities(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
+def delete_entities(g: Graph, requests: DataFrame, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Delete the entities that ``requests(request_id, seq, name)`` resolve to, with all that hangs on them.
 
+    With ``graph_id`` only that named graph is seen.
+
     Of several requests for one entity the first deletes it; the others find nothing.
     """
-    found = resolve_names(g.entities, requests)
+    found = resolve_names(within(g, graph_id).entities, requests)
     hit = sized(found.filter("entity_id is not null").groupBy("entity_id").agg(F.min("seq").alias("first_seq")))
     ids = hit.select(F.col("entity_id").alias("id"))
     facts = g.observations.join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").select("id")
@@ -466,7 +490,7 @@ def delete_entities(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
     return after, status
 
 
-def delete_relationships(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
+def delete_relationships(g: Graph, requests: DataFrame, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Delete edges from source to target, of one type or, when that is NULL, of all types.
 
     ``requests(request_id, seq, source, target[, relationship_type])``; the status counts the edges
@@ -475,7 +499,7 @@ def delete_relationships(g: Graph, requests: DataFrame) -> tuple[Graph, DataFram
     requests = _with(requests, relationship_type=F.lit(None).cast("string")).withColumn(
         "relationship_type", norm_type(F.col("relationship_type"))
     )
-    found, missing = _split_ends(g, requests)
+    found, missing = _split_ends(within(g, graph_id), requests)
     typed = found.filter("relationship_type is not null")
     every = found.filter("relationship_type is null")
     pair = ["source_id", "target_id"]
@@ -494,9 +518,9 @@ def delete_relationships(g: Graph, requests: DataFrame) -> tuple[Graph, DataFram
     return g.replace(relationships=left), status
 
 
-def delete_observations(g: Graph, requests: DataFrame) -> tuple[Graph, DataFrame]:
+def delete_observations(g: Graph, requests: DataFrame, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Delete ``requests(request_id, seq, entity_name | entity_id, observation_id)`` owned by that entity."""
-    found = _own_requests(g, requests)
+    found = _own_requests(g, requests, graph_id)
     ids = sized(found.filter("old_content is not null").select(F.col("observation_id").alias("id")).distinct())
     after = g.replace(
         observations=_without(g.observations, ids),
@@ -516,7 +540,7 @@ def compact_observations(g: Graph, requests: DataFrame, now, graph_id: str = "ma
     that would keep an observation the entity does not have changes nothing. One request per entity.
     """
     if "entity_id" not in requests.columns:
-        requests = _resolve_column(g, requests, "entity_name", "entity_id")
+        requests = _resolve_column(within(g, graph_id), requests, "entity_name", "entity_id")
     asked = sized(requests.select("entity_id").distinct())
     owned_n = g.observations.join(asked, "entity_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("before"))
     keeps = requests.select(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when its counted rows times its row width stay below this.
+#: A side is broadcast only when its measured bytes stay below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -55,18 +57,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized(df: DataFrame, row_bytes: int = 256) -> DataFrame:
-    """Write a request-side frame, count it, and hint a broadcast when it fits the bound.
+def _width(field) -> Column:
+    """About how many bytes a value takes."""
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 8 + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(2 * F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
 
-    A small batch then meets a large table without the table being shuffled; a large batch is left to
-    a shuffled join.
+
+def sized(df: DataFrame) -> DataFrame:
+    """Write a request-side frame, weigh its rows, and hint a broadcast when they fit the bound.
+
+    A small batch then meets a large table without the table being shuffled; a large batch, by rows or
+    by the length of its texts, is left to a shuffled join.
     """
     written = cut(df)
-    return broadcast_if_small(written, written.count(), row_bytes)
+    widths = functools.reduce(lambda a, b: a + b, [_width(f) for f in df.schema], F.lit(16))
+    weight = written.agg(F.sum(widths.cast("long"))).first()[0] or 0
+    return F.broadcast(written) if weight <= BROADCAST_BYTES else written
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast for a counted side that fits the bound; else leave the join to AQE."""
+    """Hint a broadcast for counted rows of ids and numbers that fit the bound; else leave the join to AQE."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 

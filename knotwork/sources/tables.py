@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ GRAPH_ID_PATTERN = r"^[A-Za-z0-9_-]+\z"
 GRAPH_ID_MAX = 64
 GRAPH_ID_RESERVED = "graph"
 
+MANIFEST = re.compile(r"manifest-(\d+)\.json")
+
+#: Folders of appended rows from which the next append writes the whole table as one.
+COMPACT_AFTER = 50
+
 
 def valid_graph_ids(df: DataFrame) -> DataFrame:
     """Mark each ``graph_id`` as valid or not."""
@@ -57,15 +62,15 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole: to a temporary name first, then renamed into place."""
+    """Write a small new file whole: under a name of its own first, then renamed into place."""
     fs, target = _filesystem(spark, path)
-    _, staged = _filesystem(spark, path + ".tmp")
-    out = fs.create(staged, True)
+    _, staged = _filesystem(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(staged, False)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not put {path} in place")
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        raise OSError(f"{path} exists already")
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -75,47 +80,79 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def _entries(spark: SparkSession, store: str) -> list[str]:
+    fs, root = _filesystem(spark, store)
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def read_manifest(spark: SparkSession, store: str) -> dict | None:
+    """The manifest with the highest number; None for a store nobody has written to."""
+    entries = _entries(spark, store)
+    numbers = [int(m[1]) for m in map(MANIFEST.fullmatch, entries) if m]
+    if numbers:
+        return json.loads(read_text(spark, f"{store}/manifest-{max(numbers)}.json"))
+    if set(entries) & set(TABLES):
+        raise ValueError(f"{store} holds tables but no manifest")
+    return None
+
+
+def _write_manifest(spark: SparkSession, store: str, manifest: dict) -> None:
+    """Put the next manifest beside the earlier ones. Two writers that start from one manifest want the
+    same number; the second one fails and has changed nothing."""
+    write_text(spark, f"{store}/manifest-{manifest['number']}.json", json.dumps(manifest))
+
+
 def save_graph(
-    g: Graph, store: str, version: str, changed: set[str] | None = None, appended: dict[str, DataFrame] | None = None
+    g: Graph,
+    store: str,
+    version: str,
+    changed: set[str] | None = None,
+    appended: dict[str, DataFrame] | None = None,
+    stream: tuple[str, int] | None = None,
 ) -> None:
-    """Write a snapshot into a new folder, then point the manifest at it.
+    """Write a snapshot into new folders, then add the manifest that names them.
 
-    Readers follow the manifest, so they see all tables of one version or all of another, and a job
-    may read the previous snapshot while it writes the next. With ``changed`` only those tables are
-    written, and ``appended`` rows go beside the folders a table has already; every other table keeps
-    the folders of the previous version.
+    Manifests are numbered and never replaced, so readers see all tables of one version or all of
+    another, a job may read the previous snapshot while it writes the next, and a crash leaves the
+    previous one in force. With ``changed`` only those tables are written, and ``appended`` rows go
+    beside the folders a table has already, or together with them into one once there are
+    ``COMPACT_AFTER``; every other table keeps its folders. ``stream`` notes the last batch of a stream.
     """
     before = read_manifest(g.spark, store)
-    folders = dict(before["tables"]) if before else {}
-    appended = appended or {}
+    if before is None:
+        before = {"number": 0, "version": None, "tables": {}, "streams": {}}
+        _write_manifest(g.spark, store, before)
+    folders, appended = dict(before["tables"]), appended or {}
     for name, df in g.tables().items():
         whole = changed is None or name in changed or name not in folders
-        rows = df if whole and name not in appended else appended.get(name)
+        full = len(folders.get(name, [])) >= COMPACT_AFTER
+        if name in appended:
+            rows = df.unionByName(appended[name]) if full else appended[name]
+        else:
+            rows = df if whole else None
         if rows is None:
             continue
-        folder = f"{version}/{name}"
+        folder = f"{name}/version={version}"
         rows.write.mode("overwrite").partitionBy("graph_id").parquet(f"{store}/{folder}")
-        folders[name] = folders.get(name, []) + [folder] if name in appended else [folder]
-    write_text(g.spark, f"{store}/manifest.json", json.dumps({"version": version, "tables": folders}))
-
-
-def read_manifest(spark: SparkSession, store: str) -> dict | None:
-    text = read_text(spark, f"{store}/manifest.json")
-    return json.loads(text) if text else None
+        folders[name] = [*folders.get(name, []), folder] if name in appended and not full else [folder]
+    streams = before["streams"] | ({stream[0]: stream[1]} if stream else {})
+    _write_manifest(
+        g.spark, store, {"number": before["number"] + 1, "version": version, "tables": folders, "streams": streams}
+    )
 
 
 def load_graph(spark: SparkSession, store: str, graph_id: str | None = None) -> Graph:
-    """The snapshot the manifest names; an empty graph when there is none yet."""
+    """The snapshot of the last manifest; an empty graph when there is none yet.
+
+    All folders of a table are one scan.
+    """
     manifest = read_manifest(spark, store)
-    if manifest is None:
+    if manifest is None or not manifest["tables"]:
         return Graph.of(spark)
 
     def read(name: str, schema) -> DataFrame:
-        parts = [
-            spark.read.schema(schema).parquet(f"{store}/{folder}").select(*schema.names)
-            for folder in manifest["tables"][name]
-        ]
-        return functools.reduce(DataFrame.unionAll, parts)
+        paths = [f"{store}/{folder}" for folder in manifest["tables"][name]]
+        return spark.read.schema(schema).option("basePath", f"{store}/{name}").parquet(*paths).select(*schema.names)
 
     g = Graph(**{name: read(name, schema) for name, schema in TABLES.items()})
     return g if graph_id is None else select_graph(g, graph_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from knotwork.model import Graph
 from knotwork.operators.mutate import new_observations, upsert_entities, upsert_relationships
 from knotwork.session import cut
-from knotwork.sources.tables import check_graph_id, load_graph, read_manifest, save_graph
+from knotwork.sources.tables import check_graph_id, load_graph, read_manifest, read_text, save_graph
 
 #: One record of any kind; ``kind`` is entity, relationship or observation.
 RECORD = T.StructType(
@@ -65,7 +66,7 @@ def apply_records(g: Graph, records: DataFrame, now, graph_id: str = "main") ->
     return g, fresh, functools.reduce(DataFrame.unionByName, shown, none)
 
 
-def _write_batch(records: DataFrame, store: str, version: str, now, graph_id: str) -> None:
+def _write_batch(records: DataFrame, store: str, stream: str, number: int, now, graph_id: str) -> None:
     """Write what one micro-batch changes: tables it has records for, of observations the added rows only."""
     spark = records.sparkSession
     before = load_graph(spark, store)
@@ -73,26 +74,36 @@ def _write_batch(records: DataFrame, store: str, version: str, now, graph_id: st
     touched = {
         name for name in ("entities", "relationships") if getattr(after, name) is not getattr(before, name)
     }
-    save_graph(after, store, version, touched, {"observations": fresh})
-    status.write.mode("overwrite").parquet(f"{store}/{version}/status")
+    version = f"{stream}-{number}"
+    status.write.mode("overwrite").parquet(f"{store}/status/{version}")
+    save_graph(after, store, version, touched, {"observations": fresh}, (stream, number))
+
+
+def stream_id(spark, checkpoint: str) -> str:
+    """The id that Spark gave the stream when it made the checkpoint."""
+    return json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
 
 
 def ingest_stream(
     stream: DataFrame, store: str, checkpoint: str, now, graph_id: str = "main", **trigger
 ) -> StreamingQuery:
-    """Apply a stream of ``RECORD`` rows to the snapshots in ``store``.
-
-    Every micro-batch writes the snapshot named after its number and the manifest last. A batch that
-    is replayed after a failure finds its own number in the manifest and does nothing, or starts from
-    the snapshot before it; either way its rows count once. ``now`` maps a batch number to its time.
+    """Apply a stream of ``RECORD`` rows to the snapshots in ``store``, whoever wrote them.
+
+    Every micro-batch writes a snapshot named after its stream and number, and the manifest last. The
+    manifest holds the last batch of every stream: a batch that is replayed after a failure finds
+    itself there and does nothing, or starts from the snapshot before it; either way its rows count
+    once, and streams with checkpoints of their own do not hide one another's batches. Of two streams
+    that finish a batch at the same time one fails and goes on from its checkpoint when restarted.
+    ``now`` maps a batch number to its time.
     """
     check_graph_id(graph_id)
 
     def apply(batch: DataFrame, number: int) -> None:
-        done = read_manifest(batch.sparkSession, store)
-        if done is not None and int(done["version"].split("-")[1]) >= number:
+        spark = batch.sparkSession
+        own, done = stream_id(spark, checkpoint), read_manifest(spark, store)
+        if done is not None and done["streams"].get(own, -1) >= number:
             return
-        _write_batch(cut(batch), store, f"batch-{number}", now(number), graph_id)
+        _write_batch(cut(batch), store, own, number, now(number), graph_id)
 
     return (
         stream.writeStream.foreachBatch(apply)

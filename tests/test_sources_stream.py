@@ -8,7 +8,7 @@ from helpers import NOW, graph, rows
 from knotwork.model import Graph
 from knotwork.sources import documents as D
 from knotwork.sources import tables
-from knotwork.streaming.ingest import RECORD, ingest_stream
+from knotwork.streaming.ingest import RECORD, ingest_stream, stream_id
 
 
 def sample(spark):
@@ -119,8 +119,10 @@ def test_stream(spark, tmp_path):
     g = run()
     assert rows(g.relationships, "relationship_type", "weight") == [("knows", 0.9)]
     assert g.observations.count() == 2
-    assert {p.name for p in (tmp_path / "store" / "batch-1").iterdir()} == {"relationships", "observations", "status"}
-    status = spark.read.parquet(f"{store}/batch-1/status")
+    own = stream_id(spark, checkpoint)
+    written = {p.name for p in (tmp_path / "store").iterdir() if (p / f"version={own}-1").exists()}
+    assert written == {"relationships", "observations"}
+    status = spark.read.parquet(f"{store}/status/{own}-1")
     assert rows(status, "request_id", "status") == [("observation7", "not_found"), ("observation8", "added"), ("relationship6", "updated")]
 
 
@@ -136,3 +138,76 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     twice, more, _ = apply_records(once.replace(observations=facts), records, NOW)
     assert more.count() == 0
     assert sorted(map(str, once.entities.collect())) == sorted(map(str, twice.entities.collect()))
+
+
+def push(spark, tmp_path, name, store, *lines, graph_id="main"):
+    folder = tmp_path / name
+    folder.mkdir(exist_ok=True)
+    (folder / f"{len(list(folder.iterdir()))}.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema(RECORD).json(str(folder))
+    ingest_stream(stream, store, str(tmp_path / f"{name}-checkpoint"), lambda n: NOW, graph_id).awaitTermination()
+
+
+def test_two_streams_onto_a_snapshot(spark, tmp_path):
+    store = str(tmp_path / "store")
+    tables.save_graph(sample(spark), store, "v2")
+    push(spark, tmp_path, "a", store, record("entity", 1, name="Cy", entity_type="person"))
+    push(spark, tmp_path, "b", store, record("entity", 1, name="Di", entity_type="person"))
+    push(spark, tmp_path, "a", store, record("observation", 2, name="di", content="seen"))
+    g = tables.load_graph(spark, store)
+    assert rows(g.entities, "name") == [("Ada",), ("Bob",), ("Cy",), ("Di",)]
+    assert rows(g.observations, "content") == [("fact",), ("seen",)]
+    assert sorted(tables.read_manifest(spark, store)["streams"].values()) == [0, 1]
+
+
+def test_streams_of_named_graphs(spark, tmp_path):
+    store = str(tmp_path / "store")
+    tables.save_graph(sample(spark), store, "v1")
+    push(spark, tmp_path, "a", store, record("observation", 1, name="Ada", content="lost"), graph_id="other")
+    push(spark, tmp_path, "b", store, record("entity", 1, name="ADA", entity_type="person"), record("observation", 2, name="ada", content="mine"), graph_id="other")
+    g = tables.load_graph(spark, store)
+    assert rows(g.entities, "graph_id", "name") == [("main", "Ada"), ("main", "Bob"), ("other", "ADA")]
+    owner = {r.id: r.graph_id for r in g.entities.collect()}
+    assert [(r.content, r.graph_id, owner[r.entity_id]) for r in g.observations.orderBy("content").collect()] == [("fact", "main", "main"), ("mine", "other", "other")]
+
+
+def test_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    tables.save_graph(sample(spark), store, "v1")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_write_manifest", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            tables.save_graph(Graph.of(spark), store, "v2")
+    assert tables.load_graph(spark, store).entities.count() == 2
+    tables.save_graph(Graph.of(spark), store, "v2")
+    assert tables.load_graph(spark, store).entities.count() == 0
+    with pytest.raises(OSError):
+        tables._write_manifest(spark, store, {"number": 1})  # another writer was first
+    for p in (tmp_path / "store").glob("manifest-*"):
+        p.unlink()
+    with pytest.raises(ValueError):
+        tables.load_graph(spark, store)
+
+
+def test_appended_folders_are_one_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "COMPACT_AFTER", 4)
+    store, g = str(tmp_path / "store"), sample(spark)
+    tables.save_graph(g, store, "v0")
+    for n in range(1, 7):
+        now = tables.load_graph(spark, store)
+        fact = g.observations.selectExpr("graph_id", f"'n{n}' id", "entity_id", "content", "source", "created_at")
+        tables.save_graph(now, store, f"v{n}", set(), {"observations": fact})
+        back = tables.load_graph(spark, store).observations
+        assert back.count() == n + 1
+        assert back._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert len(tables.read_manifest(spark, store)["tables"]["observations"]) == 3
+
+
+def test_documents_have_ids_of_their_own(spark, tmp_path):
+    for name in ("Ada", "Bob"):
+        doc = {"entities": [{"id": "e1", "name": name, "entity_type": "person"}], "observations": [{"entity_id": "e1", "content": f"of {name}"}]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+    g, counts = D.import_rows(Graph.of(spark), D.read_documents(spark, str(tmp_path)), NOW)
+    owned = g.observations.join(g.entities.selectExpr("id entity_id", "name"), "entity_id")
+    assert rows(owned, "name", "content") == [("Ada", "of Ada"), ("Bob", "of Bob")]
+    assert rows(counts, "table", "imported", "skipped") == [("entities", 2, 0), ("observations", 2, 0), ("relationships", 0, 0)]
