@@ -33,28 +33,34 @@ def total_of(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-#: A sorted limit up to this size is kept as one heap per task; a larger one is cut by ranges.
-SORTED_LIMIT = 10_000
+#: Rows up to this place in an order are found by one heap per task; what lies deeper, by ranges.
+HEAP_ROWS = 10_000
 
 
-def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows in a total order, also when ``n`` is far too large for one task.
+def page_of(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in a total order, however deep or many.
 
-    Large limits sort by range, count the rows of each range and keep whole ranges; only the range
-    the limit falls into is cut.
+    A deep or open page sorts by range, counts the rows of each range and keeps whole ranges; only the
+    two ranges that its ends fall into are cut, so no task holds more than a range.
     """
-    if n <= SORTED_LIMIT:
-        return df.orderBy(*order).limit(n)
+    if limit is not None and offset + limit <= HEAP_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    if limit is None and not offset:
+        return df
     parts = shuffle_partitions(df.sparkSession)
     ranged = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
-    left = n
+    end = offset + limit if limit is not None else sum(r.n for r in sizes)
+    out, seen, whole = ranged.limit(0), 0, []
     for row in sizes:  # one row per range
-        if row.n > left:
-            inside = ranged.filter(F.col("_range") == row["_range"]).orderBy(*order).limit(left)
-            return ranged.filter(F.col("_range") < row["_range"]).unionAll(inside).drop("_range")
-        left -= row.n
-    return ranged.drop("_range")
+        lo, hi = max(offset - seen, 0), min(end - seen, row.n)
+        seen += row.n
+        if lo == 0 and hi == row.n:
+            whole.append(row["_range"])
+        elif lo < hi:
+            inside = ranged.filter(F.col("_range") == row["_range"]).orderBy(*order)
+            out = out.unionAll(inside.offset(lo).limit(hi - lo))
+    return out.unionAll(ranged.filter(F.col("_range").isin(whole))).drop("_range")
 
 
 def topk_with_flag(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -72,9 +78,7 @@ def topk_with_flag(df: DataFrame, by: list[str], order: list[Column], k: int) ->
 def list_entities(g: Graph, entity_type=None, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Newest first page of entities with the filtered ``total``."""
     rows = of_types(g.entities, [entity_type] if entity_type else None)
-    page = rows.orderBy(*recent_first()).offset(offset)
-    page = page if limit is None else page.limit(limit)
-    return page.withColumn("total", total_of(rows))
+    return page_of(rows, recent_first(), limit, offset).withColumn("total", total_of(rows))
 
 
 def with_names(g: Graph, edges: DataFrame | None = None) -> DataFrame:
@@ -122,12 +126,9 @@ def list_relationships(
     kinds = [relationship_type] if relationship_type else None
     if ids is None:
         rows, order = of_types(g.relationships, kinds, "relationship_type"), recent_first()
-        page = rows.orderBy(*order).offset(offset)
     else:
         rows, order = touching(g.relationships, ids, "both", kinds), heaviest_first()
-        page = rows.orderBy(*order).offset(offset)
-    page = page if limit is None else page.limit(limit)
-    return with_names(g, page).withColumn("total", total_of(rows))
+    return with_names(g, page_of(rows, order, limit, offset)).withColumn("total", total_of(rows))
 
 
 def induced_edges(g: Graph, ids: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -184,7 +185,7 @@ def lookup_edges(g: Graph, keys: DataFrame) -> DataFrame:
     """Edges by their ``(source_id, target_id, relationship_type)`` key."""
     keys = keys.withColumn("relationship_type", norm_type(F.col("relationship_type")))
     on = ["source_id", "target_id", "relationship_type"]
-    return g.relationships.join(keys.select(*on), on, "left_semi")
+    return g.relationships.join(sized(keys.select(*on).distinct()), on, "left_semi")
 
 
 def observations_of(g: Graph, ids: DataFrame, per_entity_limit: int | None = None) -> DataFrame:
@@ -201,8 +202,9 @@ def observations_of(g: Graph, ids: DataFrame, per_entity_limit: int | None = Non
 
 def owned(g: Graph, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``requests(observation_id, entity_id, …)`` into owned rows and misses."""
-    keys = g.observations.select(F.col("id").alias("observation_id"), "entity_id")
     on = ["observation_id", "entity_id"]
+    keys = g.observations.select(F.col("id").alias("observation_id"), "entity_id")
+    keys = cut(keys.join(sized(requests.select(*on).distinct()), on, "left_semi"))
     return requests.join(keys, on, "left_semi"), requests.join(keys, on, "left_anti")
 
 
@@ -229,11 +231,13 @@ def find_duplicate_keys(g: Graph) -> DataFrame:
     entities = g.entities.groupBy(
         "graph_id", nocase(F.col("name")).alias("key1"), F.col("entity_type").alias("key2")
     ).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    edges = g.relationships.groupBy(
-        "graph_id",
-        F.concat_ws("|", "source_id", "target_id").alias("key1"),
-        F.col("relationship_type").alias("key2"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    edges = g.relationships.groupBy("graph_id", "source_id", "target_id", "relationship_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
+    )
+    edges = edges.select(
+        "graph_id", F.concat_ws("|", "source_id", "target_id").alias("key1"),
+        F.col("relationship_type").alias("key2"), "n", "first_id",
+    )
     return (
         entities.withColumn("table", F.lit("entities"))
         .unionAll(edges.withColumn("table", F.lit("relationships")))

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.model import Graph
-from knotwork.operators.relations import first_rows
+from knotwork.operators.relations import page_of
 from knotwork.session import collapse, cut, expand, sized
 
 #: Rows of vectors or queries that meet in one task group.
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 PLACES = 9
 SHOWN_PLACES = 6
 SLACK = 4e-6
@@ -82,23 +82,25 @@ def _shown(best: DataFrame) -> DataFrame:
     return best.withColumn("score", F.round("score", SHOWN_PLACES))
 
 
-def _scan(pairs: DataFrame, vectors: DataFrame, cells: DataFrame, query_blocks: int, k: int, metric: str) -> DataFrame:
+def _scan(pairs: DataFrame, vectors: DataFrame, cells: DataFrame, k: int, metric: str) -> DataFrame:
     """Score ``pairs(query_id, embedding, cell)`` against ``vectors(id, embedding, cell)``.
 
-    A cell's vectors are split into blocks and so are the queries, hence no task group grows with
-    the size of a cell or the number of queries asking for it. Cells nobody visits are not moved.
+    A cell's vectors are split into blocks and so are the queries that visit it, hence no task group
+    grows with the size of a cell or the number of its visits, and a vector is copied once for every
+    ``BLOCK_ROWS`` visits of its cell. Cells nobody visits are not moved.
     """
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    pairs = cut(pairs.withColumn("query_block", part("query_id", F.lit(query_blocks))))
-    sizes = cells.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    visits = sized(pairs.select("cell", "query_block").distinct().join(sizes, "cell"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    pairs = cut(pairs)
+    visits = pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("visits")).join(cells.select("cell", "n"), "cell")
+    visits = sized(visits.select("cell", blocks("n").alias("blocks"), blocks("visits").alias("query_blocks")))
     v = vectors.join(visits, "cell").select(
-        "cell", part("id", F.col("blocks")).alias("block"),
-        F.col("query_block").alias("query_block"), "id", "embedding",
+        "cell", part("id", F.col("blocks")).alias("block"), numbers("query_blocks").alias("query_block"), "id", "embedding"
     )
-    q = pairs.join(visits, ["cell", "query_block"]).select(
-        "cell", numbers(F.col("blocks")).alias("block"), "query_block", "query_id", "embedding"
+    q = pairs.join(visits, "cell").select(
+        "cell", numbers("blocks").alias("block"), part("query_id", F.col("query_blocks")).alias("query_block"),
+        "query_id", "embedding",
     )
     key = ["cell", "block", "query_block"]
     return (
@@ -162,32 +164,36 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     """Exact ``k`` nearest of ``vectors(id, embedding[, owner])`` for ``queries(query_id, embedding)``.
 
     Returns query_id, id, score, rank. The score is the cosine similarity, or for ``l2`` the negated
-    distance. Vectors are grouped around a bounded number of pivots and a query visits only groups
-    that can hold one of its neighbours. With an ``owner`` column on both sides a query
-    searches its owner's vectors only. Vectors of another dimension are left out.
+    distance. A query is compared with the vectors of its own dimension; one that has none gets no
+    rows. Vectors are grouped around pivots and a query visits only groups that can hold one of its
+    neighbours. With an ``owner`` column on both sides a query searches its owner's vectors only.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     scope = [c for c in ("owner",) if c in queries.columns]
     queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
     queries, standing = collapse(queries, ["embedding", *scope])
-    n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // BLOCK_ROWS))
     if scope:
-        cells = vectors.groupBy(F.col("owner").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = queries.withColumnRenamed("owner", "cell")
-        own = vectors.withColumnRenamed("owner", "cell")
-        return expand(_shown(_best(_scan(pairs, own, cells, query_blocks, k, metric), k)), standing)
-
+        cell = F.to_json(F.array(F.col("owner").cast("string"), F.size("embedding").cast("string")))
+        pairs, own = (df.withColumn("cell", cell).drop("owner") for df in (queries, vectors))
+        cells = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return expand(_shown(_best(_scan(pairs, own, cells, k, metric), k)), standing)
+
+    # One search for each dimension that queries and vectors share: as many as there are models.
+    size = lambda df: df.select(F.size("embedding").alias("dim")).filter("dim > 0").distinct()
+    dims = [r.dim for r in size(queries).join(size(vectors), "dim").orderBy("dim").collect()]
+    found = queries.select("query_id").limit(0).withColumns({"id": F.lit(""), "score": F.lit(0.0)})
+    for dim in dims:
+        of = lambda df: df.filter(F.size("embedding") == dim)  # noqa: E731, B023
+        found = found.unionByName(_search(of(queries), of(vectors).select("id", "embedding"), k, metric))
+    return expand(_shown(_best(found, k)), standing)
+
+
+def _search(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """Scored candidates (query_id, id, score) that hold the nearest; all vectors have one dimension."""
     total = vectors.count()
     wanted = min(MAX_PIVOTS, max(1, int(total**0.5)))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").toPandas()
-    if sample.empty or n_queries == 0:
-        return _best(queries.select("query_id").limit(0).withColumns({"id": F.lit(""), "score": F.lit(0.0)}), k)
-    dim = int(sample["embedding"].map(len).mode()[0])
-    sample = sample[sample["embedding"].map(len) == dim]
-    queries = queries.filter(F.size("embedding") == dim)
-    vectors = vectors.filter(F.size("embedding") == dim).select("id", "embedding")
     pivots = _matrix(sample["embedding"], metric)
     placed = cut(
         vectors.mapInPandas(
@@ -201,7 +207,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     pair_schema = "query_id string, embedding array<float>, cell string"
     asked = queries.select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
     opening = asked.mapInPandas(_choose(pivots, radius, size, k, metric, True), pair_schema)
-    found = cut(_best(_scan(opening, placed, cells, query_blocks, k, metric), k).drop("rank"))
+    found = cut(_best(_scan(opening, placed, cells, k, metric), k).drop("rank"))
     worst = F.min("score")
     distance = F.sqrt(F.greatest(2 - 2 * worst, F.lit(0.0))) if metric == "cosine" else -worst
     bounds = found.groupBy("query_id").agg(
@@ -211,8 +217,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
         "bound", F.coalesce("bound", F.lit(float("inf")))
     )
     others = bounded.mapInPandas(_choose(pivots, radius, size, k, metric, False), pair_schema)
-    more = _scan(others, placed, cells, query_blocks, k, metric)
-    return expand(_shown(_best(found.unionByName(more), k)), standing)
+    return found.unionByName(_scan(others, placed, cells, k, metric))
 
 
 # --- embedding texts ------------------------------------------------------------------------
@@ -301,7 +306,7 @@ def delete_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
 def prune_cache(cache: DataFrame, n: int) -> DataFrame:
     """Keep the ``n`` most recently used entries, by the full (content_hash, model_name) key."""
     order = [F.col("last_used").desc(), F.col("content_hash").asc(), F.col("model_name").asc()]
-    return first_rows(cache, order, n)
+    return page_of(cache, order, n)
 
 
 def embedding_report(g: Graph) -> DataFrame:

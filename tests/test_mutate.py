@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import NOW, graph, people, rows
 from knotwork.operators import mutate as M
@@ -260,3 +261,35 @@ def test_add_entities_with_observations(spark):
     assert rows(hints, "name", "missing_description", "missing_observations") == [("Ada", True, False), ("Cy", False, True)]
     with pytest.raises(ValueError, match="nmae"):
         M.upsert_entities(g, batch.withColumnRenamed("name", "nmae"), NOW)
+
+
+def two_graphs(spark):
+    g = people(spark, ["Ada", "Bob"], [("Ada", "Bob")])
+    twin = lambda df, *ids: df.withColumns({"graph_id": F.lit("b"), **{c: F.concat(F.lit("b-"), c) for c in ids}})
+    return g.replace(
+        entities=g.entities.unionByName(twin(g.entities, "id").withColumn("updated_at", F.lit(NOW).cast("timestamp"))),
+        relationships=g.relationships.unionByName(twin(g.relationships, "id", "source_id", "target_id")),
+    )
+
+
+def test_named_graphs_keep_apart(spark):
+    g = two_graphs(spark)
+    one = lambda schema, *values: spark.createDataFrame([("1", 1, *values)], "request_id string, seq long, " + schema)
+    after, _ = M.add_observations(g, one("entity_name string, content string", "ada", "fact"), NOW, "main")
+    assert rows(after.observations, "graph_id", "entity_id") == [("main", "Ada")]
+    after, status = M.add_observations(g, one("entity_id string, content string", "b-Ada", "fact"), NOW, "main")
+    assert rows(status, "status") == [("not_found",)] and after.observations.count() == 0
+    after, _ = M.upsert_relationships(g, one("source string, target string, relationship_type string", "Ada", "Bob", "likes"), NOW, "main")
+    assert rows(after.relationships.filter("relationship_type = 'likes'"), "graph_id", "source_id") == [("main", "Ada")]
+    assert after.relationships.count() == 3
+    after, _ = M.update_entities(g, one("name string, new_name string", "Ada", "Eve"), NOW, "main")
+    assert rows(after.entities, "id", "name") == [("Ada", "Eve"), ("Bob", "Bob"), ("b-Ada", "Ada"), ("b-Bob", "Bob")]
+    clash = g.replace(entities=g.entities.withColumn("name", F.when(F.col("id") == "b-Bob", "Eve").otherwise(F.col("name"))))
+    _, status = M.update_entities(clash, one("name string, new_name string", "Ada", "Eve"), NOW, "main")
+    assert rows(status, "status") == [("updated",)]  # a name of another graph is no conflict
+    after, _ = M.update_relationships(g, one("source string, target string, relationship_type string, new_weight double", "Ada", "Bob", "knows", 0.25), NOW, "main")
+    assert rows(after.relationships, "source_id", "weight") == [("Ada", 0.25), ("b-Ada", 1.0)]
+    after, _ = M.delete_entities(g, one("name string", "Ada"), "main")
+    assert rows(after.entities, "id") == [("Bob",), ("b-Ada",), ("b-Bob",)]
+    after, _ = M.delete_relationships(g, one("source string, target string", "Ada", "Bob"), "main")
+    assert rows(after.relationships, "source_id") == [("b-Ada",)]

@@ -92,3 +92,26 @@ def test_checkpoint_folder_follows_the_session(spark):
     before = spark.sparkContext.getCheckpointDir()
     session.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() == before
+
+
+def test_one_seed_leaves_the_edges_in_place(spark, g, monkeypatch):
+    """No traversal from a few seeds shuffles or writes the edge table."""
+    written = []
+    monkeypatch.setattr(T, "written_steps", lambda *a: written.append(a))
+    seeds = g.entities.filter("entity_type = 'region'").selectExpr("id query_id", "id")
+    reached, _ = T.bfs(g, seeds, 2, node_budget=None)
+    assert reached.count() > 5 and not written
+    T.find_connections(g, seeds, 2, node_budget=None).count()
+    T.get_subgraph(g, seeds.select("id"), 1)[0].count()
+    assert not written
+
+
+def test_single_keys_leave_the_tables_in_place(spark, g):
+    stored = spark.read.parquet(f"{SF}/nation.parquet").select(
+        F.lit("main").alias("graph_id"), F.col("n_name").alias("id"),
+        F.concat(F.lit("nation:"), "n_nationkey").alias("source_id"),
+        F.concat(F.lit("region:"), "n_regionkey").alias("target_id"), F.lit("in_region").alias("relationship_type"),
+    )
+    edges = g.replace(relationships=stored)
+    keys = spark.createDataFrame([("nation:1", "region:1", "in_region")], "source_id string, target_id string, relationship_type string")
+    assert "hashpartitioning" not in plan_of(R.lookup_edges(edges, keys))

@@ -113,6 +113,21 @@ def test_large_sorted_limit(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id")
     order = [F.col("a").desc(), F.col("id").asc()]
     want = rows(df.orderBy(*order).limit(333), "a", "id")
-    monkeypatch.setattr(R, "SORTED_LIMIT", 10)
-    assert rows(R.first_rows(df, order, 333), "a", "id") == want
-    assert R.first_rows(df, order, 5000).count() == 1000
+    monkeypatch.setattr(R, "HEAP_ROWS", 10)
+    assert rows(R.page_of(df, order, 333), "a", "id") == want
+    assert R.page_of(df, order, 5000).count() == 1000
+
+
+def test_deep_and_open_pages(spark, monkeypatch):
+    monkeypatch.setattr(R, "HEAP_ROWS", 5)
+    df = spark.range(100).repartition(7)
+    order = [F.col("id").desc()]
+    whole = list(range(99, -1, -1))
+    for limit, offset in ((3, 0), (10, 0), (10, 40), (None, 0), (None, 30), (200, 95), (5, 200), (0, 3)):
+        got = sorted((r.id for r in R.page_of(df, order, limit, offset).collect()), reverse=True)
+        assert got == whole[offset : None if limit is None else offset + limit]
+
+
+def test_bars_in_ids_are_no_duplicates(spark):
+    g = people(spark, ["a", "b", "c", "a|b", "b|c"], [("a|b", "c"), ("a", "b|c")])
+    assert R.find_duplicate_keys(g).count() == 0

@@ -234,3 +234,26 @@ def test_embedding_cache(spark):
 
     with pytest.raises(Exception, match="encoder gave shape"):
         V.embed_texts(texts, broken, empty, "m", "2024-01-01")
+
+
+def test_vectors_of_several_dimensions(spark):
+    vectors = [("a3", [1.0, 0.0, 0.0], "p"), ("b3", [0.9, 0.1, 0.0], "q"), *[(f"c{i}", [1.0, float(i)], "p") for i in range(6)]]
+    v = spark.createDataFrame(vectors, "id string, embedding array<float>, owner string")
+    asked = [("three", [1.0, 0.0, 0.0], "p"), ("two", [1.0, 0.0], "p"), ("five", [1.0] * 5, "p"), ("none", [], "p")]
+    q = spark.createDataFrame(asked, "query_id string, embedding array<float>, owner string")
+    got = V.vector_topk(q.drop("owner"), v.drop("owner"), 2)
+    assert rows(got, "query_id", "id", "rank") == [("three", "a3", 1), ("three", "b3", 2), ("two", "c0", 1), ("two", "c1", 2)]
+    got = V.vector_topk(q, v, 2)
+    assert rows(got, "query_id", "id", "rank") == [("three", "a3", 1), ("two", "c0", 1), ("two", "c1", 2)]
+
+
+def test_copies_follow_the_visits_of_a_cell(spark, monkeypatch):
+    """A cell that few queries visit is copied for those only, however many queries there are."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 4)
+    v = spark.createDataFrame([(f"v{i}", [float(i), 1.0], "a" if i < 8 else "b") for i in range(12)], "id string, embedding array<float>, cell string")
+    pairs = spark.createDataFrame([(f"q{i:02}", [1.0, float(i)], "a" if i else "b") for i in range(20)], "query_id string, embedding array<float>, cell string")
+    cells = v.groupBy("cell").count().withColumnRenamed("count", "n")
+    got = V._scan(pairs, v, cells, 2, "cosine")
+    assert got.groupBy("query_id").count().count() == 20
+    best = {r.query_id: r.id for r in V._best(got, 1).collect()}
+    assert best["q00"] == "v11" and best["q01"] in {f"v{i}" for i in range(8)}
