@@ -6,6 +6,7 @@ from knotwork.llm.bloom_lm import op7
 from knotwork.llm.decontaminate import op3
 from knotwork.llm.html_text import op10
 from knotwork.llm.near_dedup import op9
+from knotwork.llm.oracles import ORACLES as SQL
 from knotwork.llm.quality import op4
 from knotwork.llm.sharding import op2
 from knotwork.llm.suffix_dedup import op5
@@ -26,6 +27,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = dict(SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
