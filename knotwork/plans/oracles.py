@@ -370,6 +370,13 @@ reached AS (SELECT query_id, id, min(depth) depth FROM walk GROUP BY query_id, i
 """
 
 
+USERS = """
+  SELECT 'User '||user_id AS name, {1} * observation_count AS observation_count, description FROM (
+    SELECT user_id, count(*) observation_count FROM events GROUP BY 1) JOIN (
+    SELECT user_id, list_reduce(list(event_type ORDER BY {0}),
+      lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a||chr(10)||x END) description FROM events GROUP BY 1) USING (user_id)
+"""
+
 REGIONS = "SELECT 'regions' query_id, id FROM entities WHERE entity_type = 'region'"
 OWN = "SELECT id query_id, id FROM entities WHERE entity_type = '{0}'"
 
@@ -822,9 +829,23 @@ ORACLES |= {
     "export_graph": q(
         """SELECT "table", n, n ids FROM count_rows""", COUNT_ROWS
     ),
-    "ingest_stream": """
-        SELECT 'User '||user_id AS name, observation_count, description FROM (
-          SELECT user_id, count(*) observation_count FROM events GROUP BY 1) JOIN (
-          SELECT user_id, list_reduce(list(event_type ORDER BY event_id),
-            lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a||chr(10)||x END) description FROM events GROUP BY 1) USING (user_id)""",
+    "ingest_stream": "SELECT name, observation_count, description FROM (" + USERS.format("event_id", 1) + ")",
+    "ingest_two_streams": "SELECT name, observation_count, description FROM ("
+    + USERS.format("event_id % 2, event_id", 1) + ")",
+    "ingest_onto_snapshot": "SELECT name, observation_count, description FROM (" + USERS.format("event_id", 2) + ")",
+    "ingest_named_graph": "SELECT 'other' graph_id, name, observation_count, description FROM ("
+    + USERS.format("event_id", 1) + """) UNION ALL
+        SELECT 'text', 'User '||user_id, count(*), '' FROM events GROUP BY user_id""",
+    "import_documents": "SELECT n_name AS name, 'nation '||n_nationkey AS content FROM nation",
+    "bfs_forward": q(
+        "SELECT query_id, id, depth FROM reached",
+        "some_steps AS (SELECT source_id from_id, target_id to_id FROM relationships)",
+        reach(2, OWN.format("supplier"), "some_steps"),
+        recursive=True,
+    ),
+    "list_relationships_deep": q(
+        """SELECT r.id, s.name source_name, t.name target_name, (SELECT count(*) FROM relationships) total
+           FROM (SELECT * FROM relationships ORDER BY updated_at DESC, id LIMIT 50 OFFSET 12000) r
+           JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id"""
+    ),
 }

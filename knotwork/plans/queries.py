@@ -992,9 +992,8 @@ def export_graph(g):
     return frames[0].unionAll(frames[1]).unionAll(frames[2])
 
 
-def ingest_stream(spark, sf_dir):
-    """Events read as a stream: each makes its user known and hangs a fact on it."""
-    store, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "stream")
+def _event_stream(spark, sf_dir):
+    """Events read as a stream of records: each makes its user known and hangs a fact on it."""
     schema = fixtures.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     none = F.lit(None).cast("string")
@@ -1005,16 +1004,85 @@ def ingest_stream(spark, sf_dir):
         for f in I.RECORD
     ])
     name = key("User ", "user_id")
-    records = events.select(
+    return events.select(
         F.explode(F.array(
             record("entity", name=name, entity_type=F.lit("user"), description=F.col("event_type")),
             record("observation", name=F.upper(name), content=F.concat_ws(" ", "event_type", F.col("value").cast("string"))),
         )).alias("r")
     ).select("r.*")
-    I.ingest_stream(records, store, checkpoint, lambda number: NOW, "text").awaitTermination()
+
+
+def _ingest(spark, records, store, graph_id="text"):
+    checkpoint = scratch_path(spark, "stream")
+    I.ingest_stream(records, store, checkpoint, lambda number: NOW, graph_id).awaitTermination()
+
+
+def _users_with_facts(spark, store):
     after = tables.load_graph(spark, store)
     facts = A.observation_counts(after).withColumnRenamed("entity_id", "id")
-    return after.entities.join(facts, "id").select("name", "description", "observation_count")
+    users = after.entities.filter("entity_type = 'user'").join(facts, "id")
+    return users.select("graph_id", "name", "description", "observation_count")
+
+
+def ingest_stream(spark, sf_dir):
+    """One stream into an empty store."""
+    store = scratch_path(spark, "store")
+    _ingest(spark, _event_stream(spark, sf_dir), store)
+    return _users_with_facts(spark, store).drop("graph_id")
+
+
+def ingest_two_streams(spark, sf_dir):
+    """Even and odd events as two streams, each with its own checkpoint, one after the other."""
+    store = scratch_path(spark, "store")
+    for part in (0, 1):
+        _ingest(spark, _event_stream(spark, sf_dir).filter(f"seq % 2 = {part}"), store)
+    return _users_with_facts(spark, store).drop("graph_id")
+
+
+def ingest_onto_snapshot(spark, sf_dir):
+    """A stream onto a snapshot that a batch job saved: its users are merged, its facts stay."""
+    store = scratch_path(spark, "store")
+    tables.save_graph(_graph(spark, sf_dir), store, "v2")
+    _ingest(spark, _event_stream(spark, sf_dir), store)
+    return _users_with_facts(spark, store).drop("graph_id")
 
 
-QUERIES["ingest_stream"] = ingest_stream
+def ingest_named_graph(spark, sf_dir):
+    """The same names streamed into another named graph of the store: they are other entities there."""
+    store = scratch_path(spark, "store")
+    tables.save_graph(_graph(spark, sf_dir), store, "v2")
+    _ingest(spark, _event_stream(spark, sf_dir), store, "other")
+    return _users_with_facts(spark, store)
+
+
+for _query in (ingest_stream, ingest_two_streams, ingest_onto_snapshot, ingest_named_graph):
+    QUERIES[_query.__name__] = _query
+
+
+@on_tables
+def import_documents(g, t):
+    """A JSON document per region, ids counted from 1 in each, written, read and imported together."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("string")
+    rows = t("nation").withColumn("id", place)
+    entity = F.struct("id", F.col("n_name").alias("name"), F.lit("nation").alias("entity_type"))
+    fact = F.struct(F.col("id").alias("entity_id"), key("nation ", "n_nationkey").alias("content"))
+    docs = rows.groupBy("n_regionkey").agg(
+        F.collect_list(entity).alias("entities"), F.collect_list(fact).alias("observations")
+    )
+    path = scratch_path(g.spark, "documents")
+    docs.write.partitionBy("n_regionkey").json(path)
+    after, _ = D.import_rows(Graph.of(g.spark), D.read_documents(g.spark, path), NOW)
+    owners = after.entities.select(F.col("id").alias("entity_id"), "name")
+    return after.observations.join(owners, "entity_id").select("name", "content")
+
+
+@on_graph
+def bfs_forward(g):
+    """Every supplier on its own, two hops along the arrows."""
+    return T.bfs(g, _seeds(g, "supplier"), 2, "outgoing", None, None)[0]
+
+
+@on_graph
+def list_relationships_deep(g):
+    """A page far down the list of all edges."""
+    return R.list_relationships(g, limit=50, offset=12_000).select("id", "source_name", "target_name", "total")
