@@ -1,6 +1,6 @@
 """SQL (DuckDB) for the queries whose results SQL can say."""
 
-from knotwork.llm.quality import LINE_BYTES_SHARE, LINE_SHARE, MIN_WORDS, WINDOW_SHARES
+from knotwork.llm.quality import LINE_BYTES_SHARE, MIN_WORDS, WINDOW_SHARES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,7 +36,7 @@ ORACLES = {
             coalesce(dup, 0) / greatest(coalesce(lines, 0), 1) line_share, coalesce(dup_size, 0) / greatest(coalesce(size, 0), 1) line_bytes_share, {_SHARES}
             FROM d LEFT JOIN s USING (doc_id) {_JOINS}),
         b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words base_failed FROM m)
-        SELECT *, NOT base_failed AND line_share <= {LINE_SHARE} AND line_bytes_share <= {LINE_BYTES_SHARE} AND {_PASSED} kept FROM b""",
+        SELECT *, NOT base_failed AND line_bytes_share <= {LINE_BYTES_SHARE} AND {_PASSED} kept FROM b""",
     "op9_near_dedup": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i FROM d WHERE len(ws) > 0)),

@@ -10,9 +10,10 @@ from knotwork.llm.arrays import SPACE, blocks, find_words, mix, per_text, repeat
 from knotwork.llm.common import table
 
 #: Word windows, and the largest share of word characters that may lie inside windows found twice or more.
-WINDOW_SHARES = {5: 0.30, 7: 0.26, 10: 0.20}
-#: Largest share of lines, and of their bytes, that may be equal to an earlier line.
-LINE_SHARE, LINE_BYTES_SHARE = 0.30, 0.20
+WINDOW_SHARES = {5: 0.35, 7: 0.30, 10: 0.25}
+#: Largest share of the bytes of all lines that may lie in lines equal to an earlier one. The share of
+#: lines is measured too, but says little of texts with few lines and decides nothing.
+LINE_BYTES_SHARE = 0.20
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -90,7 +91,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         np.bincount(line_doc, size, minlength=count), 1
     )
     out["base_failed"] = (total < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * total)
-    kept = ~out["base_failed"] & (out["line_share"] <= LINE_SHARE) & (out["line_bytes_share"] <= LINE_BYTES_SHARE)
+    kept = ~out["base_failed"] & (out["line_bytes_share"] <= LINE_BYTES_SHARE)
     for n, most in WINDOW_SHARES.items():
         kept &= out[f"share_{n}"] <= most
     out["kept"] = kept
