@@ -22,7 +22,7 @@ from knotwork.llm.common import table
 #: Bytes of a repeated window, and bytes of the first digit.
 LENGTH, DIGIT = 50, 16
 #: Window starts handled at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BASE = np.uint32(0x9E3779B1)
 _LETTER = np.random.default_rng(20240602).integers(1, 1 << 32, 256).astype(np.uint32)
