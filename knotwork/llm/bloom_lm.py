@@ -115,16 +115,14 @@ def build(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[int, np.ndar
 class Filter:
     """All blocks of a filter; a key's block is its group."""
 
-    def __init__(self, blocks: list[bytes], least: np.ndarray):
-        self.size = len(blocks[0]) if blocks else 1
-        self.bits = np.frombuffer(b"".join(blocks), np.uint8)
+    def __init__(self, blocks: np.ndarray, least: np.ndarray):
+        self.size = blocks.shape[1]
+        self.bits = blocks.ravel()
         self.least = least
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated probes, 0 where the least level is missing."""
         out = np.zeros(len(keys), dtype=np.int64)
-        if not len(self.bits):
-            return out.astype(np.float64)
         group = (keys % np.uint64(len(self.least))).astype(np.int64)
         base = group * (self.size * 8)
         alive = np.arange(len(keys))
@@ -176,20 +174,19 @@ def _decide(groups, word_bytes, pair_bytes):
 
 
 def _filters(notes, groups, word_bytes, pair_bytes):
-    """The two filters and the numbers of distinct and of all training tokens."""
-    out, distinct, total = [], 0, 0
-    for kind, size in ((0, word_bytes), (1, pair_bytes)):
-        blocks = [bytes(size)] * groups
-        least = np.ones(groups, dtype=np.int64)
-        for r in notes:
-            if r["group"] // groups == kind:
-                head = np.frombuffer(bytes(r["answer"][:24]), "<i8")
-                least[r["group"] % groups] = head[0]
-                blocks[r["group"] % groups] = bytes(r["answer"][24:])
-                if kind == 0:
-                    distinct, total = distinct + int(head[1]), total + int(head[2])
-        out.append((blocks, least))
-    return out, distinct, total
+    """The two filters and the numbers of distinct and of all training tokens; notes come one by one."""
+    sizes = (word_bytes, pair_bytes)
+    blocks = [np.zeros((groups, size), dtype=np.uint8) for size in sizes]
+    least = [np.ones(groups, dtype=np.int64) for _ in sizes]
+    distinct = total = 0
+    for r in notes:
+        kind, group = divmod(r["group"], groups)
+        head = np.frombuffer(r["answer"], "<i8", 3)
+        least[kind][group] = head[0]
+        blocks[kind][group] = np.frombuffer(r["answer"], np.uint8, offset=24)
+        if kind == 0:
+            distinct, total = distinct + int(head[1]), total + int(head[2])
+    return list(zip(blocks, least, strict=True)), distinct, total
 
 
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +205,8 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
         -(-max(1 << 16, min(most, total_bytes // share)) // (8 * groups)) * 8 for most, share in ((MAX_WORDS, 16), (MAX_PAIRS, 6))
     )
     replies = ask(chunks, _question(groups), _decide(groups, word_bytes, pair_bytes), 2 * groups)
-    found, distinct, total = _filters(replies.filter("chunk is null").select("group", "answer").collect(), groups, word_bytes, pair_bytes)
+    notes = replies.filter("chunk is null").select("group", "answer").coalesce(8).toLocalIterator()
+    found, distinct, total = _filters(notes, groups, word_bytes, pair_bytes)
     shared = spark.sparkContext.broadcast(found)
     kind = docs.schema[id_col].dataType.simpleString()
     floor = total + ADD * (distinct + 1)

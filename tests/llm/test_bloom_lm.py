@@ -59,12 +59,12 @@ def test_filter():
     keys = mix(np.arange(20_000, dtype=np.uint64))
     counts = rng.zipf(1.6, len(keys)).clip(1, 100_000)
     least, block = B.build(keys, counts, 1 << 16)
-    found = B.Filter([block.tobytes()], np.array([least])).counts(keys)
+    found = B.Filter(block[None], np.array([least])).counts(keys)
     exact = B.value(B.level(counts))
     assert least == 1 and (found >= exact).all() and (found == exact).mean() > 0.95
-    none = B.Filter([block.tobytes()], np.array([least])).counts(mix(np.arange(30_000, 60_000, dtype=np.uint64)))
+    none = B.Filter(block[None], np.array([least])).counts(mix(np.arange(30_000, 60_000, dtype=np.uint64)))
     assert (none > 0).mean() < 0.05
     # Too small a block keeps the frequent keys.
     least, block = B.build(keys, counts, 1 << 12)
-    found = B.Filter([block.tobytes()], np.array([least])).counts(keys)
+    found = B.Filter(block[None], np.array([least])).counts(keys)
     assert least > 1 and (found[B.level(counts) >= least] > 0).all()
