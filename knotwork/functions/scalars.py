@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,11 +81,18 @@ def new_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and the letters without."""
+    marked = [chr(c) for c in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]]
+    parts = [(c, unicodedata.normalize("NFD", c)) for c in marked if c.islower()]
+    pairs = [(c, p[0]) for c, p in parts if len(p) > 1 and p[0].isascii()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores; the same rule for index and query."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    """Lower-case runs of letters and digits without diacritics; the same rule for index and query.
+
+    Marks fold whether a letter is written as one character or as letter and combining mark.
+    """
+    bare = F.regexp_replace(F.translate(F.lower(c), *_plain_letters()), r"[\u0300-\u036F]", "")
+    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

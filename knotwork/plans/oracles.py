@@ -457,7 +457,9 @@ ORACLES |= {
 
 # --- text, vectors, search ------------------------------------------------------------------
 
-WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
+#: Words as the stand-in encoder cuts them.
+ENCODED = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 BENCHMARK_QUERIES = "SELECT 'item:'||item_id query_id, text FROM benchmark"
 PART_QUERIES = "SELECT DISTINCT p_name||' '||p_type query_id, p_name||' '||p_type AS text FROM part"
 OBSERVATION_TEXTS = "SELECT id, content AS text FROM observations"
@@ -491,7 +493,7 @@ def hash_vectors(name: str, texts: str, key: str = "id") -> str:
     """Word counts in 64 places, by the leading six bits of each word's md5."""
     place = "(strpos('0123456789abcdef', substr(md5(w), 1, 1)) - 1) * 4 + (strpos('0123456789abcdef', substr(md5(w), 2, 1)) - 1) // 4"
     return f"""
-{name}_n AS (SELECT {key}, {place} b, count(*) n FROM (SELECT {key}, unnest({WORDS.format('text')}) w FROM ({texts})) GROUP BY 1, 2),
+{name}_n AS (SELECT {key}, {place} b, count(*) n FROM (SELECT {key}, unnest({ENCODED.format('text')}) w FROM ({texts})) GROUP BY 1, 2),
 {name} AS (SELECT {key}, list_transform(range(64), lambda i: coalesce(map_extract_value(m, i), 0)::double) v
   FROM (SELECT {key}, map(list(b::bigint), list(n)) m FROM {name}_n GROUP BY 1))
 """
@@ -595,7 +597,7 @@ ORACLES |= {
              FROM entities QUALIFY r <= 15)""",
     ),
     "embed_texts": q(
-        f"""SELECT id, sha256(text) content_hash, 64 dim, len({WORDS.format('text')})::double words FROM (
+        f"""SELECT id, sha256(text) content_hash, 64 dim, len({ENCODED.format('text')})::double words FROM (
               SELECT id, name||' ('||entity_type||')'||CASE WHEN description = '' THEN '' ELSE ' '||description END AS text FROM entities)"""
     ),
     "embedding_cache_next": """
@@ -618,7 +620,7 @@ ORACLES |= {
     "mention_links": q(
         r"""SELECT observation_id, 'term:'||w entity_id, count(*) mentions FROM (
               SELECT id observation_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) w FROM observations)
-            WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM benchmark) AND length(w) >= 6 GROUP BY 1, 2"""
+            WHERE w IN (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) FROM benchmark) AND length(w) >= 6 GROUP BY 1, 2"""
     ),
 }
 

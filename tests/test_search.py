@@ -257,3 +257,10 @@ def test_copies_follow_the_visits_of_a_cell(spark, monkeypatch):
     assert got.groupBy("query_id").count().count() == 20
     best = {r.query_id: r.id for r in V._best(got, 1).collect()}
     assert best["q00"] == "v11" and best["q01"] in {f"v{i}" for i in range(8)}
+
+
+def test_words_fold_marks_and_split_at_underscores(spark):
+    docs = spark.createDataFrame([("1", "Café au lait"), ("2", "cafe\u0301 noir"), ("3", "the status_code"), ("4", "Größe ÉTÉ")], "id string, text string")
+    index = X.build_text_index(docs)
+    asked = spark.createDataFrame([("c", "cafe"), ("s", "status"), ("e", "été"), ("g", "große")], "query_id string, text string")
+    assert rows(X.bm25_topk(asked, index, 5), "query_id", "id") == [("c", "1"), ("c", "2"), ("e", "4"), ("g", "4"), ("s", "3")]
