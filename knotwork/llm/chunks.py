@@ -24,7 +24,7 @@ from knotwork.llm.graphs import sorted_groups
 from knotwork.session import shuffle_partitions
 
 #: Bytes of text in a chunk (one longer text is a chunk), and bytes of input whose keys meet in a group.
-CHUNK, GROUP = 4 << 20, 8 << 20
+CHUNK, GROUP = 2 << 20, 4 << 20
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:

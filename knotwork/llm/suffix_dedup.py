@@ -21,8 +21,8 @@ from knotwork.llm.common import table
 
 #: Bytes of a repeated window, and bytes of the first digit.
 LENGTH, DIGIT = 50, 16
-#: Window starts handled at once.
-SLICE = 1 << 18
+#: Window starts, and regions, handled at once.
+SLICE, REGIONS = 1 << 18, 1 << 14
 
 _BASE = np.uint32(0x9E3779B1)
 _LETTER = np.random.default_rng(20240602).integers(1, 1 << 32, 256).astype(np.uint32)
@@ -246,11 +246,14 @@ def _removed(chunk: Chunk, digits, windows) -> np.ndarray:
             flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
         rank = np.empty(len(live), dtype=np.int64)
         rank[heads] = np.arange(len(heads))
-        inside = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
-        bad = flags[np.repeat(bounds[rank[leader]], span) + inside] | np.repeat(ids > ids[leader], span)
-        at = (np.repeat(chunk.first[live], span) + inside)[bad]
-        steps[at] += 1
-        steps[at + LENGTH] -= 1
+        for lo in range(0, len(live), REGIONS):
+            part = slice(lo, lo + REGIONS)
+            size, lead = span[part], leader[part]
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            bad = flags[np.repeat(bounds[rank[lead]], size) + inside] | np.repeat(ids[part] > ids[lead], size)
+            at = (np.repeat(chunk.first[live[part]], size) + inside)[bad]
+            steps[at] += 1
+            steps[at + LENGTH] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 

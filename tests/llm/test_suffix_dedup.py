@@ -40,6 +40,7 @@ def check(spark, rows):
 def test_random(spark, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK", 4000)
     monkeypatch.setattr(suffix_dedup, "SLICE", 300)
+    monkeypatch.setattr(suffix_dedup, "REGIONS", 20)
     rng = random.Random(11)
     say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     shared = [say(rng.randint(40, 200)) for _ in range(12)]
