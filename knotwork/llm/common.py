@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,31 @@ def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def train_part(column, folds: int):
     """crc32 of the decimal id, modulo ``folds``; remainder 0 is held out. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+#: Bits of the set in ``probable``. Where it fills up more rows pass, and the join after it drops them.
+BITS = 1 << 23
+
+
+def probable(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be in the one column of ``ids``, by a bit set of fixed size.
+
+    Spares long rows the way to a join that would drop them. At most the words of the set reach the driver.
+    """
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(f"place {i}")), F.lit(BITS)).alias(f"_place{i}") for i in (0, 1)]
+    marks = ids.select(F.explode(F.array(*places(ids.columns[0]))).alias("at"))
+    words = marks.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    packed = np.zeros(BITS >> 6, dtype=np.int64)
+    for r in words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
+        packed[r["word"]] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
+
+    def run(batches):
+        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                near = bits[part.column(part.num_columns - 2).to_numpy()] & bits[part.column(part.num_columns - 1).to_numpy()]
+                yield pa.RecordBatch.from_arrays(part.columns[:-2], names=part.schema.names[:-2]).filter(pa.array(near))
+
+    return rows.select("*", *places(column)).mapInArrow(run, rows.schema)

@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.arrays import LOWER, MARKS, blocks, find_words, span_hashes
-from knotwork.llm.common import keep, table
+from knotwork.llm.arrays import MARKS, blocks, find_words, span_hashes
+from knotwork.llm.common import keep, probable, table
 
 #: Words in a block; a passage is two neighbouring blocks, and passages overlap by one.
 STRIDE = 16
 #: Terms in a larger share of blocks carry no weight in the latent space.
-COMMON = 0.02
+COMMON = 0.002
+#: Terms by which a window of an item is searched: its rarest ones.
+TERMS = 10
 #: Item windows searched together, dimensions of their latent space and further random directions.
 WINDOWS, RANK, EXTRA = 192, 224, 16
 #: Cosine of a candidate; weighted shares of the item found in order, alone or with its answer.
@@ -30,14 +33,19 @@ ITEM_BYTES = 8 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray):
-    data = LOWER[data]
+    """Hashes of the words of lower-cased texts, and each one's text."""
     starts, ends, doc = find_words(data, offsets, MARKS)
     return span_hashes(data, starts, ends), doc
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, letters with marks and of other scripts too."""
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 def item_words(text: str | None) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return words_of(data, np.array([0, len(data)]))[0]
+    _, _, data, offsets = next(blocks(lowered(pa.array([text], pa.string()))))
+    return words_of(data, offsets)[0]
 
 
 def answer_of(text: str) -> str:
@@ -58,8 +66,8 @@ def _passages(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         terms = shared.value
         maybe = np.zeros(1 << 20, dtype=bool)
         maybe[(terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1), 4 << 20):
+        for batch in small(batches):
+            for lo, hi, data, offsets in blocks(lowered(batch.column(1))):
                 words, doc = words_of(data, offsets)
                 total = np.bincount(doc, minlength=hi - lo)
                 first = np.cumsum(total) - total
@@ -77,6 +85,13 @@ def _passages(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"ids array<{kind}>, counts array<int>, packed binary, hits int")
 
 
+def small(batches, rows: int = 256):
+    """The batches in pieces, so that copies of their texts stay small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _row(ids, count, outside, place, block):
     body = outside.astype(np.uint8).tobytes() + place.astype("<u4").tobytes() + block.astype("<u4").tobytes()
     return pa.RecordBatch.from_arrays(
@@ -101,6 +116,23 @@ def _rows(batches):
             yield batch.column("ids")[i].values, count, np.frombuffer(raw, np.uint8, size).astype(np.float64), place, block
 
 
+def _narrowed(passages: DataFrame, terms: np.ndarray, rare: np.ndarray) -> DataFrame:
+    """The passages with the hits of some terms only; other rare terms count as words outside.
+
+    Both are masks over the vocabulary.
+    """
+    shared = passages.sparkSession.sparkContext.broadcast((terms, rare & ~terms))
+
+    def run(batches):
+        terms, others = shared.value
+        for ids, count, outside, place, block in _rows(batches):
+            own = terms[place]
+            outside = outside + np.bincount(block[others[place]], minlength=len(outside))
+            yield _row(ids, count, outside, place[own], block[own])
+
+    return keep(passages.mapInArrow(run, passages.schema), "searched", "uncompressed")
+
+
 def _frequencies(passages: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     """In how many blocks each term is, and the number of blocks; at most one row per term is collected."""
 
@@ -319,7 +351,9 @@ def _confirm(docs: DataFrame, found: DataFrame, items: list) -> DataFrame:
                         names=["_id", "item", "cosine", "lcs", "answer"],
                     )
 
-    met = docs.join(near, docs["_id"] == near["_key"]).select("_id", "_text", "near")
+    near = keep(near, "near")
+    docs = probable(docs, near.select("_key"), "_id")
+    met = docs.join(near.hint("merge"), docs["_id"] == near["_key"]).select("_id", "_text", "near")
     return met.mapInArrow(run, f"_id {kind}, item int, cosine double, lcs double, answer double")
 
 
@@ -360,17 +394,20 @@ def _leaks_of(docs: DataFrame, items: list, kind: str) -> DataFrame | None:
     passages = keep(_passages(docs, vocabulary), "passages", "uncompressed")
     often, total = _frequencies(passages, len(vocabulary))
     weight = np.log((total + 1) / (often + 0.5)).clip(0)
-    rare = np.flatnonzero(often <= max(COMMON * total, 1))
-    if not len(rare):
-        rare = np.arange(len(vocabulary))
+    rare = often <= max(COMMON * total, 1)
     windows = []  # item, places of its words in the vocabulary
     for i, own in enumerate(words):
         place = np.searchsorted(vocabulary, own)
         for lo in range(0, max(1, len(place) - STRIDE), STRIDE // 2):
             part = place[lo : lo + 2 * STRIDE]
-            part = part[np.isin(part, rare)]
+            part = np.unique(part[rare[part]] if rare[part].any() else part)
             if len(part):
-                windows.append((i, part))
+                windows.append((i, part[np.argsort(often[part], kind="stable")[:TERMS]]))
+    if not windows:
+        return None
+    searched = np.zeros(len(vocabulary), dtype=bool)
+    searched[np.concatenate([p for _, p in windows])] = True
+    passages = _narrowed(passages, searched, rare)
     found = None
     for lo in range(0, len(windows), WINDOWS):
         part = windows[lo : lo + WINDOWS]
@@ -386,8 +423,6 @@ def _leaks_of(docs: DataFrame, items: list, kind: str) -> DataFrame | None:
         owner = np.array([i for i, _ in part])
         near = _candidates(passages, own, weight[terms], basis, queries, owner, float(np.log(total + 1)), kind)
         found = near if found is None else found.unionAll(near)
-    if found is None:
-        return None
     known = []
     for (_, text), own in zip(items, words, strict=True):
         answer = item_words(answer_of(text))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.arrays import LOWER, blocks, find_words, mix, runs, span_hashes
-from knotwork.llm.common import keep, table
+from knotwork.llm.common import keep, probable, table
 from knotwork.llm.graphs import components, sorted_groups
 
 #: Words in a shingle; links need 100 * intersection >= PERCENT * union.
@@ -20,8 +20,6 @@ PERMUTATIONS, ROWS = 64, 4
 #: Share of equal values from which two members of a bucket are taken for the same family. A pair at the
 #: threshold falls below it with a chance of about 1e-5, in each of the buckets where it meets.
 ALIKE = 0.65
-#: Bits of the set that says which texts may be in a family; where it fills up, more texts' sets are sent.
-BITS = 1 << 23
 #: Members of a bucket or family compared in one block.
 BLOCK_ROWS = 512
 
@@ -203,20 +201,6 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _members_bits(nodes: DataFrame) -> np.ndarray:
-    """A bit set of fixed size in which every node is marked; at most its words reach the driver."""
-    marks = nodes.select(F.explode(F.array(*_bit_places("node"))).alias("at"))
-    word = marks.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-    out = np.zeros(BITS >> 6, dtype=np.int64)
-    for r in word.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
-        out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _bit_places(column: str):
-    return [F.pmod(F.xxhash64(column, F.lit(f"place {i}")), F.lit(BITS)).alias(f"_p{i}") for i in (0, 1)]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest linked id), kept (id = component_id).
 
@@ -242,13 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
     members = family.join(sizes, "component").withColumnRenamed("component", "family")
 
-    shared = docs.sparkSession.sparkContext.broadcast(_members_bits(family))
-
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            near = bits[batch.column(2).to_numpy()] & bits[batch.column(3).to_numpy()]
-            batch = batch.filter(pa.array(near))
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 keys, owner = shingle_sets(data, offsets, words)
                 cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
@@ -256,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(each, pa.binary())], names=["node", "shingles"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    sets = rows.filter("_id is not null").select("_id", "_text", *_bit_places("_id")).mapInArrow(run, f"node {kind}, shingles binary")
+    sets = probable(rows.filter("_id is not null"), family.select("node"), "_id").mapInArrow(run, f"node {kind}, shingles binary")
     sets = sets.filter(F.octet_length("shingles") > 0).join(members.hint("merge"), "node")
     linked = components(_links(sets, percent))
     named = classes.select("one", "two", "n", "node").join(linked, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))

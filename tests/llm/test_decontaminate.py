@@ -61,6 +61,13 @@ def test_paraphrases(spark, monkeypatch):
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_case_and_marks(spark):
+    item = "Élan vieux çà et là, Ähre über Öl und Straßen; ждёт ночь над тихой рекой."
+    docs = spark.createDataFrame([(1, "ANFANG!! " + item.upper().replace(" ", "!! ")), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item.replace("ß", "ss"))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()] == [(1, 5)]
+
+
 def test_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
