@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         edges = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join deals both sides anew and the edges of a hub can be split over tasks.
+    least = keep(least.select("u", F.least("u", "m").alias("m")), "least")
     met = edges.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
