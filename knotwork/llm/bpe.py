@@ -24,7 +24,7 @@ from knotwork.llm.common import table
 #: Texts are read in slices of about this many characters, cut at white space.
 SLICE = 1 << 16
 #: Words and table cells kept by a worker; when full, they are dropped and found again.
-KEPT_WORDS, KEPT_CELLS = 200_000, 2_000_000
+KEPT_WORDS, KEPT_CELLS = 150_000, 400_000
 
 # Fixed value: white space as the tokenizer's patterns take it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -128,9 +128,8 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            passed = [measure(data, offsets)["kept"] for _, _, data, offsets in blocks(batch.column(at))]
-            if passed:
-                yield batch.filter(pa.array(np.concatenate(passed)))
+            for lo, hi, data, offsets in blocks(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(measure(data, offsets)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 
