@@ -1,8 +1,10 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c is held as the levels 1 to 1 + floor(log2 c): one membership for each. A reader probes level
-after level until one is missing, so a count is never read too low, and rarely too high. The counts of
-words, which the plain base score needs exactly, are also answered to the chunks that hold the words.
+after level until one is missing, so a count is never read too low, and rarely too high. The filter is
+dealt to groups by key; a group's block grows with the n-grams of the group, and what it reads for them is
+answered to the chunks that hold them. The counts of words, which the plain base score needs exactly, are
+answered beside.
 """
 
 from __future__ import annotations
@@ -17,10 +19,9 @@ from knotwork.llm.arrays import LOWER, find_words, mix, span_hashes
 from knotwork.llm.chunks import answers_of, ask, by_group, groups_for, pack, unpack, with_answers
 from knotwork.llm.common import table, train_part
 
-#: Largest sizes of the two filters in bytes; both are broadcast and sent once through the driver. A filter
-#: has a share of the input's bytes until then. Beyond, a block keeps its most frequent n-grams: the
+#: Bits of a block for each level that it stores, and probes for a level. In a block of a given size the
 #: least level stored rises until a stored level has ``BITS`` bits, and lower counts back off.
-MAX_WORDS, MAX_PAIRS, BITS, PROBES = 16 << 20, 48 << 20, 4, 3
+ROOM, BITS, PROBES = 12, 4, 3
 FOLDS = 10
 #: Words count as ADD more than they are, and pairs are mixed with PRIOR counts of the words' shares.
 ADD, PRIOR = 0.1, 5.0
@@ -96,6 +97,11 @@ def _places(keys: np.ndarray, at: int, bits: int):
         yield mix(keys + np.uint64((at * PROBES + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(bits)
 
 
+def room(counts: np.ndarray) -> int:
+    """Bytes of a block that stores every level of some counts."""
+    return max(64, -(-int(level(counts).sum()) * ROOM // 64) * 8)
+
+
 def build(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[int, np.ndarray]:
     """Least level stored and the block of ``size`` bytes for some keys."""
     levels = level(counts)
@@ -121,7 +127,11 @@ class Filter:
         self.least = least
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes, 0 where the least level is missing."""
+        """Quantised counts, 0 where the least level is missing."""
+        return value(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated probes, 0 where the least one is missing."""
         out = np.zeros(len(keys), dtype=np.int64)
         group = (keys % np.uint64(len(self.least))).astype(np.int64)
         base = group * (self.size * 8)
@@ -139,54 +149,54 @@ class Filter:
             at += 1
             if at > 64:
                 break
-        return value(out)
+        return out
 
 
 def _question(groups):
     def question(batch, row):
         words, doc, columns = tokens(batch, row)
         train = np.asarray(columns[1])[doc]
-        distinct, counts, _ = _counted(words, train)
-        yield from _send(0, distinct, counts, groups, 8)
-        distinct, counts, _ = _counted(pairs(words, doc)[train], np.ones(int(train.sum()), dtype=bool))
-        yield from _send(1, distinct >> np.uint64(16), counts, groups, 6)
+        for kind, keys, width in ((0, words, 8), (1, pairs(words, doc) >> np.uint64(16), 6)):
+            distinct, counts, _ = _counted(keys, train)
+            yield from _send(kind, distinct, counts, groups, width)
 
     return question
 
 
-def _decide(groups, word_bytes, pair_bytes):
-    def decide(payloads):
-        read = [_read(p) for p in payloads]
-        sizes = np.cumsum([len(k) for k, _ in read])[:-1]
-        keys, counts = np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read])
-        distinct, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, counts).astype(np.int64)
-        words = payloads[0][0] == 8
-        seen = total > 0
-        least, block = build(distinct[seen], total[seen], word_bytes if words else pair_bytes)
-        note = np.array([least, seen.sum(), total.sum()], dtype="<i8").tobytes() + block.tobytes()
-        if not words:
-            return None, note
-        packer = zstandard.ZstdCompressor(level=1)
-        return [packer.compress(part.astype("<u4").tobytes()) for part in np.split(total[where], sizes)], note
-
-    return decide
-
-
-def _filters(notes, groups, word_bytes, pair_bytes):
-    """The two filters and the numbers of distinct and of all training tokens; notes come one by one."""
-    sizes = (word_bytes, pair_bytes)
-    blocks = [np.zeros((groups, size), dtype=np.uint8) for size in sizes]
-    least = [np.ones(groups, dtype=np.int64) for _ in sizes]
-    distinct = total = 0
-    for r in notes:
-        kind, group = divmod(r["group"], groups)
-        head = np.frombuffer(r["answer"], "<i8", 3)
-        least[kind][group] = head[0]
-        blocks[kind][group] = np.frombuffer(r["answer"], np.uint8, offset=24)
-        if kind == 0:
-            distinct, total = distinct + int(head[1]), total + int(head[2])
-    return list(zip(blocks, least, strict=True)), distinct, total
+def _decide(payloads):
+    """For every chunk the levels that the group's block reads for its keys, and the counts of words.
+
+    The note has the numbers of distinct and of all training tokens.
+    """
+    read = [_read(p) for p in payloads]
+    sizes = np.cumsum([len(k) for k, _ in read])[:-1]
+    keys, counts = np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read])
+    distinct, where = np.unique(keys, return_inverse=True)
+    total = np.bincount(where, counts).astype(np.int64)
+    seen = total > 0
+    least, block = build(distinct[seen], total[seen], room(total[seen]))
+    levels = Filter(block[None], np.array([least])).levels(distinct).astype(np.uint8)
+    packer = zstandard.ZstdCompressor(level=1)
+    told = np.split(levels[where], sizes)
+    if payloads[0][0] != 8:
+        return [packer.compress(part.tobytes()) for part in told], None
+    exact = np.split(total[where].astype("<u8"), sizes)
+    note = np.array([seen.sum(), total.sum()], dtype="<i8").tobytes()
+    return [packer.compress(a.tobytes() + b.tobytes()) for a, b in zip(told, exact, strict=True)], note
+
+
+def _answers(batch, row, kind, keys, groups):
+    """The levels read for the distinct keys of a chunk and, for words, the exact counts."""
+    order, cuts = by_group(keys, groups)
+    levels, exact = (np.zeros(len(keys), dtype=np.int64) for _ in range(2))
+    for group, packed in answers_of(batch, row, "counts").items():
+        if group // groups == kind:
+            part = order[cuts[group % groups] : cuts[group % groups + 1]]
+            raw = zstandard.ZstdDecompressor().decompress(packed)
+            levels[part] = np.frombuffer(raw, np.uint8, len(part))
+            if kind == 0:
+                exact[part] = np.frombuffer(raw, "<u8", offset=len(part))
+    return value(levels), exact
 
 
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,34 +207,30 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     null ids are kept; further columns are dropped; an empty table gives no rows. Without training tokens
     all words have the same chance.
     """
-    spark = docs.sparkSession
     chunks = pack(docs.withColumn("_train", F.coalesce(train, F.lit(False))), id_col, text_col, ("_train",))
     groups = groups_for(chunks)
-    total_bytes = chunks.agg(F.sum("size")).first()[0] or 0
-    word_bytes, pair_bytes = (
-        -(-max(1 << 16, min(most, total_bytes // share)) // (8 * groups)) * 8 for most, share in ((MAX_WORDS, 16), (MAX_PAIRS, 6))
-    )
-    replies = ask(chunks, _question(groups), _decide(groups, word_bytes, pair_bytes), 2 * groups)
-    notes = replies.filter("chunk is null").select("group", "answer").coalesce(8).toLocalIterator()
-    found, distinct, total = _filters(notes, groups, word_bytes, pair_bytes)
-    shared = spark.sparkContext.broadcast(found)
+    replies = ask(chunks, _question(groups), _decide, 2 * groups)
+
+    def add(batches):
+        found = np.zeros(2, dtype=np.int64)
+        for batch in batches:
+            for note in batch.column(0).to_pylist():
+                found += np.frombuffer(note, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(found[:1]), pa.array(found[1:])], names=["words", "tokens"])
+
+    sums = replies.filter("chunk is null").select("answer").mapInArrow(add, "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
+    distinct, total = (n or 0 for n in sums)
     kind = docs.schema[id_col].dataType.simpleString()
     floor = total + ADD * (distinct + 1)
 
     def run(batches):
-        of_words, of_pairs = (Filter(*f) for f in shared.value)
         for batch in batches:
             for row in range(batch.num_rows):
                 words, doc, columns = tokens(batch, row)
                 count = len(columns[0])
                 keys, where = np.unique(words, return_inverse=True)
-                order, cuts = by_group(keys, groups)
-                exact = np.zeros(len(keys), dtype=np.int64)
-                for g, packed in answers_of(batch, row, "counts").items():
-                    raw = zstandard.ZstdDecompressor().decompress(packed)
-                    exact[order[cuts[g] : cuts[g + 1]]] = np.frombuffer(raw, "<u4")
+                read, exact = _answers(batch, row, 0, keys, groups)
                 base = np.log10((exact + ADD) / floor)
-                read = of_words.counts(keys)
                 share = ((read + ADD) / floor)[where]
                 seen = read[where]
                 context = np.empty(len(words))
@@ -232,7 +238,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
                 end = np.searchsorted(keys, _END)
                 context[:1] = read[end] if len(keys) else 0
                 both, spot = np.unique(pairs(words, doc) >> np.uint64(16), return_inverse=True)
-                met = of_pairs.counts(both)[spot]
+                met = _answers(batch, row, 1, both, groups)[0][spot]
                 model = np.log10((met + PRIOR * share) / (np.maximum(context, met) + PRIOR))
                 yield pa.RecordBatch.from_arrays(
                     [
