@@ -2,8 +2,9 @@
 
 Passages are blocks of words under TF-IDF weights. A randomised SVD of the matrix of passages, worked out
 where the passages lie, gives the latent space of the benchmark's vocabulary; passages near an item by
-cosine are candidates, and a longest common subsequence with the item, weighted by IDF, decides together
-with a check of the item's answer.
+cosine are candidates. So are all passages whose words could give the overlap that a leak needs at least,
+whatever their cosine. A longest common subsequence with the item, weighted by IDF, decides together with
+a check of the item's answer.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ TERMS = 10
 WINDOWS, RANK, EXTRA = 192, 224, 16
 #: Cosine of a candidate; weighted shares of the item found in order, alone or with its answer.
 COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.25, 0.75, 0.5, 0.5
+#: Share of an item's weight, in its most common words, that the first look at overlaps spares, and items
+#: looked for together.
+SPARED, TOGETHER = 0.25, 512
 #: Bytes of items whose vocabulary is broadcast at once; a larger benchmark is worked off in parts.
 ITEM_BYTES = 8 << 20
 
@@ -300,6 +304,107 @@ def _candidates(passages, own, weights, basis, queries, owner, outside_weight, k
     return passages.mapInArrow(run, f"_id {kind}, item int, block long, cosine double")
 
 
+def _searched(words: list, vocabulary: np.ndarray, weight: np.ndarray, often: np.ndarray, windows: list) -> list:
+    """What ``_overlaps`` looks for: by width of a segment, groups of items and their postings."""
+    rows: dict[int, list] = {}
+    for i, places in windows:
+        rows.setdefault(i, []).append(places)
+    classes: dict[int, list] = {}
+    for i, own in enumerate(words):
+        place, times = np.unique(np.searchsorted(vocabulary, own), return_counts=True)
+        share = weight[place] * times
+        if not len(own) or share.sum() <= 0:
+            continue
+        share /= share.sum()
+        order = np.argsort(-often[place], kind="stable")
+        spared = order[np.cumsum(share[order]) <= SPARED]
+        first = np.ones(len(place), dtype=bool)
+        first[spared] = False
+        near = np.zeros((len(rows.get(i, ())), len(place)))
+        for k, one in enumerate(rows.get(i, ())):
+            near[k, np.searchsorted(place, one)] = weight[one] / max(np.linalg.norm(weight[one]), 1e-9)
+        reach = -(-len(own) // STRIDE)
+        step = 1 << (2 * reach + 1).bit_length()  # no less than the 2 * reach + 2 blocks around a passage
+        classes.setdefault(step, []).append((i, place, times, share, first, LCS_WITH_ANSWER - share[spared].sum() - 1e-6, reach, near))
+    out = []
+    for step, own in classes.items():
+        for lo in range(0, len(own), TOGETHER):
+            part = own[lo : lo + TOGETHER]
+            term = np.concatenate([p[1][p[4]] for p in part])
+            item = np.repeat(np.arange(len(part)), [int(p[4].sum()) for p in part])
+            share = np.concatenate([p[3][p[4]] for p in part])
+            order = np.argsort(term, kind="stable")
+            start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+            out.append((step, part, start, item[order], share[order], np.array([p[5] for p in part])))
+    return out
+
+
+def _overlaps(passages, searched, weight, rare, outside_weight, kind) -> DataFrame:
+    """Columns _id, item, block, cosine of all passages whose surroundings, as ``_confirm`` compares them,
+    hold words of an item with ``LCS_WITH_ANSWER`` of its weight: no common subsequence weighs more.
+
+    Segments of two steps overlap by one, so the surroundings of every passage lie whole in one of them.
+    """
+    shared = passages.sparkSession.sparkContext.broadcast((searched, weight, rare))
+
+    def run(batches):
+        searched, weight, rare = shared.value
+        for ids, count, outside, place, block in _rows(batches):
+            first = np.cumsum(count) - count
+            text = np.searchsorted(np.cumsum(count), block, side="right")
+            found = []
+            for step, items, start, item, share, least in searched:
+                parts = -(-count // step)
+                part_first = np.cumsum(parts) - parts
+                mine = np.flatnonzero(start[place + 1] > start[place])
+                k = (block[mine] - first[text[mine]]) // step
+                at = part_first[text[mine]] + k
+                width = len(start)
+                keys = np.unique(np.concatenate([at * width + place[mine], (at * width + place[mine] - width)[k > 0]]))
+                cuts = np.searchsorted(keys // width, np.arange(0, int(parts.sum()) + 256, 256))
+                for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    term, segment = keys[a:b] % width, keys[a:b] // width - 256 * c
+                    many = start[term + 1] - start[term]
+                    spot = np.arange(int(many.sum())) + np.repeat(start[term] - (np.cumsum(many) - many), many)
+                    sums = np.bincount(np.repeat(segment, many) * len(items) + item[spot], share[spot], 256 * len(items))
+                    for seg, i in zip(*np.nonzero(sums.reshape(256, -1) >= least), strict=True):
+                        t = int(np.searchsorted(part_first + parts, seg + 256 * c, side="right"))
+                        base = (int(seg) + 256 * c - int(part_first[t])) * step
+                        size = min(2 * step, int(count[t]) - base)
+                        found += _near(items[i], t, base, size, int(first[t]) + base, place, block, outside, weight, rare, outside_weight)
+            if found:
+                owner, items, at, cosine = (np.array(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner)), pa.array(items.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(cosine.astype(np.float64))],
+                    names=["_id", "item", "block", "cosine"],
+                )
+
+    return passages.mapInArrow(run, f"_id {kind}, item int, block long, cosine double")
+
+
+def _near(item, text, base, size, at, place, block, outside, weight, rare, outside_weight):
+    """Text, item, block and cosine of the passages of a segment that overlap enough with an item."""
+    number, terms, times, share, _, _, reach, rows = item
+    lo, hi = np.searchsorted(block, [at, at + size])
+    spot = np.searchsorted(terms, place[lo:hi])
+    own = terms[np.minimum(spot, len(terms) - 1)] == place[lo:hi]
+    held = np.bincount((block[lo:hi][own] - at) * len(terms) + spot[own], minlength=size * len(terms)).reshape(size, -1)
+    sums = np.concatenate([np.zeros((1, len(terms)), dtype=np.int64), np.cumsum(held, axis=0)])
+    b = np.arange(size)
+    around = sums[np.minimum(b + 2 + reach, size)] - sums[np.maximum(b - reach, 0)]
+    enough = np.flatnonzero((np.minimum(around, times) * (share / times)).sum(axis=1) >= LCS_WITH_ANSWER - 1e-6)
+    out = []
+    for k in enough.tolist():
+        end = min(k + 2, size)
+        a, z = np.searchsorted(block, [at + k, at + end])
+        keys, n = np.unique(block[a:z] * len(weight) + place[a:z], return_counts=True)
+        term = keys % len(weight)
+        square = ((n * weight[term] * rare[term]) ** 2).sum() + outside[at + k : at + end].sum() * outside_weight**2
+        met = (rows @ ((sums[end] - sums[k]) * weight[terms])).max() if len(rows) else 0.0
+        out.append((text, number, base + k, min(1.0, met / max(np.sqrt(square), 1e-9))))
+    return out
+
+
 def weighted_lcs(item: np.ndarray, weights: np.ndarray, text: np.ndarray) -> float:
     """Largest weight of a common subsequence, as a share of the item's weight."""
     whole = float(weights.sum())
@@ -360,7 +465,8 @@ def _confirm(docs: DataFrame, found: DataFrame, items: list) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per text and benchmark item found in it: id, item id, cosine, lcs, answer.
 
-    Every passage of every whole text is searched. An item is found where the weighted longest common
+    Every passage of every whole text is searched, and all that ``_confirm`` would accept are candidates: the
+    result is that of comparing every passage with every item. An item is found where the weighted longest common
     subsequence covers ``LCS`` of it, or ``LCS_WITH_ANSWER`` of it and ``ANSWER`` of its answer. Null and
     empty texts and items match nothing; repeated rows give one row per id and item (the best), repeated
     items a row each; rows with a null id are not reported; empty tables give no rows.
@@ -407,8 +513,9 @@ def _leaks_of(docs: DataFrame, items: list, kind: str) -> DataFrame | None:
         return None
     searched = np.zeros(len(vocabulary), dtype=bool)
     searched[np.concatenate([p for _, p in windows])] = True
+    found = _overlaps(passages, _searched(words, vocabulary, weight, often, windows), weight, rare, float(np.log(total + 1)), kind)
+    found = keep(found, "overlaps")
     passages = _narrowed(passages, searched, rare)
-    found = None
     for lo in range(0, len(windows), WINDOWS):
         part = windows[lo : lo + WINDOWS]
         terms = np.unique(np.concatenate([p for _, p in part]))
@@ -422,7 +529,7 @@ def _leaks_of(docs: DataFrame, items: list, kind: str) -> DataFrame | None:
         queries = (rows @ basis).astype(np.float32)
         owner = np.array([i for i, _ in part])
         near = _candidates(passages, own, weight[terms], basis, queries, owner, float(np.log(total + 1)), kind)
-        found = near if found is None else found.unionAll(near)
+        found = found.unionAll(near)
     known = []
     for (_, text), own in zip(items, words, strict=True):
         answer = item_words(answer_of(text))

@@ -97,3 +97,62 @@ def test_space_is_exact_where_rank_allows(spark):
     assert np.allclose(D._sketch(passages, own, weights, basis, True), (dense @ basis).T @ (dense @ basis), rtol=1e-3, atol=0.05)
     space = D.latent_space(passages, own, weights, np.zeros((1, len(terms)), np.float32), np.ones(len(terms)))
     assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
+
+
+def test_recall_of_reworded_items(spark):
+    """Every planted item that the confirm rule accepts in any passage is found, reworded as it may be."""
+    rng = random.Random(6)
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 300 AND 4000 ORDER BY doc_id LIMIT 400").fetchall()
+    items = con.execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY item_id").fetchall()
+    corpus = [w for _, t in docs[:50] for w in t.split()]
+    rows = list(docs)
+    for n in range(4):
+        for k, (_, text) in enumerate(items):
+            answer = D.answer_of(text)
+            head, tail = text[: text.rindex(answer)], text[text.rindex(answer) :]
+            new = (lambda: f"zq{rng.randrange(10**6)}") if n % 2 else (lambda: rng.choice(corpus))
+            own = [new() if rng.random() < (0.4, 0.4, 0.5, 0.5)[n] else w for w in head.split()]
+            words = docs[(n * len(items) + k) % len(docs)][1].split()
+            at = rng.randint(0, len(words))
+            rows.append((100_000 + len(rows), " ".join([*words[:at], *own, tail, *words[at:]])))
+    words = {d: D.item_words(t) for d, t in rows}
+    often, total = {}, 0
+    for own in words.values():
+        for lo in range(0, len(own), D.STRIDE):
+            total += 1
+            for w in set(own[lo : lo + D.STRIDE].tolist()):
+                often[w] = often.get(w, 0) + 1
+    weigh = lambda x: np.array([max(0.0, np.log((total + 1) / (often.get(w, 0) + 0.5))) for w in x.tolist()])
+    want = set()
+    for n, (d, _) in enumerate(rows[len(docs) :]):
+        i, text = items[n % len(items)]
+        item, answer = D.item_words(text), D.item_words(D.answer_of(text))
+        for lo in range(0, len(words[d]), D.STRIDE):
+            part = words[d][max(0, lo - len(item)) : lo + 2 * D.STRIDE + len(item)]
+            lcs = D.weighted_lcs(item, weigh(item), part)
+            if lcs >= D.LCS or lcs >= D.LCS_WITH_ANSWER and D.weighted_lcs(answer, weigh(answer), part) >= D.ANSWER:
+                want.add((d, i))
+    assert len(want) > len(items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()}
+    assert not want - got, (len(want - got), len(want))
+
+
+def test_leak_without_its_rarest_words(spark):
+    rng = random.Random(8)
+    docs = [[f"f{rng.randrange(500)}" for _ in range(160)] for _ in range(300)]
+    items = []
+    for i in range(10):
+        rare = [k % 2 == 0 and k < 36 for k in range(40)]
+        items.append([f"{'u' if r else 'm'}{i}x{k}" for k, r in enumerate(rare)])
+        for w in items[-1]:
+            for d in rng.sample(range(20, 300), 3 if w[0] == "u" else 6):
+                docs[d][rng.randrange(160)] = w
+        own = [f"z{rng.randrange(10**6)}" if w[0] == "u" else w for w in items[-1]]
+        docs[i][50:50] = own
+    rows = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    bench = [(i, " ".join(w[:36]) + ". " + " ".join(w[36:])) for i, w in enumerate(items)]
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(10)}
+    assert all(D.LCS_WITH_ANSWER <= r.lcs < D.LCS and r.answer == 1 and 0 <= r.cosine <= 1 for r in got)
