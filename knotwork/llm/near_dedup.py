@@ -18,8 +18,8 @@ WORDS, PERCENT = 4, 80
 #: of the 32 bands with a chance of 5e-8.
 PERMUTATIONS, ROWS = 64, 4
 #: Share of equal values from which two members of a bucket are taken for the same family. A pair at the
-#: threshold falls below it with a chance of about 1e-5, in each of the buckets where it meets.
-ALIKE = 0.65
+#: threshold falls below it, in all buckets alike, with a chance of 8e-11; families are confirmed exactly.
+ALIKE = 0.55
 #: Members of a bucket or family compared in one block.
 BLOCK_ROWS = 512
 

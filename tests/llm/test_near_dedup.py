@@ -1,5 +1,6 @@
 """Near duplicates against all pairs."""
 
+import math
 import random
 import re
 
@@ -84,3 +85,10 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 500: 400, 450: 400}
+
+
+def test_signatures_lose_fewer_pairs_than_bands():
+    n = 2 * N.PERMUTATIONS
+    equal = N.PERCENT / 100 + (1 - N.PERCENT / 100) / 256  # values of eight bits also meet by chance
+    lost = sum(math.comb(n, k) * equal**k * (1 - equal) ** (n - k) for k in range(n + 1) if k / n < N.ALIKE)
+    assert lost < (1 - (N.PERCENT / 100) ** N.ROWS) ** (n // N.ROWS)
