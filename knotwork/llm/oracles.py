@@ -46,4 +46,43 @@ ORACLES = {
         r AS (SELECT doc_id, doc_id c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
         o AS (SELECT doc_id, min(c) component_id FROM r GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept FROM documents JOIN o USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_merkle": """
+        WITH RECURSIVE bits AS (
+          SELECT d.*, list_reduce(flatten(list_transform(range(0, length(CAST(doc_id AS VARCHAR)) + 1),
+              lambda i: CASE WHEN i = 0 THEN [4294967295] ELSE [CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] END)),
+              lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+          FROM documents d
+        ), leaves AS (
+          SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || tail) AS leaf,
+                 sha256(head || coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') || tail) AS other,
+                 coalesce(xor(crc, 4294967295) % 7 = 0, false) AS tampered
+          FROM (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                          || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                       coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM bits)
+        ), placed AS (
+          SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                 count(*) OVER (PARTITION BY lang) AS n FROM leaves
+        ), below(tree, level, i, n, h) AS (
+          SELECT tree, 0, place, n, leaf FROM placed
+          UNION ALL
+          SELECT tree, level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM below WHERE n > 1 GROUP BY tree, level, i // 2
+        ), subroots AS (
+          SELECT tree, h AS subroot, level AS depth, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM below WHERE n = 1
+        ), above(level, i, n, h) AS (
+          SELECT 0, place, n, subroot FROM subroots
+          UNION ALL
+          SELECT level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 2
+        ), nodes AS (
+          SELECT tree, level, i, h FROM below WHERE n > 1
+          UNION ALL SELECT s.tree, s.depth + a.level, a.i, a.h FROM subroots s, above a WHERE a.n > 1
+        ), starts AS (SELECT s.*, (SELECT max(level) FROM above) AS top FROM subroots s), walk(doc_id, leaf, tree, level, i, h, proof) AS (
+          SELECT doc_id, leaf, tree, 0, place, CASE WHEN tampered THEN other ELSE leaf END, '' FROM placed
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.tree, w.level + 1, CASE WHEN w.level + 1 = s.depth THEN s.place ELSE w.i // 2 END,
+                 sha256(CASE WHEN sib.h IS NULL THEN w.h WHEN w.i % 2 = 1 THEN sib.h || w.h ELSE w.h || sib.h END), w.proof || coalesce(sib.h, '')
+          FROM walk w JOIN starts s ON s.tree = w.tree LEFT JOIN nodes sib ON sib.tree = w.tree AND sib.level = w.level AND sib.i = xor(w.i, 1)
+          WHERE w.level < s.depth + s.top
+        )
+        SELECT w.doc_id, w.leaf, s.subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+        FROM walk w JOIN starts s ON s.tree = w.tree AND w.level = s.depth + s.top, (SELECT h FROM above WHERE n = 1) r""",
 }

@@ -1,0 +1,89 @@
+"""Manifests against trees built in plain Python."""
+
+import hashlib
+import random
+import zlib
+
+from knotwork.llm import merkle
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, leaf string, tree string"
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row, more=0):
+    values = [row[0], row[1], row[2], None if row[3] is None else row[3] + more, row[4]]
+    return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def levels_of(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+    return out
+
+
+def path(levels, i):
+    out = []
+    for level in levels[:-1]:
+        out.append((i & 1, level[i ^ 1] if i ^ 1 < len(level) else None))
+        i >>= 1
+    return out
+
+
+def brute(rows):
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append(((r[0] is not None, r[0] or 0, leaf(r)), r))
+    names = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {n: sorted(trees[n], key=lambda x: x[0]) for n in names}
+    levels = {n: levels_of([key[2] for key, _ in trees[n]]) for n in names}
+    top = levels_of([levels[n][-1][0] for n in names])
+    out = []
+    for place, n in enumerate(names):
+        for i, (key, r) in enumerate(trees[n]):
+            way = path(levels[n], i) + path(top, place)
+            node = leaf(r, 1) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 else key[2]
+            for side, other in way:
+                node = digest(node) if other is None else digest(other, node) if side else digest(node, other)
+            proof = digest(*[other for _, other in way if other is not None])
+            out.append((r[0], key[2], levels[n][-1][0], top[-1][0], proof, node, node == top[-1][0]))
+    return sorted(map(str, out))
+
+
+def found(spark, monkeypatch, df):
+    monkeypatch.setattr(merkle, "table", lambda *_: df)
+    return merkle.op11(spark, "").collect()
+
+
+def test_odd_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    ids = [None, 0, 1, 2, 63, 64, 4095, 4096, -1, -64, -4097, 10**12, 2**63 - 1, -(2**63)]
+    rows = [
+        (rng.choice(ids), rng.choice([None, "", "s"]), rng.choice([None, "", "en", "é"]), rng.choice([None, 0, 2**63 - 1]), rng.choice([None, "", "y" * 100_000]))
+        for _ in range(200)
+    ]
+    rows += [(i * 7919 - 10**6, "s", "long", i, "t") for i in range(2500)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    assert sorted(str(tuple(r)) for r in found(spark, monkeypatch, df)) == brute(rows)
+
+
+def test_one_row_and_none(spark, monkeypatch):
+    rows = [(7, "s", None, 1, "only")]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    assert [str(tuple(r)) for r in found(spark, monkeypatch, df)] == brute(rows)
+    assert found(spark, monkeypatch, df.limit(0)) == []
+    made = merkle.manifest(spark.createDataFrame([], "tree string, id long, leaf string, other string"))
+    assert made.root() is None
+
+
+def test_places_come_from_ranks(spark):
+    """Rows of single ids are placed by bitmaps alone: a rank is the number of smaller ids."""
+    ids = random.Random(4).sample(range(-(10**6), 10**6), 3000)
+    leaves = spark.createDataFrame([("t" + str(i % 2), i, str(i), 0.0) for i in ids], "tree string, id long, leaf string, salt double")
+    got = {r.id: r.pos for r in merkle.places(leaves).collect()}
+    for odd in (0, 1):
+        mine = sorted(i for i in ids if i % 2 == odd)
+        assert [got[i] for i in mine] == list(range(len(mine)))
