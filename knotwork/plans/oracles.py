@@ -248,17 +248,21 @@ ORACLES: dict[str, str] = {
            FROM entities WHERE entity_type = 'customer' ORDER BY updated_at DESC, id LIMIT 50 OFFSET 100"""
     ),
     "list_relationships": q(
-        """SELECT r.id, s.name source_name, t.name target_name, r.weight,
-             (SELECT count(*) FROM relationships WHERE relationship_type = 'placed') total
-           FROM (SELECT * FROM relationships WHERE relationship_type = 'placed' ORDER BY updated_at DESC, id LIMIT 100) r
-           JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id"""
+        """SELECT id, source_name, target_name, weight, total FROM (
+             SELECT r.id, s.name source_name, t.name target_name, r.weight, count(*) OVER () total,
+               row_number() OVER (ORDER BY r.updated_at DESC, r.id) place
+             FROM relationships r JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id
+             WHERE r.relationship_type = 'placed') listed
+           WHERE place <= 100"""
     ),
     "list_relationships_scoped": q(
-        """SELECT r.id, s.name source_name, t.name target_name, round(r.weight, 6) weight,
-             (SELECT count(*) FROM touching WHERE entity_id IN (SELECT id FROM entities WHERE entity_type = 'nation')) total
-           FROM (SELECT t.* FROM touching t JOIN entities e ON e.id = t.entity_id AND e.entity_type = 'nation'
-                 ORDER BY weight DESC, t.updated_at DESC, t.id LIMIT 100) r
-           JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id""",
+        """SELECT id, source_name, target_name, weight, total FROM (
+             SELECT r.id, s.name source_name, t.name target_name, round(r.weight, 6) weight, count(*) OVER () total,
+               row_number() OVER (ORDER BY r.weight DESC, r.updated_at DESC, r.id) place
+             FROM touching r JOIN entities e ON e.id = r.entity_id
+             JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id
+             WHERE e.entity_type = 'nation') listed
+           WHERE place <= 100""",
         TOUCHING,
     ),
     "graph_view_nodes": q(
@@ -846,8 +850,10 @@ ORACLES |= {
         recursive=True,
     ),
     "list_relationships_deep": q(
-        """SELECT r.id, s.name source_name, t.name target_name, (SELECT count(*) FROM relationships) total
-           FROM (SELECT * FROM relationships ORDER BY updated_at DESC, id LIMIT 50 OFFSET 12000) r
-           JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id"""
+        """SELECT id, source_name, target_name, total FROM (
+             SELECT r.id, s.name source_name, t.name target_name, count(*) OVER () total,
+               row_number() OVER (ORDER BY r.updated_at DESC, r.id) place
+             FROM relationships r JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id) listed
+           WHERE place BETWEEN 12001 AND 12050"""
     ),
 }
