@@ -15,15 +15,29 @@ from knotwork.llm.common import keep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that fail the quality rules go, null and empty ones with them; repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
+    """Of each group of near duplicates on five-word shingles the smallest id stays.
+
+    Texts that are null, empty or without words and rows without an id are linked with nothing and stay; of rows that
+    share an id all stay or none.
+    """
+    gone = near_dedup.near_duplicates(docs, words=SHINGLE).filter("not kept").select("doc_id")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has too are cut out; ``n_chars`` follows the text.
+
+    Null texts become empty; rows with one id don't cut one another.
+    """
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = suffix_dedup.remove_repeats(docs, carry=carry, texts=True)
     cut = cut.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
@@ -31,6 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null and empty texts and rows without an id stay."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
     return docs.join(found.distinct(), "doc_id", "left_anti").select(docs.columns)
 
