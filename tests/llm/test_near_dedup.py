@@ -20,8 +20,8 @@ def shingles(text, n=4):
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def brute(rows, percent=80):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, percent=80, words=4):
+    sets = {i: shingles(t, words) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -36,7 +36,7 @@ def test_run(spark):
     good = {r.doc_id for r in repetition(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     assert all(not test_quality.brute(t)[-1] for i, t in rows if i in good)
     rows = [(i, t) for i, t in rows if i in good]
-    near = test_near_dedup.brute(rows)
+    near = test_near_dedup.brute(rows, words=corpus_pipeline.SHINGLE)
     rows = list(cut([(i, t) for i, t in rows if near[i][1] == i]))
     items = [plain(t) for (t,) in con.execute(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
     grams = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in items]
