@@ -74,13 +74,17 @@ TABLES = {
 
 @dataclasses.dataclass(frozen=True)
 class Graph:
-    """The five tables of a knowledge graph, each a lazy DataFrame."""
+    """The five tables of a knowledge graph, each a lazy DataFrame.
+
+    ``base`` is the number of the stored manifest that the tables were read from, if any.
+    """
 
     entities: DataFrame
     relationships: DataFrame
     observations: DataFrame
     entity_embeddings: DataFrame
     observation_embeddings: DataFrame
+    base: int | None = None
 
     @property
     def spark(self) -> SparkSession:

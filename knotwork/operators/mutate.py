@@ -105,13 +105,12 @@ def _resolve_column(g: Graph, requests: DataFrame, name: str, out: str, type_col
     return requests.join(right, requests[name] == right["_name"], "left").drop("_name")
 
 
-def _left_and_new(table: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+def _left_and_new(table: DataFrame, incoming: DataFrame, key: list[str], present: DataFrame) -> DataFrame:
     """A full outer join that leaves the table in place when ``incoming`` is small enough to broadcast.
 
-    Rows of the table take up their incoming part; incoming keys the table lacks follow as new rows.
+    Rows of the table take up their incoming part; incoming keys that are not ``present`` follow as new rows.
     """
     kept = table.join(incoming, key, "left")
-    present = table.join(incoming.select(*key), key, "left_semi").select(*key).distinct()
     fresh = incoming.join(present, key, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
@@ -142,7 +141,8 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
     here = g.entities.filter(F.col("graph_id") == graph_id)
     elsewhere = g.entities.filter(F.col("graph_id") != graph_id)
     old = here.withColumn("folded", nocase(F.col("name")))
-    both = _left_and_new(old, incoming, key)
+    matched = cut(old.join(incoming.select(*key), key, "left_semi").select(*key, F.col("id").alias("old_id")))
+    both = _left_and_new(old, incoming, key, matched.select(*key))
     is_old, touched = F.col("id").isNotNull(), F.col("first_seq").isNotNull()
     fresh_id = F.coalesce("head.id", new_id(F.lit(graph_id), F.col("folded"), F.col("entity_type")))
     base = F.when(is_old, F.coalesce("description", F.lit(""))).otherwise(F.col("texts")[0]["description"])
@@ -160,7 +160,6 @@ def upsert_entities(g: Graph, batch: DataFrame, now, graph_id: str = "main") ->
         F.when(is_old, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    matched = cut(old.join(incoming.select(*key), key, "left_semi").select(*key, F.col("id").alias("old_id")))
     known = incoming.select(*key, "first_seq", "head").join(matched, key, "left").select(
         *key, "first_seq", F.col("old_id").isNotNull().alias("existed"), F.coalesce("old_id", fresh_id).alias("id")
     )
@@ -204,6 +203,19 @@ def _done(df: DataFrame, status: Column) -> DataFrame:
     return df.select("request_id", "seq", status.alias("status"), F.lit(None).cast("string").alias("reason"))
 
 
+def ends_of(g: Graph, batch: DataFrame, graph_id: str = "main") -> DataFrame:
+    """The edges ``(source_id, target_id, relationship_type)`` that :func:`upsert_relationships` would meet."""
+    ends = ("source_id", "target_id") if "source_id" in batch.columns else ("source", "target")
+    return _split_ends(within(g, graph_id), validate_relationships(batch, ends)[0])[0].select(*EDGE_KEY)
+
+
+def owners_of(g: Graph, batch: DataFrame, graph_id: str = "main") -> DataFrame:
+    """The entities ``(entity_id)`` that :func:`new_observations` would add to, of a batch with ``entity_name``."""
+    good, _ = validate_observations(batch, "entity_name")
+    found = _resolve_column(within(g, graph_id), good, "entity_name", "entity_id")
+    return found.select("entity_id").filter("entity_id is not null").distinct()
+
+
 def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame]:
     """Add or merge edges ``batch(request_id, seq, source, target, relationship_type[, weight, properties])``.
 
@@ -220,7 +232,8 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
         F.max("weight").alias("new_weight"), F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("given_id")
     )
     incoming = sized(incoming.join(_fold_props(good, EDGE_KEY), EDGE_KEY, "left"))
-    both = _left_and_new(here.relationships, incoming, EDGE_KEY)
+    matched = cut(here.relationships.join(incoming.select(*EDGE_KEY), EDGE_KEY, "left_semi").select(*EDGE_KEY).distinct())
+    both = _left_and_new(here.relationships, incoming, EDGE_KEY, matched)
     is_old, touched, stamp = F.col("id").isNotNull(), F.col("first_seq").isNotNull(), _stamp(now)
     edges = both.select(
         F.coalesce("graph_id", F.lit(graph_id)).alias("graph_id"),
@@ -232,7 +245,6 @@ def upsert_relationships(g: Graph, batch: DataFrame, now, graph_id: str = "main"
         F.when(is_old, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*RELATIONSHIP.names)
-    matched = here.relationships.join(incoming.select(*EDGE_KEY), EDGE_KEY, "left_semi")
     known = incoming.select(*EDGE_KEY, "first_seq").join(
         matched.select(*EDGE_KEY, F.lit(True).alias("existed")), EDGE_KEY, "left"
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.scalars import nocase
 from knotwork.model import TABLES, Graph
 
 #: Rule for graph names (fixed values).
@@ -18,9 +20,25 @@ GRAPH_ID_RESERVED = "graph"
 
 MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
-#: Folders of appended rows from which the next append writes the whole table as one.
+#: Folders of appended rows from which the next append writes the rows of a bucket as one.
 COMPACT_AFTER = 50
 
+#: Buckets of every table of a store, unless its first writer says otherwise.
+BUCKETS = 16
+
+#: What the rows of a table are dealt to buckets by; entities by their name in any case, as upserts and requests find them.
+BUCKET_KEYS = {
+    "entities": ("name",),
+    "relationships": ("source_id", "target_id", "relationship_type"),
+    "observations": ("entity_id",),
+    "entity_embeddings": ("id",),
+    "observation_embeddings": ("id",),
+}
+
+
+class StaleSnapshot(OSError):
+    """The store has a newer snapshot than the one that the tables were read from."""
+
 
 def valid_graph_ids(df: DataFrame) -> DataFrame:
     """Mark each ``graph_id`` as valid or not."""
@@ -40,13 +58,13 @@ def check_graph_id(graph_id: str) -> str:
 
 def select_graph(g: Graph, graph_id: str) -> Graph:
     """One named graph; on stored tables the filter prunes partitions."""
-    return Graph(**{n: df.filter(F.col("graph_id") == graph_id) for n, df in g.tables().items()})
+    return g.replace(**{n: df.filter(F.col("graph_id") == graph_id) for n, df in g.tables().items()})
 
 
 def drop_graph(g: Graph, graph_id: str, active: str) -> Graph:
     if graph_id == active:
         raise ValueError(f"cannot delete the active graph {graph_id!r}")
-    return Graph(**{n: df.filter(F.col("graph_id") != graph_id) for n, df in g.tables().items()})
+    return g.replace(**{n: df.filter(F.col("graph_id") != graph_id) for n, df in g.tables().items()})
 
 
 def graph_sql(g: Graph, sql: str, args: dict | None = None) -> DataFrame:
@@ -99,7 +117,25 @@ def read_manifest(spark: SparkSession, store: str) -> dict | None:
 def _write_manifest(spark: SparkSession, store: str, manifest: dict) -> None:
     """Put the next manifest beside the earlier ones. Two writers that start from one manifest want the
     same number; the second one fails and has changed nothing."""
-    write_text(spark, f"{store}/manifest-{manifest['number']}.json", json.dumps(manifest))
+    path = f"{store}/manifest-{manifest['number']}.json"
+    try:
+        write_text(spark, path, json.dumps(manifest))
+    except OSError as error:
+        fs, target = _filesystem(spark, path)
+        if fs.exists(target):
+            raise StaleSnapshot(f"{path} was written by another") from error
+        raise
+
+
+def bucket_of(table: str, count: int) -> Column:
+    """The bucket of a row of ``table``."""
+    keys = [nocase(F.col(c)) if c == "name" else F.col(c) for c in BUCKET_KEYS[table]]
+    return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+
+
+def buckets_of(table: str, rows: DataFrame, count: int) -> set[int]:
+    """The buckets that ``rows`` with the key columns of ``table`` fall into, ``count`` at most."""
+    return {r.bucket for r in rows.select(bucket_of(table, count).alias("bucket")).distinct().collect()}
 
 
 def save_graph(
@@ -109,50 +145,104 @@ def save_graph(
     changed: set[str] | None = None,
     appended: dict[str, DataFrame] | None = None,
     stream: tuple[str, int] | None = None,
+    only: dict[str, set[int]] | None = None,
+    buckets: int = BUCKETS,
 ) -> None:
     """Write a snapshot into new folders, then add the manifest that names them.
 
-    Manifests are numbered and never replaced, so readers see all tables of one version or all of
-    another, a job may read the previous snapshot while it writes the next, and a crash leaves the
-    previous one in force. With ``changed`` only those tables are written, and ``appended`` rows go
-    beside the folders a table has already, or together with them into one once there are
-    ``COMPACT_AFTER``; every other table keeps its folders. ``stream`` notes the last batch of a stream.
+    Manifests are numbered and never replaced, and no folder is written twice, whatever the versions are called:
+    readers see all tables of one snapshot or all of another, a job may read the previous snapshot while
+    it writes the next, and a crash leaves the previous one in force. Tables that were read from the store
+    are saved only on top of the snapshot they come from; if another writer was faster, ``StaleSnapshot``
+    is raised and nothing has changed.
+
+    With ``changed`` only those tables are written, and ``appended`` rows go beside what a table has already,
+    or, in a bucket of ``COMPACT_AFTER`` folders, together with it into one; every other table keeps its folders.
+    Tables are dealt to buckets, ``buckets`` of them from the first snapshot on. With ``only`` a changed table
+    holds, and replaces, the rows of the named buckets. ``stream`` notes the last batch of a stream.
     """
     before = read_manifest(g.spark, store)
+    if g.base is not None and g.base != (before["number"] if before else -1):
+        raise StaleSnapshot(f"{store} has changed since snapshot {g.base}")
     if before is None:
-        before = {"number": 0, "version": None, "tables": {}, "streams": {}}
+        before = {"number": 0, "version": None, "buckets": buckets, "tables": {}, "streams": {}}
         _write_manifest(g.spark, store, before)
-    folders, appended = dict(before["tables"]), appended or {}
+    folders, appended, only, count = dict(before["tables"]), appended or {}, only or {}, before["buckets"]
+    number, token = before["number"] + 1, uuid.uuid4().hex[:12]
     for name, df in g.tables().items():
-        whole = changed is None or name in changed or name not in folders
-        full = len(folders.get(name, [])) >= COMPACT_AFTER
-        if name in appended:
-            rows = df.unionByName(appended[name]) if full else appended[name]
+        held, mine = folders.get(name), only.get(name)
+        inside = lambda some, name=name: bucket_of(name, count).isin(sorted(some))
+        if name in appended and held is not None:
+            sizes = Counter(b for entry in held for b in entry["buckets"])
+            replaced = {b for b, n in sizes.items() if n >= COMPACT_AFTER and (mine is None or b in mine)}
+            rows = df.filter(inside(replaced)).unionByName(appended[name]) if replaced else appended[name]
+        elif changed is None or name in changed or held is None:
+            replaced = set(range(count)) if mine is None else mine
+            rows = df if mine is None else df.filter(inside(mine))
+            rows = rows.unionByName(appended[name]) if name in appended else rows
         else:
-            rows = df if whole else None
-        if rows is None:
             continue
-        folder = f"{name}/version={version}"
-        rows.write.mode("overwrite").partitionBy("graph_id").parquet(f"{store}/{folder}")
-        folders[name] = [*folders.get(name, []), folder] if name in appended and not full else [folder]
+        folder = f"{name}/version={version}/write={number}-{token}"
+        dealt = rows.withColumn("bucket", bucket_of(name, count)).hint("rebalance", "bucket")
+        dealt.write.partitionBy("bucket", "graph_id").parquet(f"{store}/{folder}")
+        written = sorted(int(e.removeprefix("bucket=")) for e in _entries(g.spark, f"{store}/{folder}") if e.startswith("bucket="))
+        left = [entry | {"buckets": [b for b in entry["buckets"] if b not in replaced]} for entry in held or []]
+        folders[name] = [entry for entry in [*left, {"folder": folder, "all": written, "buckets": written}] if entry["buckets"]]
     streams = before["streams"] | ({stream[0]: stream[1]} if stream else {})
     _write_manifest(
-        g.spark, store, {"number": before["number"] + 1, "version": version, "tables": folders, "streams": streams}
+        g.spark, store, {"number": number, "version": version, "buckets": count, "tables": folders, "streams": streams}
     )
 
 
-def load_graph(spark: SparkSession, store: str, graph_id: str | None = None) -> Graph:
+def load_graph(
+    spark: SparkSession, store: str, graph_id: str | None = None, only: dict[str, set[int]] | None = None
+) -> Graph:
     """The snapshot of the last manifest; an empty graph when there is none yet.
 
-    All folders of a table are one scan.
+    All folders of a table are one scan. With ``only`` just the named buckets of a table are read.
     """
     manifest = read_manifest(spark, store)
-    if manifest is None or not manifest["tables"]:
-        return Graph.of(spark)
+    if manifest is None:
+        return Graph.of(spark).replace(base=-1)
 
     def read(name: str, schema) -> DataFrame:
-        paths = [f"{store}/{folder}" for folder in manifest["tables"][name]]
+        paths, mine = [], (only or {}).get(name)
+        for entry in manifest["tables"].get(name, ()):
+            wanted = [b for b in entry["buckets"] if mine is None or b in mine]
+            if wanted == entry["all"]:
+                paths.append(f"{store}/{entry['folder']}")
+            else:
+                paths += [f"{store}/{entry['folder']}/bucket={b}" for b in wanted]
+        if not paths:
+            return spark.createDataFrame([], schema)
         return spark.read.schema(schema).option("basePath", f"{store}/{name}").parquet(*paths).select(*schema.names)
 
-    g = Graph(**{name: read(name, schema) for name, schema in TABLES.items()})
+    g = Graph(**{name: read(name, schema) for name, schema in TABLES.items()}, base=manifest["number"])
     return g if graph_id is None else select_graph(g, graph_id)
+
+
+def prune_snapshots(spark: SparkSession, store: str, keep: int = 2) -> int:
+    """Remove all but the last ``keep`` manifests and the folders that none of the kept ones names; how many folders went.
+
+    Folders of a write that is under way carry a later number than the last manifest and stay. A reader of a
+    removed snapshot fails, so ``keep`` covers the longest job.
+    """
+    if keep < 1:
+        raise ValueError("the last snapshot stays")
+    numbers = sorted(int(m[1]) for m in map(MANIFEST.fullmatch, _entries(spark, store)) if m)
+    if not numbers:
+        return 0
+    fs, _ = _filesystem(spark, store)
+    kept = [json.loads(read_text(spark, f"{store}/manifest-{n}.json")) for n in numbers[-keep:]]
+    named = {entry["folder"] for manifest in kept for entries in manifest["tables"].values() for entry in entries}
+    for n in numbers[:-keep]:
+        fs.delete(_filesystem(spark, f"{store}/manifest-{n}.json")[1], False)
+    gone = 0
+    for name in TABLES:
+        for version in _entries(spark, f"{store}/{name}"):
+            for write in _entries(spark, f"{store}/{name}/{version}"):
+                folder, number = f"{name}/{version}/{write}", re.match(r"write=(\d+)-", write)
+                if number and int(number[1]) <= numbers[-1] and folder not in named:
+                    fs.delete(_filesystem(spark, f"{store}/{folder}")[1], True)
+                    gone += 1
+    return gone

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from knotwork.functions.scalars import strip
 from knotwork.model import Graph
-from knotwork.operators.mutate import new_observations, upsert_entities, upsert_relationships
+from knotwork.operators.mutate import EDGE_KEY, ends_of, new_observations, owners_of, upsert_entities, upsert_relationships
 from knotwork.session import cut
-from knotwork.sources.tables import check_graph_id, load_graph, read_manifest, read_text, save_graph
+from knotwork.sources.tables import (
+    BUCKETS,
+    StaleSnapshot,
+    buckets_of,
+    check_graph_id,
+    load_graph,
+    read_manifest,
+    read_text,
+    save_graph,
+)
 
 #: One record of any kind; ``kind`` is entity, relationship or observation.
 RECORD = T.StructType(
@@ -38,11 +49,22 @@ RECORD = T.StructType(
 TABLE_OF = {"entity": "entities", "relationship": "relationships", "observation": "observations"}
 
 
-def apply_records(g: Graph, records: DataFrame, now, graph_id: str = "main") -> tuple[Graph, DataFrame, DataFrame]:
+#: How often a batch starts over because other writers were faster.
+ATTEMPTS = 100
+
+
+def apply_records(
+    g: Graph,
+    records: DataFrame,
+    now,
+    graph_id: str = "main",
+    near: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> tuple[Graph, DataFrame, DataFrame]:
     """Entities first, then edges and observations by entity name.
 
     Returns the graph with its entities and edges, the added observations by themselves, and the
-    statuses. Tables the records do not concern are passed on as they are.
+    statuses. Tables the records do not concern are passed on as they are. ``near(table, keys)`` may give
+    the rows of edges or observations that can have one of the keys, once the names are resolved.
     """
     kinds = {r.kind for r in records.select("kind").distinct().filter(F.col("kind").isin(*TABLE_OF)).collect()}
     of = lambda kind, *columns: records.filter(F.col("kind") == kind).select(
@@ -55,10 +77,14 @@ def apply_records(g: Graph, records: DataFrame, now, graph_id: str = "main") ->
         statuses.append(status)
     if "relationship" in kinds:
         edges = of("relationship", "source", "target", "relationship_type", "weight", "properties")
+        if near is not None:
+            g = g.replace(relationships=near("relationships", ends_of(g, edges, graph_id).select(*EDGE_KEY)))
         g, status = upsert_relationships(g, edges, now, graph_id)
         statuses.append(status)
     if "observation" in kinds:
         facts = of("observation", F.col("name").alias("entity_name"), "content", "source")
+        if near is not None:
+            g = g.replace(observations=near("observations", owners_of(g, facts, graph_id).select("entity_id")))
         fresh, status = new_observations(g, facts, now, graph_id)
         statuses.append(status)
     shown = [s.select("request_id", "seq", "status", "reason") for s in statuses]
@@ -66,17 +92,36 @@ def apply_records(g: Graph, records: DataFrame, now, graph_id: str = "main") ->
     return g, fresh, functools.reduce(DataFrame.unionByName, shown, none)
 
 
+def _names(records: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """The names that records of some kinds hold, as given and without the white space around them."""
+    found = [records.filter(F.col("kind") == kind).select(F.col(c).alias("name")) for kind, cs in columns.items() for c in cs]
+    names = functools.reduce(DataFrame.unionAll, found).filter("name is not null")
+    return names.unionAll(names.select(strip(F.col("name")))).distinct()
+
+
 def _write_batch(records: DataFrame, store: str, stream: str, number: int, now, graph_id: str) -> None:
-    """Write what one micro-batch changes: tables it has records for, of observations the added rows only."""
+    """Write what one micro-batch changes, reading and replacing only the buckets that its records fall into.
+
+    Of observations the added rows are written only.
+    """
     spark = records.sparkSession
-    before = load_graph(spark, store)
-    after, fresh, status = apply_records(before, records, now, graph_id)
-    touched = {
-        name for name in ("entities", "relationships") if getattr(after, name) is not getattr(before, name)
-    }
+    manifest = read_manifest(spark, store)
+    count = manifest["buckets"] if manifest else BUCKETS
+    named = {"entity": ["name"], "relationship": ["source", "target"], "observation": ["name"]}
+    touched = {"entities": buckets_of("entities", _names(records, {"entity": ["name"]}), count)}
+    read = {"entities": buckets_of("entities", _names(records, named), count)}
+    nothing = dict.fromkeys(("relationships", "observations", "entity_embeddings", "observation_embeddings"), frozenset())
+    before = load_graph(spark, store, only=nothing | read)
+
+    def near(table: str, keys: DataFrame) -> DataFrame:
+        touched[table] = buckets_of(table, keys, count)
+        return getattr(load_graph(spark, store, only=nothing | {"entities": frozenset(), table: touched[table]}), table)
+
+    after, fresh, status = apply_records(before, records, now, graph_id, near)
+    changed = {name for name in ("entities", "relationships") if touched.get(name)}
     version = f"{stream}-{number}"
     status.write.mode("overwrite").parquet(f"{store}/status/{version}")
-    save_graph(after, store, version, touched, {"observations": fresh}, (stream, number))
+    save_graph(after, store, version, changed, {"observations": fresh}, (stream, number), touched)
 
 
 def stream_id(spark, checkpoint: str) -> str:
@@ -99,11 +144,18 @@ def ingest_stream(
     check_graph_id(graph_id)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own, done = stream_id(spark, checkpoint), read_manifest(spark, store)
-        if done is not None and done["streams"].get(own, -1) >= number:
-            return
-        _write_batch(cut(batch), store, own, number, now(number), graph_id)
+        spark, records = batch.sparkSession, None
+        own = stream_id(spark, checkpoint)
+        for attempt in range(ATTEMPTS):
+            done = read_manifest(spark, store)
+            if done is not None and done["streams"].get(own, -1) >= number:
+                return
+            records = cut(batch) if records is None else records
+            try:
+                return _write_batch(records, store, own, number, now(number), graph_id)
+            except StaleSnapshot:
+                if attempt + 1 == ATTEMPTS:
+                    raise
 
     return (
         stream.writeStream.foreachBatch(apply)

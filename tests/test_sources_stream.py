@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import NOW, graph, rows
 from knotwork.model import Graph
@@ -211,3 +212,106 @@ def test_documents_have_ids_of_their_own(spark, tmp_path):
     owned = g.observations.join(g.entities.selectExpr("id entity_id", "name"), "entity_id")
     assert rows(owned, "name", "content") == [("Ada", "of Ada"), ("Bob", "of Bob")]
     assert rows(counts, "table", "imported", "skipped") == [("entities", 2, 0), ("observations", 2, 0), ("relationships", 0, 0)]
+
+
+def test_overtaken_writer_fails(spark, tmp_path):
+    """A loads, B commits, A may not commit: its tables lack what B wrote."""
+    store = str(tmp_path / "store")
+    tables.save_graph(sample(spark), store, "v1")
+    a, b = tables.load_graph(spark, store), tables.load_graph(spark, store)
+    tables.save_graph(b.replace(observations=b.observations.limit(0)), store, "v2")
+    with pytest.raises(tables.StaleSnapshot):
+        tables.save_graph(a, store, "v3")
+    assert tables.load_graph(spark, store).observations.count() == 0
+    first, second = tables.load_graph(spark, str(tmp_path / "new")), tables.load_graph(spark, str(tmp_path / "new"))
+    tables.save_graph(first, str(tmp_path / "new"), "v1")
+    with pytest.raises(tables.StaleSnapshot):
+        tables.save_graph(second, str(tmp_path / "new"), "v1")
+
+
+def test_overtaken_batch_is_applied_again(spark, tmp_path, monkeypatch):
+    """Between a batch's load and its commit another stream commits to the same table: both batches count."""
+    from knotwork.streaming import ingest
+
+    store, real, calls = str(tmp_path / "store"), ingest.apply_records, []
+
+    def slow(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            push(spark, tmp_path, "b", store, record("entity", 1, name="Bob", entity_type="person"), record("observation", 2, name="Bob", content="b"))
+        return real(*args)
+
+    monkeypatch.setattr(ingest, "apply_records", slow)
+    push(spark, tmp_path, "a", store, record("entity", 1, name="Ada", entity_type="person"), record("observation", 2, name="Ada", content="a"))
+    g = tables.load_graph(spark, store)
+    assert rows(g.entities, "name") == [("Ada",), ("Bob",)] and rows(g.observations, "content") == [("a",), ("b",)]
+    assert len(calls) == 3 and sorted(tables.read_manifest(spark, store)["streams"].values()) == [0, 0]
+
+
+def test_a_version_name_used_twice(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    tables.save_graph(sample(spark), store, "v1")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_write_manifest", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            tables.save_graph(Graph.of(spark), store, "v1")
+    assert tables.load_graph(spark, store).entities.count() == 2
+
+
+def many(spark, n=200):
+    return graph(spark, [(f"e{i}", f"Name {i}", "person") for i in range(n)], [(f"r{i}", f"e{i}", f"e{i + 1}") for i in range(n - 1)], [(f"o{i}", f"e{i}", "fact") for i in range(n)])
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path, monkeypatch):
+    from knotwork.streaming import ingest
+
+    store = str(tmp_path / "store")
+    tables.save_graph(many(spark), store, "v1")
+    before, read = tables.read_manifest(spark, store), []
+    real = ingest.load_graph
+    monkeypatch.setattr(ingest, "load_graph", lambda *a, **k: read.append(real(*a, **k)) or read[-1])
+    push(
+        spark, tmp_path, "a", store,
+        record("entity", 1, name="name 7", entity_type="person", description="new"),
+        record("relationship", 2, source="Name 7", target="NAME 7", relationship_type="is", weight=0.5),
+        record("observation", 3, name="nAme 7", content="more"),
+    )
+    after = tables.read_manifest(spark, store)
+    for name in ("entities", "relationships", "observations"):
+        (new,) = [e for e in after["tables"][name] if e not in before["tables"][name] and e["folder"].startswith(f"{name}/version=") and "v1" not in e["folder"]]
+        assert len(new["buckets"]) == 1, name
+        held = [f for g in read for f in getattr(g, name).inputFiles()]
+        assert held and {f.split("bucket=")[1].split("/")[0] for f in held} == {str(new["buckets"][0])}, name
+    for name in ("entity_embeddings", "observation_embeddings"):
+        assert after["tables"].get(name) == before["tables"].get(name)
+    g = tables.load_graph(spark, store)
+    assert (g.entities.count(), g.relationships.count(), g.observations.count()) == (200, 200, 201)
+    assert g.entities.filter("description = 'new'").count() == 1
+
+
+def test_buckets_of_a_store(spark, tmp_path):
+    store, g = str(tmp_path / "store"), many(spark, 50)
+    tables.save_graph(g, store, "v1", buckets=5)
+    assert tables.read_manifest(spark, store)["buckets"] == 5
+    part = tables.load_graph(spark, store, only={"entities": {1, 3}})
+    assert 0 < part.entities.count() < 50 and part.relationships.count() == 49
+    tables.save_graph(part.replace(entities=part.entities.withColumn("description", F.lit("x"))), store, "v2", {"entities"}, only={"entities": {3}})
+    back = tables.load_graph(spark, store).entities
+    assert back.count() == 50
+    assert back.filter("description = 'x'").count() == part.entities.filter(tables.bucket_of("entities", 5) == 3).count()
+
+
+def test_prune_snapshots(spark, tmp_path):
+    store, g = str(tmp_path / "store"), sample(spark)
+    tables.save_graph(g, store, "v1")
+    for n in range(3):
+        now = tables.load_graph(spark, store)
+        tables.save_graph(now.replace(entities=g.entities), store, f"w{n}", {"entities"})
+    under_way = tmp_path / "store" / "entities" / "version=x" / "write=99-abc"
+    under_way.mkdir(parents=True)
+    assert tables.prune_snapshots(spark, store, 2) == 2
+    assert under_way.exists() and len(list((tmp_path / "store").glob("manifest-*.json"))) == 2
+    back = tables.load_graph(spark, store)
+    assert (back.entities.count(), back.relationships.count(), back.observations.count()) == (2, 1, 1)
+    with pytest.raises(ValueError):
+        tables.prune_snapshots(spark, store, 0)
