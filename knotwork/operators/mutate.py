@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import (
@@ -31,7 +32,7 @@ from knotwork.operators.relations import (
     validate_relationships,
 )
 from knotwork.operators.resolve import resolve_names
-from knotwork.session import broadcast_if_small, cut, sized
+from knotwork.session import cut, sized
 
 #: Fields a request may have.
 ENTITY_FIELDS = "request_id seq id name entity_type description properties observations"
@@ -39,7 +40,6 @@ EDGE_FIELDS = "request_id seq id source target source_id target_id relationship_
 FACT_FIELDS = "request_id seq id entity_name entity_id content source"
 
 EDGE_KEY = ["source_id", "target_id", "relationship_type"]
-MERGE_ROW_BYTES = 400
 
 
 def _stamp(now) -> Column:
@@ -595,150 +595,221 @@ def compact_observations(g: Graph, requests: DataFrame, now, graph_id: str = "ma
 # --- merging entities -----------------------------------------------------------------------
 
 
-def _join_text(acc: Column, text: Column) -> Column:
-    return F.when((text != "") & (F.instr(acc, text) == 0), strip(F.concat(acc, F.lit("\n"), text))).otherwise(acc)
+def _settle(pending: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Which merges ``(request_id, ord, source, target)`` take place, and those that find an end merged away before.
 
+    A merge is sure once no open earlier one has its source or its target as source. Only the requests take part,
+    so a chain that is asked for from its far end or in order is settled in a round or two.
+    """
+    sure, lost = [], []
+    while True:
+        first = pending.groupBy("source").agg(F.min("ord").alias("o"))
+        view = pending.join(first.toDF("source", "same"), "source").join(first.toDF("target", "leaves"), "target", "left")
+        ready = (F.col("same") == F.col("ord")) & (F.col("leaves").isNull() | (F.col("leaves") > F.col("ord")))
+        wave = cut(view.filter(ready).select(*pending.columns))
+        sure.append(wave)
+        rest = pending.join(wave.select("ord"), "ord", "left_anti")
+        gone = wave.select(F.col("source").alias("k"), F.col("ord").alias("at"))
+        rest = rest.join(gone.toDF("source", "s_at"), "source", "left").join(gone.toDF("target", "t_at"), "target", "left")
+        dead = F.coalesce(F.col("s_at") < F.col("ord"), F.lit(False)) | F.coalesce(F.col("t_at") < F.col("ord"), F.lit(False))
+        rest = cut(rest.select(*pending.columns, dead.alias("dead")))
+        lost.append(rest.filter("dead").drop("dead"))
+        pending = rest.filter("not dead").drop("dead")
+        if pending.isEmpty():
+            return functools.reduce(DataFrame.unionAll, sure), lost
+
+
+def _survivors(merges: DataFrame) -> DataFrame:
+    """For every merged entity the merges on its way to the survivor, in order: source, path, root.
+
+    Pointers jump twice as far every round, so a chain of n merges takes log n rounds over the requests.
+    """
+    paths = cut(merges.select("source", F.array(F.struct("ord", "target")).alias("path"), F.col("target").alias("root")))
+    while True:
+        ahead = paths.toDF("root", "more", "top")
+        met = paths.join(ahead, "root", "left")
+        paths = cut(
+            met.select("source", F.concat("path", F.coalesce("more", F.slice("path", 1, 0))).alias("path"), F.coalesce("top", "root").alias("root"), "top")
+        )
+        if paths.filter("top is not null").isEmpty():
+            return paths.drop("top")
+        paths = paths.drop("top")
 
-def _merge_wave(g: Graph, wave: DataFrame, size: int, now) -> tuple[Graph, DataFrame]:
-    """Apply merges ``wave(request_id, ord, source, target)`` of which none feeds another."""
-    stamp = _stamp(now)
-    small = broadcast_if_small(wave, size, MERGE_ROW_BYTES)
-    sources = broadcast_if_small(wave.select(F.col("source").alias("id")), size, MERGE_ROW_BYTES)
-
-    texts = (
-        g.entities.select(F.col("id").alias("source"), F.coalesce("description", F.lit("")).alias("d"))
-        .join(small, "source")
-        .groupBy("target", "d").agg(F.min("ord").alias("ord"))
-        .groupBy(F.col("target").alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("texts"))
-    )
-    old = F.coalesce("description", F.lit(""))
-    joined = F.aggregate("texts", old, lambda acc, t: _join_text(acc, t["d"]))
-    changed = F.col("texts").isNotNull() & (joined != old)
+
+def _told_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Task helper: the description of one survivor, its tree's merges applied one after the other."""
+    known = dict(zip(rows["source"], rows["text"], strict=True))
+    asked = rows[rows["place"] > 0].sort_values("place")
+    for source, target in zip(asked["source"], asked["target"], strict=True):
+        text = known.pop(source)
+        if text and text not in known[target]:
+            known[target] = f"{known[target]}\n{text}".strip()
+    root = rows["root"].iloc[0]
+    return pd.DataFrame({"id": [root], "told": [known[root]]})
+
+
+def _merged_texts(g: Graph, merges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, told): the description of every survivor.
+
+    Of merges that bring one text straight into one entity, from sources that took in nothing themselves, only the
+    first can change anything and only that is told.
+    """
+    asked = merges.join(paths.select("source", "root"), "source")
+    roots = asked.select(F.col("root").alias("source"), "root").distinct()
+    ids = sized(asked.select("source").unionAll(roots.select("source")))
+    texts = g.entities.join(ids, g.entities["id"] == ids["source"], "left_semi").select(F.col("id").alias("source"), F.coalesce("description", F.lit("")).alias("text"))
+    texts = cut(texts)
+    inner = merges.select(F.col("target").alias("source")).distinct().withColumn("inner", F.lit(True))
+    told = asked.join(texts, "source").join(inner, "source", "left")
+    leaf = told.filter("inner is null and text <> ''").groupBy("root", "target", "text").agg(F.min_by(F.struct("ord", "source"), "ord").alias("first"))
+    leaf = leaf.select("root", "target", "text", "first.ord", "first.source")
+    kept = leaf.unionByName(told.filter("inner").select("root", "target", "text", "ord", "source"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("ord"))
+    rows = kept.select("root", "source", "target", "text", place.alias("place"))
+    own = roots.join(texts, "source").select("root", "source", F.lit(None).cast("string").alias("target"), "text", F.lit(0).alias("place"))
+    return rows.unionByName(own).groupBy("root").applyInPandas(_told_in_order, "id string, told string")
+
+
+def _edge_states(g: Graph, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that no merge moves, and the others with the ends they have after each merge in ``states``.
+
+    The first state is the edge as it lies; the last is a loop where a merge brings both ends together.
+    """
+    small = sized(paths.select("source", "path"))
+    by_s, by_t = small.toDF("source_id", "s_path"), small.toDF("target_id", "t_path")
+    mapped = g.relationships.join(by_s, "source_id", "left").join(by_t, "target_id", "left")
+    moved = F.col("s_path").isNotNull() | F.col("t_path").isNotNull()
+    stay = mapped.filter(~moved).select(*RELATIONSHIP.names)
+    none = F.slice(F.coalesce("s_path", "t_path"), 1, 0)
+    end = lambda path, side: F.transform(F.coalesce(F.col(path), none), lambda p: F.struct(p["ord"].alias("ord"), F.lit(side).alias("side"), p["target"].alias("to")))
+    events = F.array_sort(F.concat(end("s_path", "s"), end("t_path", "t")))
+    state = lambda o, s, t: F.struct(o.alias("ord"), s.alias("s"), t.alias("t"))
+    first = F.col("events")[0]
+    no_ord = F.when(F.lit(False), first["ord"])
+    start = F.array(state(no_ord, F.col("source_id"), F.col("target_id")))
+
+    def step(states, e):
+        last = F.element_at(states, -1)
+        return F.concat(states, F.array(state(e["ord"], F.when(e["side"] == "s", e["to"]).otherwise(last["s"]), F.when(e["side"] == "t", e["to"]).otherwise(last["t"]))))
+
+    looped = F.concat(start, F.array(state(first["ord"], first["to"], first["to"])))
+    states = F.when(F.col("source_id") == F.col("target_id"), looped).otherwise(F.aggregate("events", start, step))
+    touched = mapped.filter(moved).withColumn("events", events).withColumn("states", states)
+    loop = F.array_position(F.transform("states", lambda x: x["ord"].isNotNull() & (x["s"] == x["t"])), True)
+    touched = touched.withColumn("loop", loop).withColumn("states", F.expr("if(loop > 0, slice(states, 1, cast(loop as int)), states)"))
+    return stay, cut(touched.select(*RELATIONSHIP.names, "states", (F.col("loop") > 0).alias("looped")))
+
+
+def _merge_counts(stay: DataFrame, touched: DataFrame) -> DataFrame:
+    """Per merge how many edges it moved and how many it took away, as loops or as equals of an edge already there."""
+    kind = "relationship_type"
+    moves = touched.select(kind, F.explode(F.expr("transform(sequence(2, size(states)), i -> struct(states[i - 1].ord as ord, states[i - 2] as was, states[i - 1] as now))")).alias("m"))
+    moves = cut(moves.select("m.ord", kind, F.col("m.was.s").alias("from_s"), F.col("m.was.t").alias("from_t"), F.col("m.now.s").alias("s"), F.col("m.now.t").alias("t")).distinct())
+    here = touched.select(kind, F.explode(F.expr("transform(sequence(1, size(states)), i -> struct(states[i - 1] as now, get(states, i).ord as until))")).alias("p"))
+    here = here.select("p.now.s", "p.now.t", kind, F.col("p.now.ord").alias("since"), F.col("p.until").alias("until")).filter("s <> t")
+    wanted = sized(moves.filter("s <> t").select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), kind).distinct())
+    lying = stay.join(wanted, EDGE_KEY, "left_semi").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"), kind)
+    never = F.lit(None).cast(moves.schema["ord"].dataType)
+    here = here.unionByName(lying.withColumns({"since": never, "until": never}))
+    a, b = moves.alias("a"), here.alias("b")
+    key = (F.col("a.s") == F.col("b.s")) & (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{kind}") == F.col(f"b.{kind}"))
+    there = (F.col("b.since").isNull() | (F.col("b.since") < F.col("a.ord"))) & (F.col("b.until").isNull() | (F.col("b.until") > F.col("a.ord")))
+    fresh = a.filter("s <> t").join(b, key & there, "left_anti").groupBy("ord").agg(F.count(F.lit(1)).alias("redirected_relationships"))
+    every = moves.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.col("n") - F.coalesce("redirected_relationships", F.lit(0))
+    return every.join(fresh, "ord", "left").select("ord", "redirected_relationships", rest.alias("removed_duplicate_relationships"))
+
+
+def _apply_merges(g: Graph, merges: DataFrame, now) -> tuple[Graph, DataFrame]:
+    """All sure merges in one pass over the tables."""
+    stamp, merges = _stamp(now), cut(merges)
+    paths = _survivors(merges)
+    sources = sized(paths.select(F.col("source").alias("id")))
+    texts = _merged_texts(g, merges, paths)
+    changed = F.col("told").isNotNull() & (F.col("told") != F.coalesce("description", F.lit("")))
     entities = _without(g.entities, sources).join(texts, "id", "left").withColumns(
         {
             "updated_at": F.when(changed, stamp).otherwise(F.col("updated_at")),
-            "description": F.when(changed, joined).otherwise(F.col("description")),
+            "description": F.when(changed, F.col("told")).otherwise(F.col("description")),
         }
     ).select(*ENTITY.names)
 
-    owner = small.select(F.col("source").alias("entity_id"), F.col("target").alias("owner"))
+    owner = sized(paths.select(F.col("source").alias("entity_id"), F.col("root").alias("owner")))
     observations = g.observations.join(owner, "entity_id", "left").withColumn(
         "entity_id", F.coalesce("owner", "entity_id")
     ).select(*OBSERVATION.names)
-    moved = g.observations.join(owner, "entity_id", "left_semi").groupBy(
-        F.col("entity_id").alias("source")
-    ).agg(F.count(F.lit(1)).alias("moved_observations"))
+    own = g.observations.join(owner, "entity_id", "left_semi").groupBy(F.col("entity_id").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    moved = own.join(paths, "source").select("n", F.explode("path.ord").alias("ord")).groupBy("ord").agg(F.sum("n").alias("moved_observations"))
 
-    by_s = small.select(F.col("source").alias("source_id"), F.col("target").alias("s2"), F.col("ord").alias("s_ord"))
-    by_t = small.select(F.col("source").alias("target_id"), F.col("target").alias("t2"), F.col("ord").alias("t_ord"))
-    mapped = g.relationships.join(by_s, "source_id", "left").join(by_t, "target_id", "left").withColumns(
-        {
-            "ord": F.greatest("s_ord", "t_ord"),
-            "source_id": F.coalesce("s2", "source_id"),
-            "target_id": F.coalesce("t2", "target_id"),
-        }
-    ).select(*RELATIONSHIP.names, "ord")
-    touched = cut(mapped.filter("ord is not null"))
-    looped = touched.filter("source_id = target_id")
-    repointed = touched.filter("source_id <> target_id")
-    stay = mapped.filter("ord is null")
+    stay, touched = _edge_states(g, paths)
+    last = F.element_at("states", -1)
+    moves = F.reverse(F.transform(F.slice("states", 2, F.size("states")), lambda x: x["ord"]))
+    repointed = touched.filter("not looped").withColumns({"source_id": last["s"], "target_id": last["t"], "moves": moves}).drop("states", "looped")
     keys = sized(repointed.select(*EDGE_KEY).distinct())
     clear = stay.join(keys, EDGE_KEY, "left_anti").select(*RELATIONSHIP.names)
-    rank = F.struct(F.col("ord").isNotNull().alias("late"), F.col("ord"), F.col("id"))
-    group = stay.join(keys, EDGE_KEY, "left_semi").select(*stay.columns).unionByName(repointed).withColumn("rank", rank)
+    unmoved = F.array().cast(repointed.schema["moves"].dataType)
+    lying = stay.join(keys, EDGE_KEY, "left_semi").select(*RELATIONSHIP.names).withColumn("moves", unmoved)
+    # Of equal edges the one that was moved last comes last; what lies at the survivor is first.
+    group = lying.unionByName(repointed).withColumn("rank", F.struct("moves", "id"))
     folded = group.groupBy(*EDGE_KEY).agg(
         F.min_by(F.struct("graph_id", "id", "created_at", "properties"), "rank").alias("keep"),
-        F.max("weight").alias("weight"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("rank").alias("first_rank"),
+        F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"),
     ).join(_fold_props(group, EDGE_KEY, "rank"), EDGE_KEY, "left")
     combined = folded.select(
         "keep.graph_id", "keep.id", *EDGE_KEY, "weight",
         F.coalesce(F.when(F.col("n") > 1, F.col("new_properties")), F.col("keep.properties")).alias("properties"),
         "keep.created_at", stamp.alias("updated_at"),
     )
-    per_edge = (
-        repointed.withColumn("rank", rank)
-        .join(folded.select(*EDGE_KEY, "first_rank"), EDGE_KEY)
-        .select("ord", (F.col("rank") == F.col("first_rank")).alias("redirected"))
-        .unionByName(looped.select("ord", F.lit(False).alias("redirected")))
-    )
-    counts = per_edge.groupBy("ord").agg(
-        F.count(F.when(F.col("redirected"), 1)).alias("redirected_relationships"),
-        F.count(F.when(~F.col("redirected"), 1)).alias("removed_duplicate_relationships"),
-    )
-    status = wave.join(moved, "source", "left").join(counts, "ord", "left").select(
+    status = merges.join(moved, "ord", "left").join(_merge_counts(stay, touched), "ord", "left").select(
         "request_id", F.col("source").alias("source_id"), F.col("target").alias("target_id"),
-        F.lit("merged").alias("status"),
-        *[
-            F.coalesce(c, F.lit(0)).alias(c)
-            for c in ("moved_observations", "redirected_relationships", "removed_duplicate_relationships")
-        ],
+        F.lit("merged").alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in MERGE_COUNTS],
     )
-    after = Graph(
+    after = g.replace(
         entities=entities,
         relationships=clear.unionByName(combined),
         observations=observations,
         entity_embeddings=_without(g.entity_embeddings, sources),
-        observation_embeddings=g.observation_embeddings,
     )
     return after, status
 
 
-def merge_entities(g: Graph, requests: DataFrame, now) -> tuple[Graph, DataFrame]:
+MERGE_COUNTS = ("moved_observations", "redirected_relationships", "removed_duplicate_relationships")
+
+
+def merge_entities(g: Graph, requests: DataFrame, now, graph_id: str | None = None) -> tuple[Graph, DataFrame]:
     """Merge duplicates: ``requests(request_id, seq, source, target)`` by name, or by ``source_id, target_id``.
 
     The target takes over description, observations and edges; edges that would join it to itself
-    go, equal edges become one with the higher weight and the later properties. Requests that do not
-    touch each other are applied together; chains take one round per link. A request whose entity
-    an earlier one has merged away is ``not_found``.
+    go, equal edges become one with the higher weight and the later properties. A request whose entity
+    an earlier one has merged away is ``not_found``. Names and ids resolve within ``graph_id``; without it in all
+    graphs, and a request for entities of two graphs is ``not_found``. Which requests take place and where
+    chains end is found on the requests alone; the tables are then gone through once, however long the chains are.
     """
-    found, missing = _split_ends(g, requests)
+    found, missing = _split_ends(within(g, graph_id), requests)
     ordered = found.select(
         "request_id", F.struct("seq", F.col("request_id").cast("string").alias("r")).alias("ord"),
         F.col("source_id").alias("source"), F.col("target_id").alias("target"),
     )
-    zero = {
-        c: F.lit(0).cast("long")
-        for c in ("moved_observations", "redirected_relationships", "removed_duplicate_relationships")
-    }
+    if graph_id is None:
+        ends = sized(ordered.select(F.col("source").alias("id")).unionAll(ordered.select("target")).distinct())
+        graphs = cut(g.entities.join(ends, "id", "left_semi").select("id", "graph_id"))
+        ordered = ordered.join(graphs.toDF("source", "s_graph"), "source").join(graphs.toDF("target", "t_graph"), "target")
+        apart = ordered.filter("not (s_graph <=> t_graph)").select("request_id", "source", "target")
+        ordered = ordered.filter("s_graph <=> t_graph").select("request_id", "ord", "source", "target")
 
     def failed(df: DataFrame, status: str) -> DataFrame:
         return df.select(
             "request_id", F.col("source").alias("source_id"), F.col("target").alias("target_id"),
-            F.lit(status).alias("status"), *[v.alias(c) for c, v in zero.items()],
+            F.lit(status).alias("status"), *[F.lit(0).cast("long").alias(c) for c in MERGE_COUNTS],
         )
 
     lost = missing.select("request_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     statuses = [failed(lost, "not_found"), failed(ordered.filter("source = target"), "self_merge")]
+    if graph_id is None:
+        statuses.append(failed(apart, "not_found"))
     pending = cut(ordered.filter("source <> target"))
-    left = pending.count()
-    while left:
-        by_source = pending.groupBy(F.col("source").alias("k")).agg(F.min("ord").alias("o"))
-        by_target = pending.groupBy(F.col("target").alias("k")).agg(F.min("ord").alias("o"))
-        view = pending
-        for df, column, name in (
-            (by_source, "source", "same"), (by_source, "target", "leaves"), (by_target, "source", "fed")
-        ):
-            view = view.join(df.toDF(column, name), column, "left")
-        later = lambda c: F.col(c).isNull() | (F.col(c) > F.col("ord"))
-        ready = (F.col("same") == F.col("ord")) & later("leaves") & later("fed")
-        wave = cut(view.filter(ready).select(*pending.columns))
-        g, status = _merge_wave(g, wave, wave.count(), now)
-        statuses.append(status)
-        gone = wave.select(F.col("source").alias("k"))
-        rest = pending.join(wave.select("ord"), "ord", "left_anti").select(*pending.columns)
-        marks = gone.withColumn("gone", F.lit(True))
-        rest = rest.join(marks.toDF("source", "no_source"), "source", "left").join(
-            marks.toDF("target", "no_target"), "target", "left"
-        )
-        lost = F.col("no_source").isNotNull() | F.col("no_target").isNotNull()
-        rest = cut(rest.withColumn("lost", lost))
-        statuses.append(failed(rest.filter("lost"), "not_found"))
-        pending = rest.filter("not lost").select("request_id", "ord", "source", "target")
-        left = pending.count()
-        if left:
-            statuses[-2] = cut(statuses[-2])
-            g = Graph(**{name: cut(df) for name, df in g.tables().items()})
+    if not pending.isEmpty():
+        merges, late = _settle(pending)
+        g, status = _apply_merges(g, merges, now)
+        statuses += [status, *[failed(df, "not_found") for df in late]]
     return g, functools.reduce(DataFrame.unionAll, statuses)

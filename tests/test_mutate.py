@@ -249,6 +249,52 @@ def test_merges_equal_one_at_a_time(spark, seed):
     assert got == {k: (w, p) for k, (_, w, p) in edges.items()}
 
 
+def test_a_chain_of_merges_is_one_pass(spark, monkeypatch):
+    """Chains of ten in both orders and a cycle: as one at a time, and no table is written however long they are."""
+    names = [f"n{i:02d}" for i in range(24)]
+    texts = {n: f"text {n}" for n in names}
+    edges = {(a, b, "t"): (f"r{i:03d}{j:03d}", (i + j) % 10 / 10, {f"p{(i + j) % 3}": i}) for i, a in enumerate(names) for j, b in enumerate(names) if (i * 7 + j * 3) % 5 == 0}
+    owners = {f"o{n}": n for n in names}
+    up = [(f"u{i}", i, names[i], names[i + 1]) for i in range(10)]
+    down = [(f"d{i}", 100 - i, names[11 + i], names[12 + i]) for i in range(9)]
+    ring = [("x1", 200, "n21", "n22"), ("x2", 201, "n22", "n23"), ("x3", 202, "n23", "n21")]
+    requests = up + down + ring
+    g = graph(
+        spark, [(n, n, "t", texts[n]) for n in names], [(i, s, t, k, w, json.dumps(p)) for (s, t, k), (i, w, p) in edges.items()],
+        [(o, n, "text") for o, n in owners.items()],
+    )
+    cuts, real = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df: cuts.append(df.columns) or real(df))
+    after, status = M.merge_entities(g, spark.createDataFrame(requests, PAIRS), NOW)
+    assert not any("content" in c or "embedding" in c or "created_at" in c and "states" not in c for c in cuts)
+    assert len(cuts) < 40
+    want = merge_plainly(texts, edges, owners, requests)
+    assert dict(rows(status, "request_id", "status")) == want
+    assert dict(rows(after.entities, "id", "description")) == texts
+    assert dict(rows(after.observations, "id", "entity_id")) == owners
+    got = {(r.source_id, r.target_id, r.relationship_type): (r.id, r.weight, json.loads(r.properties)) for r in after.relationships.collect()}
+    assert got == edges
+    moved = dict(rows(status, "request_id", "moved_observations"))
+    assert [moved[f"u{i}"] for i in range(10)] == list(range(1, 11))
+
+
+def test_merges_count_edges_as_one_at_a_time(spark):
+    """What a merge reports does not depend on which other requests share its batch."""
+    rng = random.Random(9)
+    names = [f"n{i}" for i in range(8)]
+    keys = sorted({(rng.choice(names), rng.choice(names)) for _ in range(40)})
+    requests = [("a", 1, "n0", "n1"), ("b", 2, "n2", "n3"), ("c", 3, "n1", "n3"), ("d", 4, "n3", "n4")]
+    g = people(spark, names, keys)
+    counts = ["request_id", "status", "moved_observations", "redirected_relationships", "removed_duplicate_relationships"]
+    _, together = M.merge_entities(g, spark.createDataFrame(requests, PAIRS), NOW)
+    single = []
+    for r in requests:
+        g, status = M.merge_entities(g, spark.createDataFrame([r], PAIRS), NOW)
+        single += rows(status, *counts)
+        g = g.replace(**{n: M.cut(df) for n, df in g.tables().items()})
+    assert rows(together, *counts) == sorted(single)
+
+
 def test_add_entities_with_observations(spark):
     g = people(spark, ["Ada"])
     batch = spark.createDataFrame(
@@ -293,3 +339,8 @@ def test_named_graphs_keep_apart(spark):
     assert rows(after.entities, "id") == [("Bob",), ("b-Ada",), ("b-Bob",)]
     after, _ = M.delete_relationships(g, one("source string, target string", "Ada", "Bob"), "main")
     assert rows(after.relationships, "source_id") == [("b-Ada",)]
+    both = spark.createDataFrame([("1", 1, "b-Bob", "Ada"), ("2", 2, "Bob", "Ada")], "request_id string, seq long, source_id string, target_id string")
+    after, status = M.merge_entities(g, both, NOW)  # never across graphs
+    assert rows(status, "request_id", "status") == [("1", "not_found"), ("2", "merged")]
+    after, status = M.merge_entities(g, one("source string, target string", "Bob", "Ada"), NOW, "main")
+    assert rows(after.entities, "id") == [("Ada",), ("b-Ada",), ("b-Bob",)] and rows(status, "status") == [("merged",)]
