@@ -23,8 +23,10 @@ from knotwork.llm.common import table
 
 #: Texts are read in slices of about this many characters, cut at white space.
 SLICE = 1 << 16
-#: Words and table cells kept by a worker; when full, they are dropped and found again.
-KEPT_WORDS, KEPT_CELLS = 150_000, 400_000
+#: Words and table cells kept by a task: so many new ones at most, and those of the time before.
+KEPT_WORDS, KEPT_CELLS, KEPT_WINDOWS = 150_000, 200_000, 40_000
+#: Letters whose arcs are looked up at once.
+WINDOW = 4
 
 # Fixed value: white space as the tokenizer's patterns take it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,6 +39,26 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
+class Recent:
+    """A map of bounded size: what was not asked for since it last filled up is dropped when it fills again."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value):
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Automaton:
     """The compiled merges of one vocabulary file; ``encode`` and ``labels`` are all that is needed."""
 
@@ -54,14 +76,23 @@ class Automaton:
             pair = self.ids[left], self.ids[right]
             self.merged.setdefault(pair, rank)
             self.parts.setdefault(token, (rank, *pair))
-        self.reach = max(map(len, self.ids))
-        self.cells: dict[tuple[int, int], bool] = {}
+        # Every start of an arc's letters, with the arc that it spells inside a word, if any.
+        self.starts: dict[str, int] = {}
+        for name in self.ids:
+            letters = name.removesuffix(self.suffix) if self.suffix else name
+            for stop in range(1, len(letters) + 1):
+                self.starts.setdefault(letters[:stop], -1)
+        self.starts.update({name: i for name, i in self.ids.items() if name in self.starts})
+        self.longer = {name[:WINDOW] for name in self.starts if len(name) > WINDOW}
+        self.base = max(self.labels) + 1
+        self.windows = Recent(KEPT_WINDOWS)
+        self.cells = Recent(KEPT_CELLS)
         bytes_as = _byte_letters()
         self.letters = {b: c for b, c in enumerate(bytes_as)}
         self.pattern = regex.compile(_pattern_of(spec))
         self.gap = regex.compile(f"[{_SPACE}]")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.words: dict[str, tuple[tuple[int, ...], str, str, bytes]] = {}
+        self.words = Recent(KEPT_WORDS)
 
     def leads(self, state: int, token: int) -> bool:
         """Whether the state after ``state`` has an arc ``token`` once all gadgets have run.
@@ -70,11 +101,9 @@ class Automaton:
         the start of the second takes the arc away if it ran before the later of the two was made; the
         same gadget wins on the left, where it ran first.
         """
-        known = self.cells.get((state, token))
+        known = self.cells.get(state * self.base + token)
         if known is not None:
             return known
-        if len(self.cells) >= KEPT_CELLS:
-            self.cells.clear()
         a, b, before = state, token, len(self.merged) + 1
         out = None
         while out is None:
@@ -88,61 +117,103 @@ class Automaton:
                 before, a = made_a[0], made_a[2]
             else:
                 before, b = made_b[0] + 1, made_b[1]
-        self.cells[state, token] = out
+        self.cells.put(state * self.base + token, out)
         return out
 
+    def near(self, letters: str, ends: bool) -> tuple[tuple[int, ...], bool]:
+        """Arcs that spell starts of ``letters``, longest first, as length and token in one number.
+
+        ``ends`` says that the word ends with these letters. The flag says whether longer arcs start with them.
+        """
+        out = []
+        for length in range(1, len(letters) + 1):
+            start = letters[:length]
+            token = self.ids.get(start + self.suffix, -1) if ends and length == len(letters) else self.starts.get(start, -1)
+            if token >= 0:
+                out.append(length * self.base + token)
+        found = tuple(reversed(out)), not ends and letters in self.longer
+        self.windows.put(letters + "\n" if ends else letters, found)
+        return found
+
+    def arcs(self, word: str, at: int):
+        """Arcs that spell what follows ``at``, longest first, as for ``near``."""
+        stop = at + WINDOW
+        ends = stop >= len(word)
+        letters = word[at:stop]
+        known = self.windows.get(letters + "\n" if ends else letters)
+        arcs, more = known if known is not None else self.near(letters, ends)
+        if more:
+            far, base = [], self.base
+            for length in range(WINDOW + 1, len(word) - at):
+                token = self.starts.get(word[at : at + length])
+                if token is None:
+                    break
+                if token >= 0:
+                    far.append(length * base + token)
+            else:
+                token = self.ids.get(word[at:] + self.suffix)
+                if token is not None:
+                    far.append((len(word) - at) * base + token)
+            return iter((*reversed(far), *arcs))
+        return iter(arcs)
+
     def path(self, word: str) -> list[int]:
         """The tokens on the one path through ``word``, spelt in byte letters.
 
-        The longest arc is tried first. A place that led nowhere after a state is not entered again from
-        it, so long words take time in proportion to their length.
+        The longest arc that a state has is taken. A place that led nowhere after a state is not entered again
+        from it, so long words take time in proportion to their length.
         """
-        size, end, ids, reach = len(word), self.suffix, self.ids, self.reach
+        token = self.ids.get(word + self.suffix)
+        if token is not None:
+            return [token]
+        size, base, cells = len(word), self.base, self.cells
         out: list[int] = []
-        at, places = 0, [0]
-        tried = [min(reach, size)]
-        dead: set[tuple[int, int]] = set()
+        at, places, open_ = 0, [0], [self.arcs(word, 0)]
+        dead: set[int] = set()
         while at < size:
-            state, found = out[-1] if out else -1, -1
-            for length in range(min(tried[-1], size - at), 0, -1):
-                stop = at + length
-                token = ids.get(word[at:stop] + end if stop == size else word[at:stop])
-                if token is None or (stop, token) in dead or state >= 0 and not self.leads(state, token):
+            state = out[-1] if out else -1
+            for arc in open_[-1]:
+                length, token = divmod(arc, base)
+                if dead and (at + length) * base + token in dead:
                     continue
-                found = token
-                tried[-1] = length - 1
-                break
-            if found >= 0:
-                out.append(found)
-                at = stop
+                if state >= 0:
+                    leads = cells.new.get(state * base + token)
+                    if not (self.leads(state, token) if leads is None else leads):
+                        continue
+                at += length
+                out.append(token)
                 places.append(at)
-                tried.append(min(reach, size - at))
+                if at < size:
+                    open_.append(self.arcs(word, at))
+                break
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                dead.add((at, out.pop()))
+                dead.add(at * base + out.pop())
                 places.pop()
-                tried.pop()
+                open_.pop()
                 at = places[-1]
         return out
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str, bytes]:
-        """Ids of a pre-split word, the ids in decimal and the labels, each joined by spaces, and packed ids."""
+    def word(self, word: str, view):
+        """What ``view`` makes of the ids of a pre-split word. A task asks for one view only."""
         known = self.words.get(word)
         if known is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
             spelt = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
-            path = tuple(self.path(spelt))
-            known = self.words[word] = path, " ".join(map(str, path)), self.decode(path), _packed(path)
+            known = view(self.path(spelt))
+            self.words.put(word, known)
         return known
 
+    def digested(self, path) -> tuple[int, str, str]:
+        """How many ids, the ids in decimal and the labels, each joined by spaces."""
+        return len(path), " ".join(map(str, path)), self.decode(path)
+
     def decode(self, ids) -> str:
         """Emit the labels of the arcs."""
         return " ".join([self.labels[i] for i in ids])
 
-    def read(self, text: str):
-        """Yield, for each slice of the text, its words and special tokens as ``word`` gives them."""
+    def read(self, text: str, view=lambda path: (path,)):
+        """Yield, for each slice of the text, its words and special tokens as ``view`` shows their ids."""
         at = 0
         while at < len(text):
             stop = at + SLICE
@@ -152,22 +223,23 @@ class Automaton:
             part, at = text[at:stop], stop
             start = 0
             for hit in self.cut.finditer(part):
-                yield self._plain(part[start : hit.start()])
-                token = self.special[hit[0]]
-                yield [((token,), str(token), hit[0], _packed((token,)))]
+                yield self._plain(part[start : hit.start()], view)
+                yield [view([self.special[hit[0]]])]
                 start = hit.end()
-            yield self._plain(part[start:])
+            yield self._plain(part[start:], view)
 
-    def _plain(self, part: str):
+    def _plain(self, part: str, view):
         if not part:
             return []
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        words, get = self.words, self.word
-        out = []
+        new, out = self.words.new, []
         for word in self.pattern.findall(part.lower()):
-            known = words.get(word)
-            out.append(known if known is not None else get(word))
+            known = new.get(word)
+            if known is None:
+                known = self.word(word, view)
+                new = self.words.new
+            out.append(known)
         return out
 
 
@@ -183,16 +255,9 @@ def _pattern_of(spec: dict) -> str:
     raise ValueError("the file has no splitting pattern")
 
 
-_COMPILED: dict[str, Automaton] = {}
-
-
 def compiled(text: str) -> Automaton:
-    """The automaton of a vocabulary file's content, made once for each worker."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Automaton(json.loads(text))
-    return _COMPILED[key]
+    """The automaton of a vocabulary file's content; a task makes its own in some 0.3 s."""
+    return Automaton(json.loads(text))
 
 
 def vocabulary(path: str):
@@ -214,7 +279,7 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 texts = batch.column(1).slice(lo, 64)
-                ids = [np.frombuffer(b"".join([w[3] for part in machine.read(t.as_py() or "") for w in part]), np.int32) for t in texts]
+                ids = [np.frombuffer(b"".join([w for part in machine.read(t.as_py() or "", _packed) for w in part]), np.int32) for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), lists], names=["_id", "ids"])
@@ -248,12 +313,12 @@ def digests(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
 
         def one(text):
             count, ids, labels = 0, hashlib.sha256(), hashlib.sha256()
-            for part in machine.read(text or ""):
+            for part in machine.read(text or "", machine.digested):
                 if part:
                     gap = " " if count else ""
                     ids.update((gap + " ".join([w[1] for w in part])).encode())
                     labels.update((gap + " ".join([w[2] for w in part])).encode())
-                    count += sum([len(w[0]) for w in part])
+                    count += sum([w[0] for w in part])
             return count, ids.hexdigest(), labels.hexdigest()
 
         for batch in batches:
