@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import struct
@@ -33,8 +34,10 @@ CHUNK, SLICE = 2 << 20, 1 << 17
 RADIXES, FAN, BLOCK = 64, 64, 8192
 #: Words kept by a task: of this many distinct ones since the last change, and those of the time before.
 KEPT, LONGEST = 60_000, 100
-#: Pairs of one group that are held at once; words of up to so many pairs of tokens are aligned without arrays.
-HELD, SMALL = 1 << 20, 400
+#: Pairs of one group that are held at once.
+HELD = 1 << 20
+#: What is known of a word whose bytes a side does not keep.
+NOTHING = 0, 0, 0, 0, "", b"", b""
 
 
 class Pair:
@@ -56,9 +59,11 @@ class Pair:
             self.a_bytes[i] = bytes(bytes_of[c] for c in token) if all(c in bytes_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_wide, self.b_wide = ([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
-        self.a_len, self.b_len = (np.array(side, dtype=np.int64) for side in (self.a_wide, self.b_wide))
+        self.a_len, self.b_len = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
         self.size = max(len(self.b_bytes), 1)
+        self.span = len(self.a_bytes) * self.size
+        self.shown = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for end in ends]
+        self.ones: dict[int, bytes] = {}
         # No token of either side goes on over a single space between two words, so words are encoded apart.
         before = spec.get("pre_tokenizer") or {}
         plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -79,12 +84,15 @@ class Pair:
                 todo.append(w)
             else:
                 found[w] = self.new[w] = known
-        if todo:
-            first = [e.ids for e in self.a.encode_batch([" " + w for w in todo], add_special_tokens=False)]
-            for w, a, b in zip(todo, first, self.b.encode(todo, num_threads=1), strict=True):
-                found[w] = self.word(w, a, b)
-                if len(w) <= LONGEST:
-                    self.new[w] = found[w]
+        for long in (False, True):  # a long word by itself
+            some = [w for w in todo if (len(w) > LONGEST) == long]
+            if some:
+                first = [e.ids for e in self.a.encode_batch([" " + w for w in some], add_special_tokens=False)]
+                second = self.b.encode(some, num_threads=1)
+                made = map(self.word, some, first, second) if long else self.aligned(some, first, second)
+                found.update(zip(some, made, strict=True))
+                if not long:
+                    self.new.update((w, found[w]) for w in some)
         out = []
         for part in words:
             entries = [found[w] for w in part]
@@ -98,9 +106,7 @@ class Pair:
         """
         whole = (" " + word).encode()
         if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return 0, 0, 0, 0, "", b"", b""
-        if len(a) * len(b) <= SMALL:
-            return self._small(a, b)
+            return NOTHING
         a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         common = np.intersect1d(*ends)
@@ -108,41 +114,49 @@ class Pair:
         n = [np.diff(c) for c in cuts]
         names = [list(map(str, side.tolist())) for side in (a, b)]
         (ca, cb) = (c.tolist() for c in cuts)
-        text = ";".join([",".join(names[0][ca[g] : ca[g + 1]]) + "|" + ",".join(names[1][cb[g] : cb[g + 1]]) for g in range(len(common))])
+        text = ";".join([",".join(names[0][ca[g] : ca[g + 1]]) + "|" + ",".join(names[1][cb[g] : cb[g + 1]]) for g in range(len(common))]) + ";"
         links = n[0] * n[1]
         keys, times = self._pairs(a, b, cuts, links)
         return len(a), len(b), len(common), int(links.sum()), text, keys.tobytes(), times.tobytes()
 
-    def _small(self, a: list[int], b: list[int]) -> tuple:
-        """The same for a few tokens, without arrays."""
-        size, names, found, links = self.size, [], {}, 0
-        wide_a, wide_b = [self.a_wide[x] for x in a], [self.b_wide[y] for y in b]
-        i = j = 0
-        while i < len(a):
-            at_a, at_b, to_a, to_b = wide_a[i], wide_b[j], i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a += wide_a[to_a]
-                    to_a += 1
-                else:
-                    at_b += wide_b[to_b]
-                    to_b += 1
-            if to_a == i + 1 and to_b == j + 1:
-                names.append(f"{a[i]}|{b[j]}")
-                key = a[i] * size + b[j]
-                found[key] = found.get(key, 0) + 1
-                links += 1
-            else:
-                left, right = a[i:to_a], b[j:to_b]
-                names.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                links += len(left) * len(right)
-                for x in left:
-                    for y in right:
-                        key = x * size + y
-                        found[key] = found.get(key, 0) + 1
-            i, j = to_a, to_b
-        n = len(found)
-        return len(a), len(b), len(names), links, ";".join(names), struct.pack(f"{n}q", *found), struct.pack(f"{n}q", *found.values())
+    def aligned(self, words: list[str], first: list[list[int]], second: list[list[int]]) -> list[tuple]:
+        """The same for many short words at once."""
+        whole = (" " + " ".join(words)).encode()
+        a, b = (np.fromiter(itertools.chain.from_iterable(side), np.int64) for side in (first, second))
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            if len(words) == 1:
+                return [NOTHING]
+            half = len(words) // 2
+            return self.aligned(words[:half], first[:half], second[:half]) + self.aligned(words[half:], first[half:], second[half:])
+        of_word = [np.fromiter(map(len, side), np.int64, len(words)) for side in (first, second)]
+        ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        common = np.intersect1d(*ends, assume_unique=True)
+        cuts = [np.concatenate([[0], np.searchsorted(e, common) + 1]) for e in ends]
+        sizes = [np.diff(c) for c in cuts]
+        groups = [np.repeat(np.arange(len(common)), n) for n in sizes]
+        wide = sizes[1][groups[0]]
+        right = np.repeat(cuts[1][groups[0]], wide) + _counted(wide)
+        keys = (np.repeat(a, wide) * self.size + b[right]).tobytes()
+        # Tokens of both sides in the order of the text of the groups, with what follows each.
+        code = np.empty(len(a) + len(b), np.int64)
+        last = [np.zeros(len(side), np.int64) for side in (a, b)]
+        for flag, cut in zip(last, cuts, strict=True):
+            flag[cut[1:] - 1] = 1
+        code[np.arange(len(a)) + cuts[1][groups[0]]] = 2 * a + last[0]
+        code[np.arange(len(b)) + cuts[0][groups[1] + 1]] = 2 * (len(self.a_bytes) + b) + last[1]
+        shown = list(map(self.shown.__getitem__, code.tolist()))
+        tokens = [np.concatenate([[0], np.cumsum(n)]) for n in of_word]
+        at = np.searchsorted(cuts[0], tokens[0])
+        linked = np.concatenate([[0], np.cumsum(wide)])[tokens[0]]
+        bounds = (tokens[0] + tokens[1]).tolist()
+        counts = zip(*[np.diff(x).tolist() for x in (*tokens, at, linked)], strict=True)
+        for n in set(np.diff(linked).tolist()) - self.ones.keys():
+            self.ones[n] = np.ones(n, np.int64).tobytes()
+        linked = (8 * linked).tolist()
+        return [
+            (*count, "".join(shown[bounds[i] : bounds[i + 1]]), keys[linked[i] : linked[i + 1]], self.ones[count[3]])
+            for i, count in enumerate(counts)
+        ]
 
     def _pairs(self, a, b, cuts, links):
         small = links <= HELD
@@ -182,7 +196,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys in order and the sums of their values."""
     if not len(keys):
         return keys, values
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(values, first)
@@ -286,11 +300,8 @@ def _chunks(docs: DataFrame, first: str, second: bytes, id_col: str, text_col: s
             keys = np.concatenate([k for h in held for k in h[2]])
             times = np.concatenate([k for h in held for k in h[3]])
             doc = np.repeat(np.arange(len(ids)), [len(k) for h in held for k in h[2]])
-            order = np.lexsort((keys, doc))
-            keys, times, doc = keys[order], times[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, np.int64)
-            times = np.add.reduceat(times, new) if len(new) else times
-            keys, doc = keys[new], doc[new]
+            keys, times = _summed(doc * pair.span + keys, times)
+            doc, keys = keys // pair.span, keys % pair.span
             distinct, index, n = np.unique(keys, return_inverse=True, return_counts=True)
             radix = (distinct // pair.size) % RADIXES
             order = np.lexsort((distinct, radix))
@@ -320,9 +331,9 @@ def _chunks(docs: DataFrame, first: str, second: bytes, id_col: str, text_col: s
             for entries in pair.read(texts):
                 for i in range(len(STATS)):
                     stats[i].append(sum([e[i] for e in entries]) if entries else 0)
-                stats[-1].append(hashlib.sha256(";".join([e[4] for e in entries]).encode()).hexdigest() if entries else "")
+                stats[-1].append(hashlib.sha256("".join([e[4] for e in entries])[:-1].encode()).hexdigest() if entries else "")
                 k, t = (np.frombuffer(b"".join([e[i] for e in entries]), np.int64) if entries else np.zeros(0, np.int64) for i in (5, 6))
-                k, t = _summed(k, t)
+                k, t = _summed(k, t) if len(k) > HELD else (k, t)
                 keys.append(k)
                 times.append(t)
             held.append((ids, stats, keys, times))

@@ -70,7 +70,7 @@ def brute(both, rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_libraries(spark, both, monkeypatch, small):
     if small:  # many chunks, levels of merging, blocks of a run and slices of a group
-        for name, value in {"FAN": 2, "CHUNK": 500, "SLICE": 100, "BLOCK": 16, "HELD": 64, "SMALL": 4, "KEPT": 10}.items():
+        for name, value in {"FAN": 2, "CHUNK": 500, "SLICE": 100, "BLOCK": 16, "HELD": 64, "LONGEST": 6, "KEPT": 10}.items():
             monkeypatch.setattr(alignment, name, value)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = ODD + [(100 + r.doc_id, r.text) for r in docs.collect()]
