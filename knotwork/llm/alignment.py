@@ -33,7 +33,7 @@ CHUNK, SLICE = 2 << 20, 1 << 17
 #: Radixes of the first side's ids, runs that meet in a task, records in a block of a run.
 RADIXES, FAN, BLOCK = 64, 64, 8192
 #: Words kept by a task: of this many distinct ones since the last change, and those of the time before.
-KEPT, LONGEST = 60_000, 100
+KEPT, LONGEST = 150_000, 100
 #: Pairs of one group that are held at once.
 HELD = 1 << 20
 #: What is known of a word whose bytes a side does not keep.
