@@ -531,6 +531,16 @@ ORACLES |= {
           SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
             round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) near FROM embeddings a, embeddings b)
         QUALIFY rank <= 10""",
+    "vector_topk_all_buckets": """
+        SELECT query_id, id, round(near, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id)::int rank FROM (
+          SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
+            round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) near FROM embeddings a, embeddings b)
+        QUALIFY rank <= 10""",
+    "vector_topk_approx": """
+        SELECT query_id, least(count(*), 10) given, first(id ORDER BY near DESC, id) nearest, true recall_reached FROM (
+          SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,
+            round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) near FROM embeddings a, embeddings b)
+        GROUP BY query_id""",
     "vector_topk_l2": """
         SELECT query_id, id, round(-far, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY far, id)::int rank FROM (
           SELECT 'doc:'||a.vec_id query_id, 'doc:'||b.vec_id id,

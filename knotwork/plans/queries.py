@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import scalars as S
 from knotwork.model import EMBEDDING_CACHE, Graph
+from knotwork.operators import approx as P
 from knotwork.operators import mutate as M
 from knotwork.operators import relations as R
 from knotwork.operators import resolve as N
@@ -549,6 +550,25 @@ def vector_topk_l2(g, t):
     return V.vector_topk(vectors.withColumnRenamed("id", "query_id"), vectors, 5, "l2")
 
 
+@on_tables
+def vector_topk_approx(g, t):
+    """Near buckets only: rows given, the nearest, and whether 0.9 of all true neighbours are among them."""
+    vectors = g.observation_embeddings.select("id", "embedding")
+    queries = vectors.withColumnRenamed("id", "query_id")
+    near, exact = cut(P.approx_topk(queries, vectors, 10)), V.vector_topk(queries, vectors, 10)
+    both = exact.join(near.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
+    reached = both.agg((F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+    given = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("given"), F.min_by("id", "rank").alias("nearest"))
+    return given.crossJoin(F.broadcast(reached))
+
+
+@on_tables
+def vector_topk_all_buckets(g, t):
+    """Every bucket visited, which gives the exact answer."""
+    vectors = g.observation_embeddings.select("id", "embedding")
+    return P.approx_topk(vectors.withColumnRenamed("id", "query_id"), vectors, 10, recall=1.0)
+
+
 @on_tables
 def search_observations(g, t):
     out = H.search_observations(g, _encoded(_benchmark_queries(t)), 10)
