@@ -24,6 +24,17 @@ def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def untaken(names: list[str], taken: list[str]) -> list[str]:
+    """Names for result columns; one that ``taken`` has too, in any case of letters, gets underscores at its end."""
+    out, used = [], {t.lower() for t in taken}
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def train_part(column, folds: int):
     """crc32 of the decimal id, modulo ``folds``; remainder 0 is held out. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 from knotwork.llm.arrays import mix, span_hashes
 from knotwork.llm.chunks import answers_of, ask, by_group, groups_for, pack, unpack, with_answers
-from knotwork.llm.common import table
+from knotwork.llm.common import table, untaken
 
 #: Bytes of a repeated window, and bytes of the first digit.
 LENGTH, DIGIT = 50, 16
@@ -263,8 +264,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte is removed if a window of ``LENGTH`` bytes around it also starts in a text with a smaller id.
     Null and short texts lose nothing; a null id neither removes nor loses; rows that share an id do not
-    count as repeats of one another; other columns are dropped; an empty table gives no rows.
+    count as repeats of one another; other columns are dropped; an empty table gives no rows. Where the id or a
+    carried column has the name of a result column, the result column gets an underscore at its end. Ids must be
+    whole numbers of at most 64 bits, others raise ``TypeError``: the smaller id keeps a repeated passage.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
     chunks = pack(docs, id_col, text_col, carry)
     groups = groups_for(chunks)
     told = with_answers(chunks, ask(chunks, _ask_digits(groups), _decide_digits, groups), "digits")
@@ -301,7 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kinds = [docs.schema[c].dataType.simpleString() for c in names] + ["long", "long", "long", "string"] + ["string"] * texts
     out = told.mapInArrow(run, ", ".join(f"_o{i} {k}" for i, k in enumerate(kinds)))
-    return out.toDF(*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts
+    return out.toDF(*names, *untaken(results, names))
 
 
 def op5(spark, sf_dir):

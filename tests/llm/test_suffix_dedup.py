@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 
 from knotwork.llm import chunks, suffix_dedup
 from knotwork.llm.suffix_dedup import LENGTH, remove_repeats
@@ -65,3 +66,14 @@ def test_texts_and_empty(spark):
     got = {r.doc_id: (r.kept_text, r.lang) for r in remove_repeats(docs, carry=("lang",), texts=True).collect()}
     assert got == {1: ("é" * 40, "de"), 2: ("z!", None)}
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_ids(spark):
+    docs = spark.createDataFrame([(1, "q" * 60, "a", "b"), (2, "q" * 60, "c", None)], "N_Bytes int, text string, kept_text string, n_spans string")
+    got = remove_repeats(docs, id_col="N_Bytes", carry=("kept_text", "n_spans"), texts=True)
+    assert got.columns == ["N_Bytes", "kept_text", "n_spans", "n_bytes_", "n_removed", "n_spans_", "kept_sha256", "kept_text_"]
+    assert sorted((r.N_Bytes, r.kept_text, r.n_spans, r.n_bytes_, r.n_spans_, r.kept_text_) for r in got.collect()) == [
+        (1, "a", "b", 60, 0, "q" * 60), (2, "c", None, 60, 1, "")
+    ]
+    with pytest.raises(TypeError):
+        remove_repeats(docs.withColumn("id", docs.text), id_col="id")
