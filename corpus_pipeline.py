@@ -15,7 +15,10 @@ from knotwork.llm.common import keep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the quality rules go, null and empty ones with them; repeated rows are judged alike."""
+    """Texts that fail the quality rules go, null and empty ones with them; repeated rows are judged alike.
+
+    Null ids and further columns of any name come through.
+    """
     return quality.keep_good(docs)
 
 
@@ -36,11 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has too are cut out; ``n_chars`` follows the text.
 
-    Null texts become empty; rows with one id don't cut one another.
+    Null texts become empty; rows with one id don't cut one another; rows without an id stay whole. Further columns,
+    also ones named like results of the operator, come through as they are.
     """
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = suffix_dedup.remove_repeats(docs, carry=carry, texts=True)
-    cut = cut.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
+    kept = cut.columns[-1]
+    cut = cut.withColumns({"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")})
     return cut.select(docs.columns)
 
 
