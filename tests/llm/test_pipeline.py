@@ -59,3 +59,24 @@ def test_stage_columns(spark):
     for table in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, table, SF).columns == docs.columns
+
+
+def test_stage_column_names(spark):
+    """Columns named like those that the operators add or use come through all stages unchanged."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "component_id", "n_shingles", "kept", "n_words",
+             "base_failed", "item_id", "cosine", "lcs", "answer", "ids", "n_tokens", "chunk", "size", "ends", "texts", "_id", "_text", "_c0", "node", "family"]
+    fresh = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"{fresh} {i} " + " ".join(f"own{i}x{j}" for j in range(80)), "en", "s", 3, *[f"{c} {i}" for c in names]) for i in (1, 2)]
+    rows.append((None, None, None, None, None, *[None] * len(names)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == ({1, 2} if name == "quality_rules" else {1, 2, None})
+        assert all(got[i][c] == f"{c} {i}" for i in (1, 2) for c in names)
+        if name == "repeated_passages":
+            assert got[1].text == rows[0][1] and len(got[2].text) < len(rows[1][1]) and got[2].n_chars == len(got[2].text)
+        else:
+            assert [got[i].text for i in (1, 2)] == [r[1] for r in rows[:2]]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {1, 2, None}
