@@ -26,6 +26,35 @@ def test_no_article():
     assert main_text(page)[0] == f"{long.strip()}\nok\n{long.strip()}"
 
 
+LONG = "words of the story that go on and on for a while " * 5
+
+
+def test_ratios_choose_among_elements():
+    """A short teaser in an article element loses to a long story in a div; articles of text are all taken."""
+    teaser = "<article><a href=x>Read</a> <a href=y>more</a> <a href=z>here</a></article>"
+    story = f"<div class=k><h2>Head</h2><p>{LONG}</p><p>ok</p><p>{LONG}</p></div>"
+    assert main_text(f"<body>{teaser}{story}</body>")[0] == f"Head\n{LONG.strip()}\nok\n{LONG.strip()}"
+    two = f"<body><article><p>{LONG}1</p></article><div><a>x</a></div><article><p>{LONG}2</p><p>{LONG}3</p></article>{teaser}</body>"
+    assert main_text(two)[0] == f"{LONG}1\n{LONG}2\n{LONG}3"
+
+
+def test_split_sections_and_titles():
+    parts = f"<section><p>{LONG * 4}</p><p>{LONG * 2}</p></section><section><p>{LONG}</p></section>"
+    want = f"{(LONG * 4).strip()}\n{(LONG * 2).strip()}\n{LONG.strip()}"
+    links = "<ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a><li><a>e</a><li><a>f</a></ul>"
+    assert main_text(f"<body><div>{parts}</div><div>{links}</div></body>")[0] == want
+    titled = f"<body><div><h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></div><div>{links}</div></body>"
+    assert main_text(titled)[0] == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    headed = f"<article><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p></article>"
+    assert main_text(headed)[0] == f"Title\n{LONG.strip()}"
+
+
+def test_page_in_one_form():
+    form = f"<body><form id=aspnet><nav>Home</nav><div><p>{LONG}</p><p>{LONG}</p></div><select><option>No</select></form><p>x</p></body>"
+    assert main_text(form)[0].split("\n")[:2] == [LONG.strip()] * 2
+    assert main_text(f"<div><p>{LONG}</p><form>Your name <input></form></div>")[0] == LONG.strip()
+
+
 def test_odd_input():
     for page in (None, "", " ", "<", "<article>", "<script>var x", "<!-- x", "</p></div>"):
         assert main_text(page)[0] in ("", "<", "<!-- x")
@@ -42,6 +71,9 @@ def test_rows(spark):
         (1, "u", "", 0),
     ]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "t", "<p>a</p>"), (2, None, "<p>" + "long " * 400_000)], "N_chars long, text string, html string")
+    got = extract_text(clash, id_col="N_chars", carry=("text",)).orderBy("N_chars").collect()
+    assert [(r.text, r.text_, r.n_chars_) for r in got] == [("t", "a", 1), (None, ("long " * 400_000).strip(), 1_999_999)]
 
 
 def test_pages(spark):
@@ -51,3 +83,12 @@ def test_pages(spark):
         inner = re.search(r"<article>(.*)</article>", html[r.page_id], re.S)[1]
         parts = [" ".join(H.unescape(re.sub(r"<[^>]+>", " " if "<br>" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text.split("\n") == [x for x in parts if x]
+
+
+def test_pages_without_marks(spark):
+    """The ratios alone find the article when its tag and the class names say nothing."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()
+    assert len(rows) > 20
+    for r in rows:
+        plain = re.sub(r'class="[^"]*"', 'class="k7"', re.sub(r"(</?)article", r"\1div", r.html))
+        assert main_text(plain)[0] == main_text(r.html)[0]
