@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import nocase
 from knotwork.model import Graph
-from knotwork.operators.text import bm25_topk, build_text_index
-from knotwork.session import broadcast_if_small, cut
+from knotwork.operators.grams import GramIndex, build_gram_index, first_names
+from knotwork.operators.text import TextIndex, bm25_topk, build_text_index, entity_documents
+from knotwork.session import broadcast_if_small, cut, sized
 
 NAME_ROW_BYTES = 160
 
-#: Length of the substrings that stand for a text when names containing it are looked for.
-GRAM = 3
-
 
 def resolve_names(entities: DataFrame, requests: DataFrame) -> DataFrame:
     """Resolve ``requests(request_id, name[, entity_type])`` to one entity each.
@@ -75,66 +73,26 @@ def resolve_names(entities: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _grams(c: Column, sizes: list[int]) -> Column:
-    """Distinct substrings of the given lengths, with the length."""
-    of = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)
-    )
-    return F.array_distinct(F.filter(F.flatten(F.array(*map(of, sizes))), lambda x: x != ""))
-
-
-def _containing(names: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """First ``k`` of ``names(name)`` containing ``wanted(want)``, case ignored, without comparing all pairs.
-
-    A name that contains the text contains its substrings of three characters. A longer text is looked
-    up under its rarest one and then checked; for a shorter one the first names of that very substring
-    are the answer, so they are cut to ``k`` before the join.
-    """
-    grams = names.select("name", F.explode(_grams(F.lower("name"), [1, 2, GRAM])).alias("gram"))
-    short = wanted.filter(F.length("want") <= GRAM).select("want", F.lower("want").alias("gram"))
-    by_gram = Window.partitionBy("gram").orderBy("name")
-    heads = (
-        grams.join(short.select("gram").distinct(), "gram", "left_semi")
-        .withColumn("rank", F.row_number().over(by_gram))
-        .filter(F.col("rank") <= k)
-        .drop("rank")
-    )
-    long = wanted.filter(F.length("want") > GRAM).select(
-        "want", F.explode(_grams(F.lower("want"), [GRAM])).alias("gram")
-    )
-    counts = grams.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # A text with a substring that no name has is contained in none.
-    rarest = (
-        long.join(counts, "gram", "left")
-        .groupBy("want")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("pick"))
-        .filter("pick.n > 0")
-        .select("want", "pick.gram")
-    )
-    checked = rarest.join(grams, "gram").filter(F.lower("name").contains(F.lower("want")))
-    found = short.join(heads, "gram").select("want", "name").unionAll(checked.select("want", "name"))
-    in_order = Window.partitionBy("want").orderBy("name")
-    return found.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
-
-
-def suggest_names(g: Graph, misses: DataFrame, k: int = 5) -> DataFrame:
+def suggest_names(
+    g: Graph, misses: DataFrame, k: int = 5, index: TextIndex | None = None, grams: GramIndex | None = None
+) -> DataFrame:
     """Up to ``k`` entity names for each unresolved ``misses(request_id, name)``.
 
-    Names found by full-text search on the request come first; a request without a hit falls back to
-    the names that contain it. Only distinct names are searched.
+    The best ``k`` entities of a full-text search over name, description and type come first, a name once, at the rank
+    of its best entity. A request without a hit falls back to the first ``k`` names that contain it. Only
+    distinct requests are searched; ``index`` and ``grams`` are stored indexes of the same entities.
     """
-    wanted = cut(misses.select("name").distinct().withColumnRenamed("name", "want"))
-    names = cut(g.entities.select("name").distinct())
-    index = build_text_index(names.select(F.col("name").alias("id"), F.col("name").alias("text")))
+    wanted = cut(misses.select(F.col("name").alias("want")).distinct())
+    index = build_text_index(entity_documents(g)) if index is None else index
     asked = wanted.select(F.col("want").alias("query_id"), F.col("want").alias("text"))
-    hits = cut(bm25_topk(asked, index, k).select(F.col("query_id").alias("want"), F.col("id").alias("name"), "rank"))
+    hits = sized(bm25_topk(asked, index, k).select(F.col("query_id").alias("want"), "id", "rank"))
+    named = g.entities.select("id", F.col("name").alias("suggestion")).join(hits, "id")
+    best = named.groupBy("want", "suggestion").agg(F.min("rank").alias("rank"))
     unmatched = cut(wanted.join(hits.select("want").distinct(), "want", "left_anti"))
-    best = hits.unionByName(_containing(names, unmatched, k))
-    return misses.select("request_id", "name").join(
-        best.select(F.col("want"), F.col("name").alias("suggestion"), "rank"), F.col("name") == F.col("want")
-    ).drop("want")
+    if not unmatched.isEmpty():
+        grams = build_gram_index(g, ["name"]) if grams is None else grams
+        best = best.unionByName(first_names(grams, unmatched, k).withColumnRenamed("name", "suggestion"))
+    return misses.select("request_id", "name").join(best, F.col("name") == F.col("want")).drop("want")
 
 
 def ambiguous_names(g: Graph) -> DataFrame:

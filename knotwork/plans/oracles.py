@@ -802,7 +802,6 @@ ORACLES |= {
     ),
 }
 
-NAME_TEXTS = "SELECT DISTINCT name id, name AS text FROM entities"
 MISSED_NAMES = """
   SELECT 'n'||p_partkey request_id, p_name||' ring' AS name FROM part
   UNION ALL SELECT 'u'||page_id, substr(url, length(url) - 2) FROM pages
@@ -811,14 +810,21 @@ MISSED_NAMES = """
 
 ORACLES |= {
     "suggest_names": q(
-        """SELECT m.request_id, s.id suggestion, s.rank FROM misses m JOIN txt s ON s.query_id = m.name
+        """SELECT m.request_id, e.name suggestion, min(s.rank) AS rank
+           FROM misses m JOIN txt s ON s.query_id = m.name JOIN entities e ON e.id = s.id GROUP BY 1, 2
            UNION ALL SELECT m.request_id, i.name, i.rank FROM misses m JOIN inside i ON i.want = m.name""",
         f"misses AS ({MISSED_NAMES})",
-        bm25("txt", NAME_TEXTS, "SELECT DISTINCT name query_id, name AS text FROM misses", 5),
+        bm25("txt", ENTITY_TEXTS, "SELECT DISTINCT name query_id, name AS text FROM misses", 5),
         """inside AS (SELECT want, name, row_number() OVER (PARTITION BY want ORDER BY name)::int rank FROM (
              SELECT DISTINCT m.name want, e.name FROM misses m JOIN entities e ON contains(lower(e.name), lower(m.name))
              WHERE m.name NOT IN (SELECT query_id FROM txt)) QUALIFY rank <= 5)""",
     ),
+    "texts_containing": q(
+        """SELECT w.want, e.id FROM wants w JOIN entities e ON contains(lower(e.name), lower(w.want))
+             OR contains(lower(e.description), lower(w.want)) OR contains(lower(e.entity_type), lower(w.want))""",
+        """wants AS (SELECT p_brand want FROM part UNION SELECT substr(n_name, 1, 4) FROM nation
+           UNION SELECT substr(r_name, 1, 2) FROM region UNION SELECT substr(s_name, 5) FROM supplier)""",
+    ),
 }
 
 ORACLES |= {
@@ -852,7 +858,7 @@ ORACLES |= {
     "ingest_named_graph": "SELECT 'other' graph_id, name, observation_count, description FROM ("
     + USERS.format("event_id", 1) + """) UNION ALL
         SELECT 'text', 'User '||user_id, count(*), '' FROM events GROUP BY user_id""",
-    "import_documents": "SELECT n_name AS name, 'nation '||n_nationkey AS content FROM nation",
+    "import_documents": "SELECT c_name AS name, 'customer '||c_custkey AS content FROM customer",
     "bfs_forward": q(
         "SELECT query_id, id, depth FROM reached",
         "some_steps AS (SELECT source_id from_id, target_id to_id FROM relationships)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import scalars as S
 from knotwork.model import EMBEDDING_CACHE, Graph
 from knotwork.operators import approx as P
+from knotwork.operators import grams as G
 from knotwork.operators import mutate as M
 from knotwork.operators import relations as R
 from knotwork.operators import resolve as N
@@ -20,7 +21,7 @@ from knotwork.operators import traverse as T
 from knotwork.operators import vector as V
 from knotwork.session import cut, scratch_path
 from knotwork.sources import documents as D
-from knotwork.sources import fixtures, tables
+from knotwork.sources import fixtures, gramstore, tables
 from knotwork.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +337,19 @@ def suggest_names(g, t):
     return N.suggest_names(g, misses).select("request_id", "suggestion", "rank")
 
 
+@on_tables
+def texts_containing(g, t):
+    """Brands, heads of nations and regions and tails of supplier names in all texts, by the index of a stored snapshot."""
+    store = scratch_path(g.spark, "store")
+    tables.save_graph(Graph.of(g.spark, entities=g.entities), store, "v1")
+    gramstore.save_gram_index(g.spark, store)
+    wants = (
+        t("part").select(F.col("p_brand").alias("want")).unionAll(t("nation").select(F.substring("n_name", 1, 4)))
+        .unionAll(t("region").select(F.substring("r_name", 1, 2))).unionAll(t("supplier").select(F.expr("substring(s_name, 5)")))
+    )
+    return G.containing(gramstore.load_gram_index(g.spark, store), wants).select("want", "id")
+
+
 @on_graph
 def entity_profiles(g):
     requests = R.of_types(g.entities, ["source", "conversation", "supplier", "nation"]).select(
@@ -1081,16 +1095,13 @@ for _query in (ingest_stream, ingest_two_streams, ingest_onto_snapshot, ingest_n
 
 @on_tables
 def import_documents(g, t):
-    """A JSON document per region, ids counted from 1 in each, written, read and imported together."""
-    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("string")
-    rows = t("nation").withColumn("id", place)
-    entity = F.struct("id", F.col("n_name").alias("name"), F.lit("nation").alias("entity_type"))
-    fact = F.struct(F.col("id").alias("entity_id"), key("nation ", "n_nationkey").alias("content"))
-    docs = rows.groupBy("n_regionkey").agg(
-        F.collect_list(entity).alias("entities"), F.collect_list(fact).alias("observations")
-    )
+    """A JSON document for every 500 customers, ids counted from 0 in each, written, read and imported together."""
+    rows = t("customer").withColumn("id", F.expr("cast(c_custkey % 500 as string)")).withColumn("block", F.expr("c_custkey div 500"))
+    entity = F.struct("id", F.col("c_name").alias("name"), F.lit("customer").alias("entity_type"))
+    fact = F.struct(F.col("id").alias("entity_id"), key("customer ", "c_custkey").alias("content"))
+    docs = rows.groupBy("block").agg(F.collect_list(entity).alias("entities"), F.collect_list(fact).alias("observations"))
     path = scratch_path(g.spark, "documents")
-    docs.write.partitionBy("n_regionkey").json(path)
+    docs.write.partitionBy("block").json(path)
     after, _ = D.import_rows(Graph.of(g.spark), D.read_documents(g.spark, path), NOW)
     owners = after.entities.select(F.col("id").alias("entity_id"), "name")
     return after.observations.join(owners, "entity_id").select("name", "content")

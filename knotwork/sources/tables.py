@@ -167,7 +167,7 @@ def save_graph(
     if before is None:
         before = {"number": 0, "version": None, "buckets": buckets, "tables": {}, "streams": {}}
         _write_manifest(g.spark, store, before)
-    steps = before.get("steps", {})
+    steps, grams = before.get("steps", {}), before.get("grams", {})
     folders, appended, only, count = dict(before["tables"]), appended or {}, only or {}, before["buckets"]
     number, token = before["number"] + 1, uuid.uuid4().hex[:12]
     for name, df in g.tables().items():
@@ -185,6 +185,8 @@ def save_graph(
             continue
         if name == "relationships":
             steps = {}
+        if name == "entities":
+            grams = {}
         folder = f"{name}/version={version}/write={number}-{token}"
         dealt = rows.withColumn("bucket", bucket_of(name, count)).hint("rebalance", "bucket")
         dealt.write.partitionBy("bucket", "graph_id").parquet(f"{store}/{folder}")
@@ -192,8 +194,9 @@ def save_graph(
         left = [entry | {"buckets": [b for b in entry["buckets"] if b not in replaced]} for entry in held or []]
         folders[name] = [entry for entry in [*left, {"folder": folder, "all": written, "buckets": written}] if entry["buckets"]]
     streams = before["streams"] | ({stream[0]: stream[1]} if stream else {})
+    derived = {"steps": steps, "grams": grams}
     _write_manifest(
-        g.spark, store, {"number": number, "version": version, "buckets": count, "tables": folders, "streams": streams, "steps": steps}
+        g.spark, store, {"number": number, "version": version, "buckets": count, "tables": folders, "streams": streams} | derived
     )
 
 
@@ -238,12 +241,12 @@ def prune_snapshots(spark: SparkSession, store: str, keep: int = 2) -> int:
     fs, _ = _filesystem(spark, store)
     kept = [json.loads(read_text(spark, f"{store}/manifest-{n}.json")) for n in numbers[-keep:]]
     named = {entry["folder"] for manifest in kept for entries in manifest["tables"].values() for entry in entries}
-    named |= {folder for manifest in kept for folder in manifest.get("steps", {}).values()}
+    named |= {folder for manifest in kept for kind in ("steps", "grams") for folder in manifest.get(kind, {}).values()}
     for n in numbers[:-keep]:
         fs.delete(_filesystem(spark, f"{store}/manifest-{n}.json")[1], False)
     gone = 0
     parents = [f"{name}/{version}" for name in TABLES for version in _entries(spark, f"{store}/{name}")]
-    for parent in [*parents, "steps"]:
+    for parent in [*parents, "steps", "grams"]:
         for write in _entries(spark, f"{store}/{parent}"):
             folder, number = f"{parent}/{write}", re.match(r"write=(\d+)-", write)
             if number and int(number[1]) <= numbers[-1] and folder not in named:
