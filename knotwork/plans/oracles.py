@@ -632,9 +632,20 @@ ORACLES |= {
         SELECT 'doc:'||vec_id id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS state
         FROM embeddings LEFT JOIN labels l ON l.doc_id = vec_id WHERE coalesce(l.toxic, 0) = 0""",
     "mention_links": q(
-        r"""SELECT observation_id, 'term:'||w entity_id, count(*) mentions FROM (
-              SELECT id observation_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) w FROM observations)
-            WHERE w IN (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) FROM benchmark) AND length(w) >= 6 GROUP BY 1, 2"""
+        """SELECT id observation_id, 'term:'||piece entity_id, s::int AS start, (s + length(piece))::int stop
+           FROM placed WHERE piece IN (SELECT unnest(ws) FROM bench) AND regexp_full_match(piece, '[a-z0-9]{6,}')
+           UNION ALL SELECT id, 'term:'||pair, s::int, (s + length(pair))::int FROM (
+             SELECT *, row_number() OVER (PARTITION BY id, island ORDER BY k) turn FROM (
+               SELECT *, k // 2 - row_number() OVER (PARTITION BY id ORDER BY k) island
+               FROM (SELECT *, piece||' '||after pair FROM placed WHERE gap = ' ') WHERE pair IN (SELECT pair FROM pairs)))
+           WHERE turn % 2 = 1""",
+        r"""bench AS (SELECT regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') ws FROM benchmark)""",
+        """pairs AS (SELECT DISTINCT ws[i]||' '||ws[i + 1] pair FROM (SELECT ws, unnest(range(1, len(ws))) i FROM bench)
+           WHERE regexp_full_match(pair, '[a-z0-9]{3,5} [a-z0-9]{3,5}'))""",
+        """placed AS (SELECT id, k, piece, sum(length(piece)) OVER w - length(piece) s, lead(piece) OVER w gap, lead(piece, 2) OVER w after
+           FROM (SELECT id, unnest(p) piece, generate_subscripts(p, 1) k FROM (
+             SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+|[^a-z0-9_]+') p FROM observations))
+           WINDOW w AS (PARTITION BY id ORDER BY k))""",
     ),
 }
 

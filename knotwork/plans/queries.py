@@ -694,15 +694,19 @@ def upsert_vectors(g, t):
 
 @on_tables
 def mention_links(g, t):
-    """Links from all observations to the graph's names and the long plain words of the benchmark."""
-    words = t("benchmark").select(F.explode(S.tokens(F.col("text"))).alias("name")).distinct()
-    terms = words.filter(F.col("name").rlike("^[a-z0-9_]{6,}$")).select(
+    """Places of the graph's names, of the benchmark's long words and of its pairs of short words in all observations."""
+    words = S.tokens(F.col("text"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", *(F.try_element_at("w", i + j) for j in (0, 1)))
+    )
+    texts = t("benchmark").select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("name")).distinct()
+    terms = texts.filter(F.col("name").rlike("^([a-z0-9]{6,}|[a-z0-9]{3,5} [a-z0-9]{3,5})$")).select(
         F.lit("text").alias("graph_id"), F.concat(F.lit("term:"), "name").alias("id"), "name",
         F.lit("term").alias("entity_type"), F.lit("").alias("description"), F.lit("{}").alias("properties"),
         F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
     links = X.link_mentions(g.replace(entities=g.entities.unionByName(terms)))
-    return links.groupBy("observation_id", "entity_id").agg(F.count(F.lit(1)).alias("mentions"))
+    return links.select("observation_id", "entity_id", "start", F.col("end").alias("stop"))
 
 
 # --- mutations ------------------------------------------------------------------------------

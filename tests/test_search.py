@@ -188,7 +188,9 @@ def plain_mentions(names, own, text):
     return [(m.start(), m.end(), m.group().lower()) for m in pattern.finditer(text)]
 
 
-def test_mentions_against_regex(spark):
+@pytest.mark.parametrize("most", [X.NAMES_BYTES, 0])
+def test_mentions_against_regex(spark, monkeypatch, most):
+    monkeypatch.setattr(X, "NAMES_BYTES", most)
     names = ["Go", "C++", "C", "New York", "New York City", "York City Hall", "a.b", "Ünal", "O'Brien", "node_1", "+"]
     rng = random.Random(3)
     pieces = names + [n.upper() for n in names] + ["going", "x", "C+++", ",", "(", "new", "york", "_Go", "é", "city hall"]
@@ -206,6 +208,19 @@ def test_mentions_against_regex(spark):
         assert sorted(got.get(f"o{i:02d}", [])) == want, text
 
 
+@pytest.mark.parametrize("most", [X.NAMES_BYTES, 0])
+def test_places_of_mentions_in_odd_texts(spark, monkeypatch, most):
+    """Letters that grow in lower case, names with blanks around, null texts, no names and no texts."""
+    monkeypatch.setattr(X, "NAMES_BYTES", most)
+    g = graph(
+        spark, [("e1", "Ankara", "t"), ("e2", "İzmir Bay", "t"), ("e3", " blank ", "t"), ("e4", "", "t")],
+        facts=[("o1", "x", "İİ ankara"), ("o2", "x", "in İzmir bay."), ("o3", "x", "a blank b"), ("o4", "x", None), ("o5", "x", "")],
+    )
+    assert rows(X.link_mentions(g), "observation_id", "start", "end", "entity_id") == [("o1", 3, 9, "e1"), ("o2", 3, 12, "e2")]
+    assert X.link_mentions(graph(spark, facts=[("o1", "x", "text")])).count() == 0
+    assert X.link_mentions(graph(spark, [("e1", "Ankara", "t")])).count() == 0
+
+
 def test_embedding_cache(spark):
     calls = spark.sparkContext.accumulator(0)
     base = V.hashed_words(8)
