@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -52,6 +53,11 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def _quoted(page_id) -> str:
+    """An id that is a text may hold line breaks and blanks at its ends; a header may not."""
+    return quote(str(page_id), safe="")
+
+
 def record(record_id: str, url: str | None, payload: bytes, digest: str, page_id, refers_to) -> bytes:
     """One WARC record. A revisit has no payload; its length and digest are those of the full payload."""
     kind = "response" if refers_to is None else "revisit"
@@ -66,10 +72,10 @@ def record(record_id: str, url: str | None, payload: bytes, digest: str, page_id
         "Content-Type: text/html; charset=utf-8",
     ]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {_quoted(page_id)}")
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"X-Refers-To-Page-ID: {refers_to}")
+        head.append(f"X-Refers-To-Page-ID: {_quoted(refers_to)}")
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -207,7 +213,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                         if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
                         ids = [head.get(h) for h in ("X-Page-ID", "X-Refers-To-Page-ID")]
-                        page_id, refers_to = [int(x) if number and x is not None else x for x in ids]
+                        page_id, refers_to = [x if x is None else int(x) if number else unquote(x) for x in ids]
                         rows.append((name, page_id, head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers_to, payload))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

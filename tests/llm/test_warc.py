@@ -41,6 +41,21 @@ def test_round_trip(spark, monkeypatch):
     assert index.select("bundle").distinct().count() > 3
 
 
+def test_text_ids_and_a_long_page(spark, monkeypatch):
+    """Ids with line breaks, blanks and signs come back; a payload may be larger than a frame and a bundle."""
+    monkeypatch.setattr(warc, "FRAME_BYTES", 700)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 2000)
+    ids = ["a\r\nb", " c ", "é%41: x", "", "\n", None]
+    rows = [(i, "u", f"{LONG} {n}") for n, i in enumerate(ids)] + [("z\n", "u", f"{LONG} 0"), ("long", "u", "".join(map(str, range(20_000))))]
+    folder = scratch_path(spark, "warc-test")
+    index = warc.write_bundles(spark.createDataFrame(rows, "page_id string, url string, html string"), folder)
+    got = warc.read_bundles(index, folder).collect()
+    assert sorted((r.page_id or "-", r.payload_bytes) for r in got) == sorted((i or "-", len(h.encode())) for i, _, h in rows)
+    assert [(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"] == [("z\n", "a\r\nb")]
+    some = spark.createDataFrame([("long",), ("a\r\nb",)], "page_id string")
+    assert {r.page_id: r.payload.decode() for r in warc.lookup(index, folder, some).collect()} == {"long": rows[-1][2], "a\r\nb": rows[0][2]}
+
+
 def test_seek_table():
     bundle = warc.Bundle()
     for i in range(10):
