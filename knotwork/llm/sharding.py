@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import keep, table
+from knotwork.llm.common import keep, table, untaken
 
 #: Rows that number their slots together.
 SLOT_ROWS = 10_000
@@ -111,22 +111,24 @@ def assign_shards(
 ) -> DataFrame:
     """The shard of every row by the law ``key``, and its shard in the tree with one more shard.
 
-    ``docs`` may hold any columns; the result has id, size, text_crc32, law, shard, slot, grown_shard.
+    ``docs`` may hold any columns; the result has id, size, text_crc32, law, shard, slot, grown_shard. A result
+    column with the name of the id column gets an underscore at its end.
     A null text counts as no bytes, a null id as the id of an empty string. Rows with equal ids share
     their shard; repeated rows get slots of their own; an empty table gives no rows.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
-        docs[id_col].alias(id_col),
+        docs[id_col].alias("_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     rows = with_shard(with_shard(rows, tree, key, "shard"), tree.grown(), key, "grown_shard")
     shards = sum(len(rack) for region in tree.regions for rack in region)
-    rows = with_slots(rows, "shard", [id_col, "text_crc32", "size"], shards)
-    return rows.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    rows = with_slots(rows, "shard", ["_id", "text_crc32", "size"], shards)
+    results = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return rows.select("_id", *results).toDF(id_col, *untaken(results, [id_col]))
 
 
 def op2(spark, sf_dir):

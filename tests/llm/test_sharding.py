@@ -27,6 +27,15 @@ def test_rows(spark, monkeypatch):
     assert assign_shards(spark.createDataFrame([], "doc_id long, text string"), Tree.even(2, 4, 5)).count() == 0
 
 
+def test_an_id_named_like_a_result(spark):
+    rows, tree = [(i, f"text {i}") for i in range(50)], Tree.even(2, 4, 5)
+    plain = assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), tree)
+    for name in ("size", "Shard", "slot", "law"):
+        got = assign_shards(spark.createDataFrame(rows, f"{name} long, text string"), tree, id_col=name)
+        assert got.columns == [name, *(c + "_" * (c == name.lower()) for c in plain.columns[1:])]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_weights_and_moves(spark):
     ids = spark.range(40_000)
     tree = Tree(((((0, 1.0), (1, 3.0)),), (((2, 2.0),), ((3, 2.0),))))
